@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,9 @@ from siftmill.llm.kernels import IS_WORD, LOWER, chunks, mix64, prefix_hash, spa
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 #: Labelled target rows that the target model is fitted on at most: those of the smallest key hashes.
 TARGET_ROWS = 50_000
-#: Pseudo-count of a bucket, given in the proportions of the raw model; least absolute log ratio that counts as evidence.
-PSEUDO, EVIDENCE = 20.0, 1.0
+#: Pseudo-count of a bucket, given in the proportions of the raw model; least absolute log ratio that counts as evidence,
+#: and least Poisson log likelihood ratio of the bucket's target count against the raw model.
+PSEUDO, EVIDENCE, SURE = 1.0, 2.0, 10.0
 
 # Letters and digits of ASCII, and all bytes outside ASCII, belong to the words of the unigram model.
 _LETTER = np.zeros(256, bool)
@@ -29,16 +29,18 @@ _SHAPE[97:123], _SHAPE[128:], _SHAPE[65:91], _SHAPE[48:58] = ord("a"), ord("a"),
 
 
 def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every feature: words without case and punctuation, and pairs of neighbouring word shapes.
+    """(document, bucket) of each document's distinct features: words without case and punctuation, and pairs of
+    neighbouring word shapes.
 
     A pair also says whether the two words are one and the same, so that text that repeats words has features of its own.
+    A feature counts once a document: else one document that repeats a word a thousand times would spoil its bucket.
     """
     folded = LOWER[data]
     start, end, doc = tokens(folded, starts, _LETTER)
     words = span_hash(prefix_hash(folded), start, end) % np.uint64(WORD_BUCKETS)
     start, end, owner = tokens(data, starts)
     if not len(start):
-        return doc, words.astype(np.int64)
+        return _distinct(doc, words)
     whole = span_hash(prefix_hash(data), start, end)
     signs = _SHAPE[data]
     keep = np.ones(len(data), bool)
@@ -49,7 +51,12 @@ def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     shape = span_hash(prefix_hash(signs[keep]), at[start], at[end])
     pair = mix64(shape[:-1] * np.uint64(3) + shape[1:] * np.uint64(5) + (whole[:-1] == whole[1:]).astype(np.uint64)) % np.uint64(SHAPE_BUCKETS)
     inside = owner[:-1] == owner[1:]
-    return np.concatenate([doc, owner[1:][inside]]), np.concatenate([words, pair[inside] + np.uint64(WORD_BUCKETS)]).astype(np.int64)
+    return _distinct(np.concatenate([doc, owner[1:][inside]]), np.concatenate([words, pair[inside] + np.uint64(WORD_BUCKETS)]))
+
+
+def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(doc.astype(np.int64) << 20 | bucket.astype(np.int64))
+    return both >> 20, both & ((1 << 20) - 1)
 
 
 def count_features(docs: DataFrame, target: np.ndarray, key: str, text: str) -> DataFrame:
@@ -76,8 +83,9 @@ def count_features(docs: DataFrame, target: np.ndarray, key: str, text: str) ->
 def log_ratios(counts: DataFrame) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, pulled to 0 where there is little text; at most 69,632 numbers.
 
-    Both families of features have a model of their own. Ratios under EVIDENCE in size are no evidence and count as 0:
-    else the slight overweight of ordinary words in the target would add up over a long text and hide what is odd in it.
+    Both families of features have a model of their own. Ratios under EVIDENCE in size, and those that chance explains,
+    are no evidence and count as 0: else the slight overweight of ordinary words in the target would add up over a long
+    text and hide what is odd in it.
     """
     raw, hit = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS), np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
     for r in counts.toLocalIterator():
@@ -87,8 +95,9 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
         n_raw, n_hit = raw[part].sum(), hit[part].sum()
         if n_raw and n_hit:
             expected = raw[part] * (n_hit / n_raw)
-            out[part] = np.log((hit[part] + PSEUDO) / (expected + PSEUDO))
-    out[np.abs(out) < EVIDENCE] = 0.0
+            ratio = np.log((hit[part] + PSEUDO) / (expected + PSEUDO))
+            sure = hit[part] * np.log(np.maximum(hit[part], 1e-9) / np.maximum(expected, 1e-9)) + expected - hit[part]
+            out[part] = np.where((np.abs(ratio) >= EVIDENCE) & (sure >= SURE), ratio, 0.0)
     return out
 
 
@@ -138,14 +147,13 @@ def gumbel(key: Column, seed: int) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, is_target: Column, key: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS, seed: int = 7, k: int | None = None) -> DataFrame:
     """The keys of the k rows with the largest log weight + Gumbel noise: a sample without replacement that follows the target.
 
-    log weight: sum over a text's hashed n-grams of log(p_target / p_raw). The raw model counts all rows, the target
+    log weight: sum over a text's distinct hashed n-grams of log(p_target / p_raw). The raw model counts all rows, the target
     model those labelled as target (at most `target_rows`, those with the smallest key hashes). Without `k`, k is the
-    expected number of target rows: the sum over rows of the posterior that follows from log weight and the share of
-    targets among the labelled rows.
+    expected number of target rows: the share of targets among the labelled rows, times all rows.
 
-    Returns key, log_weight, gumbel_key and probability of the rows taken; rows that tie with the k-th on all 48 bits of
+    Returns key, log_weight and gumbel_key of the rows taken; rows that tie with the k-th on all 48 bits of
     the rounded key are all taken. A null or empty text has no evidence (log weight 0). A null key takes part, with the
-    noise of an empty one. Without labelled targets all log weights are 0. An empty table gives no rows.
+    noise of an empty one. Without labelled targets no row is taken. An empty table gives no rows.
     """
     marked = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(is_target.cast("int")).alias("_t"))
     n_labelled, n_target = marked.agg(F.count("*"), F.coalesce(F.sum("_t"), F.lit(0))).first()
@@ -153,17 +161,14 @@ def resample(docs: DataFrame, labels: DataFrame, is_target: Column, key: str = "
     chosen = [r[0] for r in marked.where("_t = 1").orderBy(bucket_hash(F.col(key)), key).limit(target_rows).collect()]
     ratios = log_ratios(count_features(docs, np.array(sorted(chosen), np.int64), key, text))
     weigh = log_weight(ratios, docs.sparkSession.sparkContext)
-    share = (n_target + 0.5) / (n_labelled + 1)
     scored = docs.select(F.col(key), weigh(F.col(text).cast("binary")).alias("log_weight"))
-    prior = math.log(share / (1 - share))
     scored = durable(
-        scored.withColumn("probability", 1 / (1 + F.exp(-F.least(F.greatest(F.col("log_weight") + prior, F.lit(-60.0)), F.lit(60.0)))))
-        .withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce(F.col(key).cast("string"), F.lit("")), seed))
+        scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce(F.col(key).cast("string"), F.lit("")), seed))
         # The key in steps of 2**-20, moved above zero: longs of 48 bits.
         .withColumn("_rank", F.least(F.greatest(F.round(F.col("gumbel_key") * (1 << 20)).cast("long") + (1 << 47), F.lit(0)), F.lit((1 << 48) - 1)))
     )
     if k is None:
-        k = int(scored.agg(F.round(F.coalesce(F.sum("probability"), F.lit(0.0)))).first()[0])
+        k = -(-scored.count() * n_target // n_labelled) if n_labelled else 0
     edge = kth_largest(scored, "_rank", k, bits=48)
     kept = scored.where(F.col("_rank") >= edge) if edge is not None else scored.where(F.lit(k >= 1))
-    return kept.select(key, "log_weight", "gumbel_key", "probability")
+    return kept.select(key, "log_weight", "gumbel_key")
