@@ -51,8 +51,7 @@ RULES = [
     ("reserved", "All-rights-reserved", ["rights_reserved"], []),
 ]
 
-#: A sentence ends at . ! ? ; or : before whitespace or the end of the text, at an empty line, and before and after a
-#: line that is a sentence by itself (a capital after the line break).
+#: A sentence ends at . ! ? ; or : before whitespace or the end of the text, and at an empty line.
 SENTENCE_END = r"[.!?;:]+(?=[ \t\n\r]|$)|\n[ \t\r]*\n"
 #: What normalising turns into one space: all but letters, digits, and dots and hyphens inside words.
 NOISE = r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"
@@ -82,8 +81,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     hinted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).where(F.col("_t").rlike(f"(?i){HINTS}"))
     known = [(sentence, ident) for ident, forms in SENTENCES.items() for sentence in forms]
     names = F.create_map(*[F.lit(x) for pair in known for x in pair])
-    lines = F.regexp_replace("_t", r"\n(?=[ \t]*[A-Z0-9])", "\n\n")
-    parts = F.filter(F.split(lines, SENTENCE_END), lambda s: s.rlike(f"(?i){HINTS}|without|may "))
+    parts = F.filter(F.split("_t", SENTENCE_END), lambda s: s.rlike(f"(?i){HINTS}|without|may "))
     found = hinted.select("doc_id", F.transform(parts, normalise).alias("_s")).select("doc_id", F.filter(F.transform("_s", lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull()).alias("_ids"))
     some = found.where(F.size("_ids") > 0).withColumn("_seq", F.concat(F.lit(";"), F.array_join("_ids", ";"), F.lit(";")))
     groups: dict[str, Column] = {}

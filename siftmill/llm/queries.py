@@ -127,8 +127,8 @@ def _license_sql() -> str:
     cases = ", ".join(f"case {' '.join(x)} end" for x in groups.values())
     return rf"""
 with k as ({known}),
-p as (select row_number() over () as r, doc_id, regexp_replace(text, '\n([ \t]*[A-Z0-9])', E'\n\n\1', 'g') as t from documents where regexp_matches(text, '(?i){HINTS}')),
-q as (select r, doc_id, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)([ \t\n\r]|$)', E'\1\001\2', 'g'), '[.!?;:]+\x01|\n[ \t\r]*\n') as parts from p),
+p as (select row_number() over () as r, doc_id, text as t from documents where regexp_matches(text, '(?i){HINTS}')),
+q as (select r, doc_id, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)([ \t\n\r]|$)', '\1' || chr(1) || '\2', 'g'), '[.!?;:]+\x01|\n[ \t\r]*\n') as parts from p),
 u as (select r, doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from q),
 n as (select r, doc_id, pos, trim(regexp_replace(lower(part), '{NOISE.replace('(?=[^a-z0-9]|$)', '([^a-z0-9]|$)')}', ' ', 'g')) as sentence from u),
 m as (select r, any_value(doc_id) as doc_id, count(*) as n_sentences, string_agg(ident, ',' order by pos) as sentence_ids, ';' || string_agg(ident, ';' order by pos) || ';' as seq from n join k using (sentence) group by r)
