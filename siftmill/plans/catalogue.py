@@ -1,6 +1,467 @@
-"""The registered queries of the retrieval library and their SQL."""
+"""The registered queries of the retrieval library and their SQL.
+
+The corpus joins documents and embeddings by number; it exercises operators, not relevance. Both engines see the same
+corpus, queries and stand-ins, stated below in each one's language.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftmill.functions import text as tx
+from siftmill.functions import vectors as vx
+from siftmill.operators import markdown, models, postprocess, retrieval
+from siftmill.plans import ingest
+from siftmill.sources import files, index
+
+K, N = 5, 25
+TEXTS = ["the of", "das die", "the of and", "zu ein", "de la", "and to"]
+COMPOUND = ["the of. das die; and to?", "zu ein", "?", "de la. the of and"]
+NOW = "2024-01-01 06:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    joined = d.join(e, d["doc_id"] == e["vec_id"])
+    named = joined.select(
+        "doc_id",
+        F.concat(F.lit("notes/"), (F.col("doc_id") % 20).cast("string"), F.lit(".md")).alias("file_path"),
+        F.col("lang").alias("header"),
+        (1 + 10 * F.floor(F.col("doc_id") / 40)).cast("int").alias("line_start"),
+        (F.floor(F.col("doc_id") / 20) % 2).cast("int").alias("chunk_index"),
+        "text",
+        F.lit("").alias("window_text"),
+        tx.content_sha(F.col("text")).alias("source_sha"),
+        F.col("embedding").alias("vector"),
+    )
+    return named.withColumn("chunk_id", tx.chunk_id(F.col("file_path"), F.col("line_start"), F.col("chunk_index")))
+
+
+def with_sparse(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Term counts under 28-bit numbers of the terms."""
+    number = F.conv(F.substring(F.md5("t"), 1, 7), 16, 10).cast("long")
+    terms = rows.select(key, F.explode(tx.word_tokens(F.col(text))).alias("t")).groupBy(key, number.alias("i")).agg(F.count("*").cast("float").alias("v"))
+    listed = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("z"))
+    return rows.join(listed, key, "left").withColumns({"sparse_indices": F.coalesce(F.transform("z", lambda x: x["i"]), F.array().cast("array<bigint>")), "sparse_values": F.coalesce(F.transform("z", lambda x: x["v"]), F.array().cast("array<float>"))}).drop("z")
+
+
+def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "query_id long, query string")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return texts.join(e, "query_id")
+
+
+def text_vector(text: Column) -> Column:
+    """A vector that follows from the text's length: the stand-in of an embedder that SQL can state too."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((F.length(text) * (k + 1) * 7919) % 101 - 50).cast("float"))
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_topk(corpus(spark, sf_dir), e, 10, digits=6)
+
+
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.keyword_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), 10)
+
+
+def tf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("chunk_id", tx.term_frequency(F.lit("The of of die"), F.col("text")).alias("score"))
+
+
+def hybrid_rrf_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K)
+
+
+def hybrid_rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K, retrieval.payload_filter(header="en"))
+
+
+def hybrid_rrf_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_search_server(with_sparse(corpus(spark, sf_dir), "chunk_id", "text"), with_sparse(queries_table(spark, sf_dir), "query_id", "query"), K)
+
+
+def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.sparse_scores(with_sparse(corpus(spark, sf_dir), "chunk_id", "text"), with_sparse(queries_table(spark, sf_dir), "query_id", "query"))
+
+
+def compound_queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(COMPOUND)), "query_id long, query string")
+
+
+def multi_fragment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.multi_fragment_search(corpus(spark, sf_dir), compound_queries(spark), K, text_vector)
+
+
+def split_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.split_queries(lines).select("query_id", "frag_no", "query")
+
+
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", " ").alias("text"))
+    return flat.select("doc_id", F.posexplode(tx.recursive_chunks(F.col("text"), 512, 64)).alias("chunk_index", "text"))
+
+
+def chunk_sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentence_windows(F.col("text"), 2)).alias("i", "s")).select("doc_id", "i", "s.text", "s.window_text")
+
+
+def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.hard_split(F.col("text"), 300, 60)).alias("i", "piece"))
+
+
+TOC_CASES = ["Intro  1\nUse  2\nEnd  30", "Intro  1\nplain words here\nmore words", "One 1\nTwo 2\nThree 3\nfour\nfive", "One 1\nTwo 2\nfour", "", "  \n ", "a" * 81 + " 5", "a" * 80 + " 5"]
+
+
+def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(TOC_CASES)), "id long, text string").select("id", tx.is_toc(F.col("text")).alias("toc"))
+
+
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_comments(F.col("html")).alias("html"))
+
+
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", "chunk_id", tx.section_key(F.col("file_path"), F.col("line_start")).alias("key"))
+
+
+def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.content_sha(F.col("text")).alias("sha"))
+
+
+def contextual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.when(F.col("header") == "en", "").otherwise(F.col("header"))
+    return corpus(spark, sf_dir).select("doc_id", tx.contextual_text(F.col("file_path"), header, F.col("text")).alias("context"))
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(tx.content_sha(F.col("text"))).alias("sha"), "doc_id")
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed_files(spark, sf_dir).where("doc_id % 3 <> 0").select(F.col("path").alias("file_path"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("sha")).alias("source_sha"))
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.changed_files(listed_files(spark, sf_dir), stored_files(spark, sf_dir)).select("path", "sha")
+
+
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = listed_files(spark, sf_dir).where("doc_id % 11 = 0")
+    return ingest.counters(ingest.file_status(listed_files(spark, sf_dir), stored_files(spark, sf_dir), failed))
+
+
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).select("doc_id", "chunk_id", "header")
+    old, new = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0").withColumn("header", F.lit("new"))
+    return index.upsert(old, new.unionByName(new.withColumn("header", F.lit("newer"))), order=[F.col("header").desc()])
+
+
+def delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.createDataFrame([("notes/3.md",), ("notes/17.md",), ("none",)], "file_path string")
+    return index.delete_files(corpus(spark, sf_dir).select("doc_id", "chunk_id", "file_path"), gone)
+
+
+def file_shas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.file_shas(corpus(spark, sf_dir))
+
+
+def lookup_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("notes/3.md",), ("notes/17.md",), ("none",)], "file_path string")
+    return index.lookup_sha(corpus(spark, sf_dir), wanted)
+
+
+def point_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.point_count(corpus(spark, sf_dir))
+
+
+def vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = vx.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding", "mean", unit=False)
+    return means.select("label", F.posexplode("mean").alias("place", "x")).select("label", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vx.l2_normalize(F.col("embedding"))).alias("place", "x"))
+    return rows.select("vec_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def hyde_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query q's three hypothetical answers have the vectors 6 + 3q, 7 + 3q and 8 + 3q."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id between 6 and 23")
+    return vx.mean_vectors(e.select(F.floor((F.col("vec_id") - 6) / 3).alias("query_id"), F.col("embedding").alias("vector")), "query_id", "vector")
+
+
+def hyde_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.hyde_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K, hyde_means(spark, sf_dir))
+
+
+def adaptive_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.adaptive_hyde_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K, hyde_means(spark, sf_dir), threshold=0.0315)
+
+
+def hits_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = queries_table(spark, sf_dir)
+    hits = retrieval.hybrid_search(corpus(spark, sf_dir), q, 10)
+    return hits.join(corpus(spark, sf_dir).select("chunk_id", "file_path", "text"), "chunk_id").join(F.broadcast(q.select("query_id", "query")), "query_id")
+
+
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = hits_with_text(spark, sf_dir)
+    return postprocess.rerank(hits, 4, models.overlap_score(F.col("query"), F.col("text"))).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = hits_with_text(spark, sf_dir)
+    return postprocess.relevance_filter(hits, models.overlap_score(F.col("query"), F.col("text")), 0.9).select("query_id", "chunk_id", "rank")
+
+
+def cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
+    return e.select(
+        tx.uuid5(tx.CACHE_NAMESPACE, F.concat(F.lit("q"), F.col("vec_id").cast("string"))).alias("id"),
+        F.col("embedding").alias("vector"),
+        F.array(F.concat(F.lit("r"), F.col("vec_id").cast("string")), F.lit("s"), F.lit("t")).alias("results"),
+        F.when(F.col("vec_id") != 3, F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("vec_id").cast("int"))).alias("cached_at"),
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id < 10 or vec_id between 100 and 109").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.cache_lookup(cache_table(spark, sf_dir), asked(spark, sf_dir), F.to_timestamp(F.lit(NOW)), 0.3, 3 * 3600)
+
+
+def cache_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = corpus(spark, sf_dir)
+    return postprocess.cache_or_search(cache_table(spark, sf_dir), asked(spark, sf_dir), 2, lambda q: retrieval.dense_topk(chunks, q, 2, digits=6), F.to_timestamp(F.lit(NOW)), 0.3, 3 * 3600)
+
+
+def lost_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.prompt_order(dense_topk(spark, sf_dir)).select("query_id", "chunk_id", "place")
+
+
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 150)
+    hits = hits_with_text(spark, sf_dir).withColumn("text", text)
+    return postprocess.rag_context(hits, 200)
+
+
+STREAMS = [
+    '{"message":{"role":"assistant","content":"Hel"},"done":false}\n\nnot json\n{"message":{"role":"assistant","content":"lo"},"done":true}\n{"message":{"content":"late"},"done":false}',
+    '{"message":{"content":"only"},"done":false}',
+    "",
+    '{"done":true}',
+]
+
+
+def ndjson_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(STREAMS)), "id long, stream string").select("id", tx.ndjson_text(F.col("stream")).alias("text"))
+
+
+#: Patterns and paths whose outcome is known.
+GLOB_CASES = [
+    (".gitbook/**", ".gitbook/assets/img.png", True),
+    (".gitbook/**", ".gitbook/README.md", True),
+    (".gitbook/**", "docs/.gitbook/file.md", False),
+    (".git/**", ".git/config", True),
+    ("node_modules/**", "node_modules/foo/bar.js", True),
+    ("CLAUDE.md", "CLAUDE.md", True),
+    ("CLAUDE.md", "docs/CLAUDE.md", False),
+    ("package.json", "package.json", True),
+    ("*.config.js", "vite.config.js", True),
+    ("*.config.js", "tailwind.config.js", True),
+    ("*.config.js", "config.js", False),
+    ("*.jsonc", "tsconfig.jsonc", True),
+    ("scripts/**", "scripts/build.sh", True),
+    ("scripts/**", "docs/scripts/build.sh", False),
+    (".gitbook/**", ".gitbook/", True),
+    ("node_modules/**", "node_modules/", True),
+]
+
+
+def ignore_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for k, (pattern, path, _) in enumerate(GLOB_CASES):
+        one = spark.range(1).select(F.lit(k).cast("long").alias("id"), F.lit(path).rlike(files.glob_regex(pattern) or "(?!)").alias("ignored"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+MARKDOWN = ["# A\n\nx\ny\n\n# B\n\n# C\n\nz", "- a\n- b", "> p\n> q", "```\ncode\n```", "see [lbl](u) ![alt](i) `c` ", "T\n==\n\n1. x\n2. y\n\n***\n\ntail"]
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame(list(enumerate(MARKDOWN)), "id long, text string")
+    return docs.select("id", F.inline(markdown.section_column(F.col("text"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        dense_topk, keyword_search, tf_score, hybrid_rrf_client, hybrid_rrf_filtered, hybrid_rrf_server, sparse_dot, multi_fragment_search,
+        split_fragments, chunk_recursive, chunk_sentence_window, hard_split, toc_filter, strip_comments, chunk_ids, content_sha, contextual_text,
+        changed_files, ingest_counters, upsert_merge, delete_by_file, file_shas, lookup_sha, point_count, vector_mean, l2_normalize, hyde_search,
+        adaptive_hyde, rerank_overlap, chunk_filter, cache_lookup, cache_or_search, lost_in_middle, rag_context, ndjson_decode, ignore_patterns,
+        markdown_sections,
+    )
+}
+
+# ---------------------------------------------------------------- the same in DuckDB's SQL
+
+
+def _text(value: str) -> str:
+    return "E'" + value.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n") + "'"
+
+
+def _uuid(namespace: str, name: str) -> str:
+    h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
+    return f"(substr({h},1,8)||'-'||substr({h},9,4)||'-5'||substr({h},14,3)||'-'||translate(substr({h},17,1),'0123456789abcdef','89ab89ab89ab89ab')||substr({h},18,3)||'-'||substr({h},21,12))"
+
+
+def _tokens(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _tf(query: str, text: str) -> str:
+    return rf"coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower({query}), '\s+'), lambda x: x <> ''), lambda w: (length(lower({text})) - length(replace(lower({text}), w, ''))) / length(w))), 0)::double"
+
+
+_CORPUS = f"""corpus as (select *, {_uuid(tx.CHUNK_NAMESPACE, "file_path||':'||line_start||':'||chunk_index")} as chunk_id from (
+  select doc_id, 'notes/'||(doc_id % 20)||'.md' as file_path, lang as header, (1 + 10 * (doc_id // 40))::int as line_start, ((doc_id // 20) % 2)::int as chunk_index,
+    text, sha256(text) as source_sha, embedding as vector from documents join embeddings on doc_id = vec_id))"""
+_Q = "q as (select query_id, query, embedding as vector from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TEXTS)) + ") t(query_id, query) join embeddings on vec_id = query_id)"
+
+
+def _dense(name: str, q: str = "q", chunks: str = "corpus", n: int = N, ident: str = "chunk_id") -> str:
+    return f"""{name} as (select * from (select query_id, {ident}, score, row_number() over (partition by query_id order by score desc, {ident}) as rank from (
+      select q.query_id, c.{ident}, round(list_cosine_similarity(c.vector::double[], q.vector::double[]), 6) as score from {chunks} c, {q} q)) where rank <= {n})"""
+
+
+def _matches(name: str, q: str = "q", chunks: str = "corpus", n: int = N) -> str:
+    return f"""{name} as (select * from (select query_id, chunk_id, query, text, row_number() over (partition by query_id order by chunk_id) as place from (
+      select q.query_id, c.chunk_id, q.query, c.text from (select *, {_tokens('text')} as toks from {chunks}) c, (select *, {_tokens('query')} as qt from {q}) q
+      where len(qt) > 0 and len(list_filter(qt, lambda t: not list_contains(toks, t))) = 0)) where place <= {n})"""
+
+
+def _hybrid(q: str = "q", chunks: str = "corpus", p: str = "", k: int = K) -> str:
+    """CTEs that end in {p}hits: query_id, chunk_id, score, rank."""
+    return f"""{_dense(p + 'd', q, chunks, 5 * k)}, {_matches(p + 'm', q, chunks, 5 * k)},
+  {p}b as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select *, {_tf('query', 'text')} as score from {p}m)),
+  {p}dk as (select query_id, file_path||':'||line_start as key, arg_min(d.chunk_id, d.rank) as chunk_id, max(d.rank) as rank from {p}d d join corpus using (chunk_id) group by 1, 2),
+  {p}bk as (select query_id, file_path||':'||line_start as key, arg_min(b.chunk_id, b.place) as chunk_id, max(b.rank) as rank from {p}b b join corpus using (chunk_id) group by 1, 2),
+  {p}f as (select query_id, coalesce(d.chunk_id, b.chunk_id) as chunk_id, round(coalesce(1 / (60 + d.rank), 0) + coalesce(1 / (60 + b.rank), 0), 9) as score from {p}dk d full outer join {p}bk b using (query_id, key)),
+  {p}hits as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from {p}f) where rank <= {k})"""
+
+
+_NUMBER = "('0x' || substr(md5(t), 1, 7))::bigint"
+_SPARSE = f"""post as (select chunk_id, {_NUMBER} as i, count(*)::double as v from (select chunk_id, unnest({_tokens('text')}) as t from corpus) group by 1, 2),
+  ask as (select query_id, {_NUMBER} as i, count(*)::double as v from (select query_id, unnest({_tokens('query')}) as t from q) group by 1, 2)"""
+_HYDE = """hm as (select query_id, list(x order by place) as v from (select query_id, place, avg(x) as x from (
+    select (vec_id - 6) // 3 as query_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as place from embeddings where vec_id between 6 and 23) group by 1, 2) group by 1),
+  hq as (select q.query_id, q.query, list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::float) as vector from q join hm using (query_id))"""
+_LISTED = "l as (select 'd/'||doc_id as path, case when doc_id % 7 = 0 then '' else sha256(text) end as sha, doc_id from documents), st as (select path as file_path, case when doc_id % 5 = 0 then 'old' else sha end as source_sha from l where doc_id % 3 <> 0), ch as (select * from l where sha = '' or not exists (select 1 from st where st.file_path = l.path and st.source_sha = l.sha))"
+_OVERLAP = f"(len(list_intersect(list_distinct({_tokens('query')}), {_tokens('text')})) / len(list_distinct({_tokens('query')})))"
+_CACHE = f"""cache as (select {_uuid(tx.CACHE_NAMESPACE, "'q'||vec_id")} as id, embedding as vector, ['r'||vec_id, 's', 't'] as results, case when vec_id <> 3 then timestamp '2024-01-01 00:00:00' + to_hours(vec_id) end as cached_at from embeddings where vec_id < 40),
+  a as (select vec_id as query_id, embedding as vector from embeddings where vec_id < 10 or vec_id between 100 and 109),
+  {_dense('near', 'a', 'cache', 1, 'id')},
+  got as (select query_id, id as cache_id, score from near join cache using (id) where score >= 0.3 and (cached_at is null or epoch(timestamp '{NOW}') - epoch(cached_at) <= 10800))"""
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_PLACE = "(case when n <= 2 then i when i % 2 = 0 then i // 2 else n - 1 - (i - 1) // 2 end)::int"
+
+
+def _fragments(query: str) -> str:
+    parts = rf"list_filter(list_transform(regexp_split_to_array({query}, '[.?;]+[\t\n\f\r ]*'), lambda p: {_TRIM.format('p')}), lambda p: p <> '')"
+    return f"case when len({parts}) = 0 then [{query}] else {parts} end"
+
+
+_FRAGMENTED = (
+    "cq as (select * from (values "
+    + ", ".join(f"({k}, '{t}')" for k, t in enumerate(COMPOUND))
+    + f""") t(qid, query)),
+  fq as (select qid * 1000 + n - 1 as query_id, query from (select qid, unnest({_fragments('query')}) as query, generate_subscripts({_fragments('query')}, 1) as n from cq)),
+  vq as (select query_id, query, list_transform(range(64), lambda k: ((length(query) * (k + 1) * 7919) % 101 - 50)::float) as vector from fq)"""
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "dense_topk": f"with {_CORPUS}, v as (select vec_id as query_id, embedding as vector from embeddings where vec_id < 20), {_dense('d', 'v', n=10)} select query_id, chunk_id, score, rank from d",
+    "keyword_search": f"with {_CORPUS}, {_Q}, {_matches('m', n=10)} select query_id, chunk_id, 0::double as score, place as rank from m",
+    "tf_score": f"with {_CORPUS} select chunk_id, {_tf(chr(39) + 'The of of die' + chr(39), 'text')} as score from corpus",
+    "hybrid_rrf_client": f"with {_CORPUS}, {_Q}, {_hybrid()} select query_id, chunk_id, score, rank from hits",
+    "hybrid_rrf_filtered": f"with {_CORPUS}, {_Q}, en as (select * from corpus where header = 'en'), {_hybrid(chunks='en')} select query_id, chunk_id, score, rank from hits",
+    "hybrid_rrf_server": f"""with {_CORPUS}, {_Q}, {_SPARSE}, {_dense('d')},
+  dfs as (select i, count(*) as df from post group by 1),
+  sc as (select query_id, chunk_id, round(sum(a.v * ln(1 + ((select count(*) from corpus) - df + 0.5) / (df + 0.5)) * p.v), 6) as score from post p join ask a using (i) join dfs using (i) group by 1, 2),
+  s as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc) where rank <= {N}),
+  f as (select query_id, chunk_id, round(coalesce(1 / (60 + d.rank), 0) + coalesce(1 / (60 + s.rank), 0), 9) as score from d full outer join s using (query_id, chunk_id))
+  select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f) where rank <= {K}""",
+    "sparse_dot": f"with {_CORPUS}, {_Q}, {_SPARSE} select query_id, chunk_id, sum(a.v * p.v) as score from post p join ask a using (i) group by 1, 2",
+    "multi_fragment_search": f"""with {_CORPUS}, {_FRAGMENTED}, {_hybrid('vq')},
+  o as (select query_id // 1000 as query_id, chunk_id, score, row_number() over (partition by query_id // 1000, file_path, line_start order by score desc, query_id % 1000, chunk_id) as r from hits join corpus using (chunk_id))
+  select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o where r = 1) where rank <= {K}""",
+    "split_fragments": f"select doc_id as query_id, (generate_subscripts(p, 1) - 1)::int as frag_no, unnest(p) as query from (select doc_id, {_fragments('text')} as p from documents)",
+    "chunk_recursive": rf"""with recursive t as (select doc_id, replace(text, chr(10), ' ') as text from documents),
+  s as (select *, case when length(text) <= 512 then 'whole' when contains(text, '. ') then '. ' when contains(text, ' ') then ' ' else 'hard' end as sep from t),
+  p as (select doc_id, sep, string_split(text, sep) as parts from s where sep in ('. ', ' ')),
+  m(doc_id, sep, parts, i, cur, made) as (
+    select doc_id, sep, parts, 1, parts[1], null::varchar from p
+    union all
+    select doc_id, sep, parts, i + 1, case when cur = '' then parts[i + 1] when length(cur) + length(sep) + length(parts[i + 1]) > 512 then right(cur, 64) || sep || parts[i + 1] else cur || sep || parts[i + 1] end,
+      case when cur <> '' and length(cur) + length(sep) + length(parts[i + 1]) > 512 then cur end from m where i < len(parts)),
+  c as (select doc_id, i, made as text from m where made is not null union all select doc_id, i + 1, cur from m where i = len(parts) and cur <> ''
+    union all select doc_id, 1, text from s where sep = 'whole'
+    union all select doc_id, k, substr(text, (k * 448 + 1)::bigint, 512) from (select doc_id, text, unnest(range(0, (ceil(greatest(length(text) - 512, 0) / 448) + 1)::bigint)) as k from s where sep = 'hard')),
+  x as (select doc_id, i, {_TRIM.format('text')} as text from c)
+  select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, text from x where text <> ''""",
+    "chunk_sentence_window": rf"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\t\n\f\r ]+', E'\\1\001', 'g'), E'\001'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as p from documents),
+  u as (select doc_id, p, unnest(range(len(p))) as i from s)
+  select doc_id, i::int as i, p[i + 1] as text, array_to_string(p[(greatest(i - 2, 0) + 1):(i + 3)], ' ') as window_text from u""",
+    "hard_split": "select doc_id, i::int as i, substr(text, (i * 240 + 1)::bigint, 300) as piece from (select doc_id, text, unnest(range(0, (ceil(greatest(length(text) - 300, 0) / 240) + 1)::bigint)) as i from documents where text <> '')",
+    "toc_filter": "with c as (select * from (values "
+    + ", ".join(f"({k}, {_text(t)})" for k, t in enumerate(TOC_CASES))
+    + rf""") t(id, text)), l as (select id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as p from c)
+  select id, len(p) > 0 and len(list_filter(p, lambda x: regexp_matches(x, '^.{{1,80}}[\t\n\f\r ]+[0-9]+$'))) / greatest(len(p), 1) >= 0.6 as toc from l""",
+    "strip_comments": "select page_id, regexp_replace(html, '<!--.*?-->', '', 'g') as html from pages",
+    "chunk_ids": f"with {_CORPUS} select doc_id, chunk_id, file_path||':'||line_start as key from corpus",
+    "content_sha": "select doc_id, sha256(text) as sha from documents",
+    "contextual_text": f"with {_CORPUS} select doc_id, file_path || case when header <> 'en' then ' > ' || header else '' end || chr(10) || text as context from corpus",
+    "changed_files": f"with {_LISTED} select path, sha from ch",
+    "ingest_counters": f"with {_LISTED}, s as (select case when path not in (select path from ch) then 'skipped' when doc_id % 11 = 0 then 'failed' else 'processed' end as s from l) select count(*) filter (s = 'processed') as processed, count(*) filter (s = 'skipped') as skipped, count(*) filter (s = 'failed') as failed from s",
+    "upsert_merge": f"with {_CORPUS} select doc_id, chunk_id, case when doc_id % 2 = 0 then 'newer' else header end as header from corpus where doc_id % 3 <> 0 or doc_id % 2 = 0",
+    "delete_by_file": f"with {_CORPUS} select doc_id, chunk_id, file_path from corpus where file_path not in ('notes/3.md', 'notes/17.md', 'none')",
+    "file_shas": f"with {_CORPUS} select file_path, arg_max(source_sha, chunk_id) as source_sha from corpus group by 1",
+    "lookup_sha": f"with {_CORPUS}, w as (select * from (values ('notes/3.md'), ('notes/17.md'), ('none')) t(file_path)) select file_path, coalesce(any_value(s), '') as source_sha from w left join (select file_path, arg_min(source_sha, chunk_id) as s from corpus group by 1) using (file_path) group by 1",
+    "point_count": f"with {_CORPUS} select count(*) as n from corpus",
+    "vector_mean": "select label, (place - 1)::int as place, round(avg(x)::float::double, 5) as x from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as place from embeddings) group by 1, 2",
+    "l2_normalize": "select vec_id, (place - 1)::int as place, round((x / nullif(norm, 0))::float::double, 5) as x from (select vec_id, sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) as norm, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as place from embeddings)",
+    "hyde_search": f"with {_CORPUS}, {_Q}, {_HYDE}, {_hybrid('hq')} select query_id, chunk_id, score, rank from hits",
+    "adaptive_hyde": f"with {_CORPUS}, {_Q}, {_HYDE}, {_hybrid('q', p='p_')}, {_hybrid('hq', p='h_')}, weak as (select query_id from p_hits where rank = 1 and score < 0.0315) select query_id, chunk_id, score, rank from p_hits where query_id not in (select query_id from weak) union all select query_id, chunk_id, score, rank from h_hits where query_id in (select query_id from weak)",
+    "rerank_overlap": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select h.query_id, h.chunk_id, {_OVERLAP} as score from hits h join corpus using (chunk_id) join q using (query_id)) select query_id, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o) where rank <= 4",
+    "chunk_filter": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select h.query_id, h.chunk_id, h.rank, {_OVERLAP} as rel from hits h join corpus using (chunk_id) join q using (query_id)), w as (select *, count(*) filter (rel >= 0.9) over (partition by query_id) as n from o) select query_id, chunk_id, rank from w where n = 0 or rel >= 0.9",
+    "cache_lookup": f"with {_CACHE} select query_id, cache_id, score from got",
+    "cache_or_search": f"""with {_CORPUS}, {_CACHE}, miss as (select * from a where query_id not in (select query_id from got)), {_dense('d', 'miss', n=2)}
+  select query_id, rank::int as rank, chunk_id, true as from_cache from (select query_id, unnest(results) as chunk_id, generate_subscripts(results, 1) as rank from got join cache on id = cache_id) where rank <= 2
+  union all select query_id, rank::int, chunk_id, false from d""",
+    "lost_in_middle": f"with {_CORPUS}, v as (select vec_id as query_id, embedding as vector from embeddings where vec_id < 20), {_dense('d', 'v', n=10)}, o as (select query_id, chunk_id, rank - 1 as i, count(*) over (partition by query_id) as n from d) select query_id, chunk_id, {_PLACE} as place from o",
+    "rag_context": rf"""with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select h.query_id, h.rank - 1 as i, count(*) over (partition by h.query_id) as n, file_path, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 150) as text from hits h join corpus using (chunk_id)),
+  e as (select query_id, {_PLACE} as place, '[' || ({_PLACE} + 1) || '] (source: ' || file_path || ')' || chr(10) || text || chr(10) || chr(10) as entry from o),
+  c as (select *, sum(length(entry)) over (partition by query_id order by place) as cum from e),
+  k as (select *, min(place) filter (cum > 800) over (partition by query_id) as first, 800 - (cum - length(entry)) as room from c)
+  select query_id, string_agg(case when cum <= 800 then entry else substr(entry, 1, (room - 3)::bigint) || '...' end, '' order by place) as context from k where first is null or place < first or (place = first and room > 60) group by 1""",
+    "ndjson_decode": "with s as (select * from (values "
+    + ", ".join(f"({k}, {_text(t)})" for k, t in enumerate(STREAMS))
+    + """) t(id, stream)), l as (select id, unnest(p) as line, generate_subscripts(p, 1) as n from (select id, string_split(stream, chr(10)) as p from s)),
+  j as (select id, n, json_extract_string(line, '$.message.content') as c, coalesce(json_extract_string(line, '$.done') = 'true', false) as done from (select * from l where trim(line) <> '' and json_valid(line))),
+  e as (select id, min(n) filter (done) as stop from j group by 1)
+  select s.id, coalesce(string_agg(coalesce(c, ''), '' order by n) filter (n <= coalesce(stop, n)), '') as text from s left join j using (id) left join e using (id) group by 1""",
+    "ignore_patterns": " union all ".join(f"select {k}::bigint as id, regexp_matches('{path}', '{files.glob_regex(pattern)}') as ignored" for k, (pattern, path, _) in enumerate(GLOB_CASES)),
+}
