@@ -276,13 +276,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 12 * n))
         doc, size, data = np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(bodies)
         h = half_length(length)
-        half = fixed_hash(prefix_hash(data), h)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        begin = np.concatenate([[0], np.cumsum(size)])
         windows = size - length + 1
-        owner = np.repeat(np.arange(len(size)), windows)
-        shift = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        place = begin[owner] + shift
-        pair = mix64(half[place] * np.uint64(0x9E3779B97F4A7C15) + half[place + (length - h)])
+        pairs, lo = [], 0
+        while lo < len(size):  # a piece of the text at a time: fingerprints take many times its bytes
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + SEGMENT, "right")) - 1)
+            half = fixed_hash(prefix_hash(data[begin[lo] : begin[hi]]), h)
+            place = np.repeat(begin[lo:hi] - begin[lo] - np.cumsum(windows[lo:hi]) + windows[lo:hi], windows[lo:hi]) + np.arange(windows[lo:hi].sum())
+            pairs.append(mix64(half[place] * np.uint64(0x9E3779B97F4A7C15) + half[place + (length - h)]))
+            lo = hi
+        pair = np.concatenate(pairs)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+        shift = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.uint8)
         order = np.argsort(pair)
         pair, ranked = pair[order], doc[owner[order]]
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
