@@ -435,7 +435,9 @@ def test_lm_tree_rows_follow_the_definition(spark, texts):
     keys, n = np.unique(lm.grams(text, begin, 3), return_counts=True)
     counted = lm.count_grams(spark.createDataFrame([(i, bytearray((t or "").encode())) for i, t in enumerate(texts)], "doc_id long, text binary"), 3, lambda x: True)
     assert {r["gram"]: r["n"] for r in counted.collect()} == dict(zip(keys.tolist(), n.tolist(), strict=True))
-    assert sorted(lm.retained(counted, 3, 0.0, 3.0)) == sorted(tree_rows(keys, n, 3, 3.0))
+    assert sorted(map(tuple, lm.retained(counted, 3, 0.0, 3.0).tolist())) == sorted(tree_rows(keys, n, 3, 3.0))
+    few = lm.retained(counted, 3, 0.0005, 3.0, most=20)
+    assert 1 < len({(d, c) for d, c, _, _ in few.tolist()}) <= 20
 
 
 def test_common(spark):
