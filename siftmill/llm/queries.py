@@ -136,4 +136,42 @@ select doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{cases}],
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_sharding": SHARDING_SQL, "op4_license_scan": _license_sql(), "op6_mixing": MIXING_SQL}
+SUFFIX_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, p, array_slice(b, (p + 1)::bigint, (p + 50)::bigint) as s from (select doc_id, b, unnest(range(0, n - 49)) as p from d where n >= 50)),
+m as (select s, min(doc_id) as first from w group by s),
+k as (select distinct doc_id, p from w join m using (s) where first < doc_id),
+g as (select doc_id, p, sum(case when p - before <= 50 then 0 else 1 end) over (partition by doc_id order by p) as g from (select *, lag(p) over (partition by doc_id order by p) as before from k)),
+r as (select doc_id, g, min(p) as a, max(p) + 50 as e from g group by doc_id, g),
+c as (select doc_id, e as a, coalesce(lead(a) over (partition by doc_id order by a), n) as z from r join d using (doc_id)
+  union all select doc_id, 0, coalesce(min(a), any_value(n)) from d left join r using (doc_id) group by doc_id),
+t as (select doc_id, string_agg(case when z > a then hex(array_slice(b, (a + 1)::bigint, z::bigint)) else '' end, '' order by a) as kept from c join d using (doc_id) group by doc_id),
+x as (select doc_id, sum(e - a)::bigint as n_removed, count(*) as n_spans from r group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256
+from d join t using (doc_id) left join x using (doc_id)
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+NEAR_SQL = f"""
+with recursive w as (select doc_id, {_WORDS} as ws from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:(i + 3)], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2) join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+reach(id, other) as (select doc_id, doc_id from w union select reach.id, e.b from reach join e on e.a = reach.other)
+select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id, w.doc_id = min(other) as kept from w join reach on id = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id
+"""
+
+LEAKS_SQL = f"""
+with dw as (select doc_id, unnest(ws) as t, generate_subscripts(ws, 1) - 1 as p, len(ws) as dn from (select doc_id, {_WORDS} as ws from documents)),
+iw as (select item_id, unnest(ws) as t, generate_subscripts(ws, 1) - 1 as q, len(ws) as n, least(16, len(ws)) as width from (select item_id, {_WORDS} as ws from benchmark)),
+m as (select doc_id, item_id, p - q as shift, q, dn, n, width from dw join iw using (t)),
+a as (select doc_id, item_id, shift, width, list(q) as qs, count(*) as whole, greatest(0, -shift) as lo, least(n, dn - shift) as hi from m group by doc_id, item_id, shift, width, dn, n having count(*) * 16 >= 13 * width),
+v as (select *, unnest(range(lo, hi - width + 1)) as start from a where hi - lo >= width),
+c as (select *, len(list_filter(qs, lambda x: x >= start and x < start + width)) as hits from v),
+b as (select doc_id, item_id, shift, whole, lo, hi, width, max(hits) as most, arg_max(start, hits * 100000 - start) as start from c group by all having max(hits) * 16 >= 13 * width),
+o as (select *, row_number() over (partition by doc_id, item_id order by whole desc, shift) as r from b)
+select doc_id, item_id, whole::int as n_matched, (start + shift)::int as doc_start, start::int as item_start, (hi - lo)::int as length from o where r = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op8_decontamination": LEAKS_SQL, "op3_sharding": SHARDING_SQL, "op4_license_scan": _license_sql(), "op6_mixing": MIXING_SQL}
