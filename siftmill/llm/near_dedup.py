@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from siftmill.llm.kernels import chunks, mix64, shingle_sets, text_column, word_
 BANDS, ROWS = 40, 5
 #: Bits of the 192-bit sketch in which a pair of similarity 0.8 differs: 19.2 on average, over 45 with probability 1e-8.
 SKETCH_WORDS, SKETCH_DIFF = 3, 45
-#: Members that one copy of a leader's set is compared with.
-LEADER_SHARE = 500
+#: Members that one copy of a leader's set is compared with; rows of a bucket, and texts of a family, in one tile.
+LEADER_SHARE, BUCKET_TILE, FAMILY_TILE = 500, 4096, 200
 
 SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, s0 long, s1 long, s2 long, bands array<long>"
 
@@ -132,6 +132,122 @@ def differing_bits(left: str, right: str) -> Column:
     return sum((F.bit_count(F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
 
 
+def plausible(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, rows: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which (row, other) lie in different components and may be similar by size and sketch."""
+    bits = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[others][None, :, :]).sum(axis=2, dtype=np.int32)
+    n, m = size[rows][:, None], size[others][None, :]
+    return (bits <= SKETCH_DIFF) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (component[rows][:, None] != component[others][None, :])
+
+
+def forest(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 256) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph that `near` tells in blocks: each row is expanded once."""
+    left, edges = np.arange(n), []
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            rows, front = front[:step], front[step:]
+            hit = near(rows, left)
+            new = hit.any(axis=0)
+            edges += zip(rows[hit.argmax(axis=0)[new]].tolist(), left[new].tolist(), strict=True)
+            front, left = np.concatenate([front, left[new]]), left[~new]
+    return edges
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Groups of neighbouring rows that agree in the first `keys` columns, across the batches of a sorted partition."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *change.tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tiled(rows: DataFrame, group: str, tiles: str) -> DataFrame:
+    """Rows with (i, j) for each pair of tiles of their group that they belong to: a tile holds a bounded number of rows."""
+    placed = rows.withColumn("_t", F.pmod(F.xxhash64("id"), F.col(tiles)).cast("int")).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col(tiles).cast("int") - 1)))
+    return placed.withColumns({"i": F.least("_t", "_u"), "j": F.greatest("_t", "_u")}).drop("_t", "_u", tiles)
+
+
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], schema=_EDGE)
+
+
+def families(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """id, family: groups outside which no links between components can be.
+
+    In each band bucket with several components, rows of different components whose sketches allow 80 % are joined to
+    families. Of the pairs of a bucket only a spanning forest leaves the task; large buckets are dealt in tiles.
+    """
+    here = nodes.select("id", "bands").join(labelled.select("id", "component"), "id").select("id", "component", F.explode("bands").alias("band"))
+    counted = here.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / BUCKET_TILE).alias("tiles"))
+    inside = here.select("id", "band").join(counted.where("_lo < _hi").select("band", "tiles"), "band").join(labelled, "id")
+    dealt = _tiled(inside, "band", "tiles").select("band", "i", "j", "id", "component", "n", "s0", "s1", "s2")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in runs(batches, 3):
+            ids, component, size, *words = (group.column(k).to_numpy() for k in range(3, 9))
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            out += [(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: plausible(sketch, size, component, r, o, percent))]  # noqa: B023
+            if len(out) > 50_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    loose = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(each, "a long, b long").distinct()
+    return components(loose, "a", "b").withColumnRenamed("component", "family")
+
+
+def family_links(docs: DataFrame, members: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """A spanning forest (a, b) of the links between different components of a family, found on full sets.
+
+    A family's texts meet in tiles of bounded size; intersections are counted by products of the tile's membership
+    matrix, a slice of its shingles at a time.
+    """
+    tiled = _tiled(members.join(members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_TILE).alias("tiles")), "family"), "family", "tiles")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    sent = texts.join(tiled, "id").select("family", "i", "j", "id", "component", "n", "s0", "s1", "s2", "text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            ids, component, size, *words = (group.column(k).to_numpy() for k in range(3, 9))
+            sketch = np.stack(words, axis=1).view(np.uint64)
+            data, offsets = text_column(group.column(9).combine_chunks())
+            sets = [s for _, _, part, starts in chunks(data, offsets) for s in shingle_sets(*word_hashes(part, starts), width)]
+            size = np.array([len(s) for s in sets])
+            every = np.arange(len(ids))
+            may = plausible(sketch, size, component, every, every, percent)
+            if not may.any():
+                continue
+            shingle, back = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(every, size)
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            for lo in range(0, len(shingle), 4096):
+                some = (back >= lo) & (back < lo + 4096)
+                member = np.zeros((len(ids), min(4096, len(shingle) - lo)), np.float32)
+                member[owner[some], back[some] - lo] = 1
+                both += member @ member.T
+            linked = may & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+            yield _edges([(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: linked[np.ix_(r, o)])])  # noqa: B023
+
+    return sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(each, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -142,8 +258,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     null key is linked with nothing: its component_id is null and it is kept. An empty table gives no rows.
 
     Rows with equal sets become one node. In every band bucket each node is compared with the smallest one only, and
-    links are closed to components. Then the buckets that still hold several components are joined with themselves
-    across components, where the sketches allow 80%, so that no link between different texts is lost.
+    links are closed to components. Then rows of different components that share a bucket, and whose sketches allow 80 %,
+    form families, in which all of them are compared on full sets, so that no link between different texts is lost.
+    Pairs are formed inside tasks; what leaves a task is a spanning forest.
     """
     if percent < 80:
         raise ValueError("the bands find pairs of 80 % and more")
@@ -164,16 +281,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     links = durable(verified(docs, tried, width, percent, key, text))
     found = components(links, "lead", "member")
 
-    labelled = small.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    here = nodes.select("id", F.explode("bands").alias("band")).join(labelled.select("id", "component"), "id")
-    open_bands = here.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("band")
-    inside = here.join(open_bands, "band").select("id", "band").join(labelled, "id")
-    left, right = inside.alias("a"), inside.alias("b")
-    across = left.join(right, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & likely("a", "b"))
-    rest = across.select(F.least("a.id", "b.id").alias("lead"), F.greatest("a.id", "b.id").alias("member")).distinct().join(tried, ["lead", "member"], "left_anti")
-    rest = durable(rest)
-    if rest.limit(1).count():
-        found = components(links.unionByName(verified(docs, rest, width, percent, key, text)), "lead", "member")
+    labelled = durable(small.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    kin = families(labelled, nodes, percent)
+    if kin.limit(1).count():
+        rest = durable(family_links(docs, kin.join(labelled, "id"), width, percent, key, text))
+        found = components(links.select(F.col("lead").alias("a"), F.col("member").alias("b")).unionByName(rest), "a", "b")
     ends = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     done = keyed.select("doc_id", "n", "fp1", "fp2").join(ends, ["fp1", "fp2"])
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
