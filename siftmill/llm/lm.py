@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.common import durable
-from siftmill.llm.kernels import IS_WORD, LOWER, chunks, text_column, word_hashes
+from siftmill.llm.kernels import IS_WORD, LOWER, chunks, mix64, text_column, word_hashes
 
-#: Symbols of the longest context; least share of the positions that a context has; nats by which its statistics must
-#: diverge from its parent's; contexts of the tree at most: the least share doubles until it has no more.
-DEPTH, MIN_SHARE, DIVERGENCE, MAX_CONTEXTS = 5, 5e-6, 15.0, 100_000
+#: Symbols of the longest context (7 at most: a gram is a 64-bit number); nats by which a context's statistics must diverge
+#: from its parent's. The tree has every context that passes: the nats grow with its count, so the tree grows with the input.
+DEPTH, DIVERGENCE = 6, 15.0
+#: Contexts of up to so many symbols go to every executor; longer ones stay in buckets by the hash of their latest TOP + 1.
+TOP = 2
 #: Weight of the parent's distribution in a context's, and of each symbol in the root's.
 BACKOFF, FLOOR = 4.0, 0.1
 SPACE, END = 0x20, 0x0A
@@ -99,8 +101,10 @@ def count_grams(docs: DataFrame, depth: int, in_training: Callable[[object], boo
     return docs.mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, most: int = MAX_CONTEXTS) -> np.ndarray:
-    """Rows (length, context, symbol, n) of the contexts of the tree, of which there are `most` at most.
+def retained(counts: DataFrame, depth: int = DEPTH, min_share: float = 0.0, divergence: float = DIVERGENCE, most: int | None = None) -> np.ndarray:
+    """Rows (length, context, symbol, n) of the contexts of the tree; with `most`, the least share doubles until no more are left.
+
+    For trees that one process holds; `score_documents` does not collect its tree.
 
     A context stays if it has the least share and its next symbols diverge from those of its parent (the context
     without its earliest symbol): sum of n(x) * log(p(x) / p_parent(x)) over the symbols at least `divergence`.
@@ -124,12 +128,59 @@ def retained(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE
         tested, above = kept if tested is None else tested.unionByName(kept), level
     tested = durable(tested)
     share = min_share
-    while tested.where(F.col("m") >= share * total).select("d", "c").distinct().count() > most:
+    while most is not None and tested.where(F.col("m") >= share * total).select("d", "c").distinct().count() > most:
         share *= 2
     found = tested.where((F.col("d") == 0) | (F.col("m") >= share * total)).select("d", "c", "s", "n").toArrow()
     return np.stack([found.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
 
 
+class Level:
+    """The contexts of one length, from training counts of grams: those retained give their distributions.
+
+    `counts` has the grams cut to the length and their counts, sorted; a context's grams lie together.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, d: int, above: Level | None, divergence: float = DIVERGENCE):
+        self.mask = np.uint64((1 << 8 * (d + 1)) - 1)
+        cut = grams & self.mask
+        order = np.argsort(cut, kind="stable")
+        cut, n = cut[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]])) if len(cut) else np.zeros(0, np.int64)
+        self.cut, self.n = cut[first], np.add.reduceat(n, first) if len(first) else n
+        context = self.cut >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        self.context, self.m = context[first], np.add.reduceat(self.n, first) if len(first) else self.n
+        self.root = d == 0
+        self.kept = np.ones(len(first), bool)
+        if above is not None and len(first):
+            up_n, up_m, _ = above.find(self.cut)
+            gain = self.n * np.log(self.n / np.repeat(self.m, np.diff([*first, len(self.n)])) / (up_n / up_m))
+            self.kept = np.add.reduceat(gain, first) >= divergence
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each gram: its count, its context's count, and whether the context is retained."""
+        out = []
+        for value, known, n in ((grams & self.mask, self.cut, self.n), ((grams & self.mask) >> np.uint64(8), self.context, self.m)):
+            at = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+            hit = known[at] == value if len(known) else np.zeros(len(value), bool)
+            out.append(np.where(hit, n[at] if len(n) else 0, 0))
+        return out[0], out[1], hit & self.kept[at] if len(known) else hit
+
+    def refine(self, p: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Probabilities of the grams' symbols, from those in shorter contexts."""
+        n, m, kept = self.find(grams)
+        return (n + FLOOR) / (m + 256 * FLOOR) if self.root else np.where(kept, (n + BACKOFF * p) / (m + BACKOFF), p)
+
+
+def levels(grams: np.ndarray, n: np.ndarray, lengths: range, above: Level | None = None, divergence: float = DIVERGENCE) -> list[Level]:
+    """Levels of these lengths, the first of which is tested against `above`."""
+    out: list[Level] = []
+    for d in lengths:
+        above = Level(grams, n, d, above, divergence)
+        out.append(above)
+    return out
+
+
 class Tree:
     """The suffix tree as an automaton: a state for each context, and for what is needed to reach it.
 
@@ -233,8 +284,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     the end. Null and empty texts consist of the end. Repeated rows count repeatedly; an empty table gives no rows.
 
     Word counts are exchanged between blocks of documents and buckets of words: a block sends each distinct word once
-    with its training count and gets back the total. Contexts are counted in every task, summed by a shuffle, and tested
-    as tables; only the tree itself, which MIN_SHARE bounds, goes to the executors.
+    with its training count and gets back the total. Likewise each distinct gram (a symbol with the DEPTH before it): its
+    bucket has all grams whose contexts end alike, adds up their counts, tests the contexts and answers with the symbol's
+    probability. Contexts of up to TOP symbols alone, whose number the alphabet bounds, go through the driver.
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
@@ -287,7 +339,50 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     n, v = n_words + ends, n_distinct + (ends > 0)
 
     pairs = docs.select(F.col(key).cast("long"), F.col(text).cast("binary"))
-    tree = spark.sparkContext.broadcast(Tree(retained(count_grams(pairs, DEPTH, lambda x: not held_out(x)))))
+    common = count_grams(pairs, TOP, lambda x: not held_out(x)).toArrow()
+    top = spark.sparkContext.broadcast(levels(common.column("gram").to_numpy().astype(np.uint64), common.column("n").to_numpy(), range(TOP + 1)))
+    gram_buckets = max(1, 2 * total // bucket_bytes)
+
+    def dealt(grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of distinct sorted grams by (bucket, gram), first places of the buckets."""
+        latest = (grams_ >> np.uint64(8)) & np.uint64((1 << 8 * (TOP + 1)) - 1)
+        bucket = (mix64(latest) % np.uint64(gram_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(gram_buckets + 1))
+
+    def ask(table: pa.Table) -> pa.Table:
+        train = np.array([not held_out(x) for x in table.column("doc_id").to_pylist()], bool)
+        data, offsets = text_column(table.column("text").combine_chunks())
+        found = []
+        for lo, hi, part, starts in chunks(data, offsets):
+            spelled, begin = symbols(part, starts)
+            all_grams = grams(spelled, begin, DEPTH)
+            own, n = np.unique(all_grams, return_counts=True)
+            out, less = np.unique(all_grams[np.repeat(~train[lo:hi], np.diff(begin))], return_counts=True)
+            n[np.searchsorted(own, out)] -= less
+            found.append((own, n))
+        own, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([x[1] for x in found]), minlength=len(own)).astype(np.int32)
+        order, at = dealt(own)
+        own, n = own[order], n[order]
+        name = table.column("block")[0].as_py()
+        # Differences of sorted numbers are small, and shuffles compress them.
+        return message([(name, buckets + b, np.diff(own[x:y], prepend=np.uint64(0)).tobytes() + n[x:y].tobytes(), y - x, 0) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
+
+    def answer(table: pa.Table) -> pa.Table:
+        names, blobs, sizes = (table.column(c).to_pylist() for c in ("block", "data", "n"))
+        parts = [np.cumsum(np.frombuffer(b, np.uint64, k)) for b, k in zip(blobs, sizes, strict=True)]
+        own, back = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.frombuffer(b, np.int32, k, 8 * k) for b, k in zip(blobs, sizes, strict=True)]), minlength=len(own)).astype(np.int64)
+        seen = n > 0
+        p = np.zeros(len(own))
+        for level in [*top.value, *levels(own[seen], n[seen], range(TOP + 1, DEPTH + 1), top.value[TOP])]:
+            p = level.refine(p, own)
+        worth = np.log10(p).astype(np.float32)
+        bucket = table.column("bucket")[0].as_py()
+        return message([(name, bucket, worth[x].tobytes(), 0, 0) for name, x in zip(names, np.split(back, np.cumsum(sizes)[:-1]), strict=True)])
+
+    told = by_block.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -309,10 +404,19 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
             n_known[lo:hi] = np.bincount(owner, count[place] > 0, minlength=hi - lo) + (ends > 0)
             base[lo:hi] = np.bincount(owner, worth[place], minlength=hi - lo) + end
         data, offsets = text_column(left.column("text").combine_chunks())
+        found = []
         for lo, hi, part, starts in chunks(data, offsets):
-            tree_score[lo:hi] = tree.value.scores(*symbols(part, starts))
+            spelled, begin = symbols(part, starts)
+            own, back = np.unique(grams(spelled, begin, DEPTH), return_inverse=True)
+            found.append((lo, hi, own, back.astype(np.int32), np.diff(begin)))
+        own = np.unique(np.concatenate([x[2] for x in found]))
+        order, at = dealt(own)
+        log_p = np.empty(len(own))
+        log_p[order] = np.concatenate([np.frombuffer(got[buckets + b], np.float32) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
+        for lo, hi, part, back, size in found:
+            tree_score[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size), log_p[np.searchsorted(own, part)][back], minlength=hi - lo)
         ids = left.column("doc_id").to_pylist()
         return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(x) for x in ids]), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(tree_score)], schema=schema)
 
-    scored = by_block.cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, SCORES)
+    scored = by_block.cogroup(answers.where("block >= 0").unionByName(told).groupBy("block")).applyInArrow(score, SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
