@@ -108,7 +108,7 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, width: int) -> list[np.nd
     """Each document's sorted distinct shingles; with fewer words, the whole sequence is one; without words, none."""
     n = len(words)
     rolled = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         part = words[k:]
         rolled[: n - k] = mix64(rolled[: n - k] * np.uint64(_BASE) + part + np.uint64(k + 1))
     out = []
