@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from siftmill.llm.kernels import chunks, mix64, text_column, word_hashes
 #: SPAN - MIN_MATCH substitutions, which a test enumerates.
 MASKS = ("11101101", "110100000111")
 SPAN, MIN_MATCH = 16, 13
+#: Items of fewer words than this have masks of their own length: MASKS miss some substitutions in them.
+LEAST_WORDS = 13
 #: Seed hashes of benchmark items sent to the executors at once (24 bytes each); larger benchmarks go in more blocks.
 BLOCK_SEEDS = 1_000_000
 
@@ -32,6 +35,16 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def short_masks(length: int) -> list[str]:
+    """Masks as long as an item of `length` words, of which one keeps clear of any substitutions that the item may have.
+
+    With s of them allowed, the places fall into s + 2 runs, and each mask leaves out s runs: s substitutions touch s at most.
+    """
+    most = length - -(-MIN_MATCH * length // SPAN)
+    run = [k * (most + 2) // length for k in range(length)]
+    return ["".join("01"[r not in out] for r in run) for out in combinations(range(most + 2), most)] if most else ["1" * length]
+
+
 def best_window(same: np.ndarray, span: int) -> tuple[int, int]:
     """(matches, start) of the window of `span` places, or of all where there are fewer, with most matches."""
     width = min(span, len(same))
@@ -50,17 +63,19 @@ class SeedIndex:
         self.items = items
         self.tables = []
         for mask in MASKS:
-            found = [(h, np.full(len(h), k), np.arange(len(h))) for k, (_, words) in enumerate(items) if len(h := seeds(words, mask))]
+            found = [(h, np.full(len(h), k), np.arange(len(h))) for k, (_, words) in enumerate(items) if len(words) >= LEAST_WORDS and len(h := seeds(words, mask))]
             hashes, item, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
             order = np.argsort(hashes, kind="stable")
             table = np.zeros(1 << self.BITS, bool)
             table[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
             self.tables.append((hashes[order], item[order], place[order], table))
-        # Items shorter than the shortest mask are compared whole, by a seed of their own length.
-        self.short: dict[int, dict[int, list[int]]] = {}
+        # Short items are compared whole, by seeds of their own length.
+        short: dict[str, dict[int, list[int]]] = {}
         for k, (_, words) in enumerate(items):
-            if 0 < len(words) < len(MASKS[0]):
-                self.short.setdefault(len(words), {}).setdefault(int(seeds(words, "1" * len(words))[0]), []).append(k)
+            if 0 < len(words) < LEAST_WORDS:
+                for mask in short_masks(len(words)):
+                    short.setdefault(mask, {}).setdefault(int(seeds(words, mask)[0]), []).append(k)
+        self.short = [(mask, known, np.array(sorted(known), np.uint64)) for mask, known in short.items()]
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item, document place minus item place) of every agreeing seed."""
@@ -72,9 +87,9 @@ class SeedIndex:
             if n.sum():
                 entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 yield item[entry], np.repeat(at, n) - place[entry]
-        for length, known in self.short.items():
-            here = seeds(words, "1" * length)
-            for at in np.flatnonzero(np.isin(here, np.array(list(known), np.uint64))):
+        for mask, known, hashes in self.short:
+            here = seeds(words, mask)
+            for at in np.flatnonzero(np.isin(here, hashes)):
                 for k in known[int(here[at])]:
                     yield np.array([k]), np.array([at])
 
@@ -103,10 +118,9 @@ def overlaps(index: SeedIndex, words: np.ndarray) -> list[tuple[int, int, int, i
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """One row for each document and benchmark item that overlap.
 
-    Words are A-Z-folded runs without whitespace. Seeds of the four masks of item and document must agree somewhere;
-    around each hit the aligned words are compared, and the pair is reported where a window of 16 words agrees in 13
-    or more (shorter items: in that share of all their words, where a seed finds them: for 8 to 15 words that is sure
-    without substitutions only, and items under 8 words are found as a whole). n_matched: agreeing words of the whole aligned
+    Words are A-Z-folded runs without whitespace. Seeds of a mask of item and document must agree somewhere, which they do
+    wherever the pair is to be reported; around each hit the aligned words are compared, and the pair is reported where a
+    window of 16 words agrees in 13 or more (shorter items: in that share of all their words). n_matched: agreeing words of the whole aligned
     range, whose longest alignment is kept; doc_start, item_start: first word of the best window; length: words compared.
 
     The benchmark is a stated query set: it is sent to the executors in blocks of at most `block_seeds` seed hashes, each
