@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import durable
+from siftmill.llm.common import durable, small
 from siftmill.llm.kernels import chunks, mix64, shingle_sets, text_column, word_hashes
 
 #: A pair with similarity 0.8 shares none of 40 bands of 5 coordinates with probability (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, ROWS = 40, 5
 #: Bits of the 192-bit sketch in which a pair of similarity 0.8 differs: 19.2 on average, over 45 with probability 1e-8.
 SKETCH_WORDS, SKETCH_DIFF = 3, 45
-#: Members that one copy of a leader's set is compared with; rows of a bucket, and texts of a family, in one tile.
-LEADER_SHARE, BUCKET_TILE, FAMILY_TILE = 500, 4096, 200
+#: Members that one copy of a leader's set is compared with; rows of a bucket, and texts of a family and their shingles, in one tile.
+LEADER_SHARE, BUCKET_TILE, FAMILY_TILE, TILE_SHINGLES = 500, 4096, 400, 200_000
+#: Entries of the largest temporary array of a task: comparisons are made in blocks of so many.
+BLOCK_ENTRIES = 1 << 19
 
 SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, s0 long, s1 long, s2 long, bands array<long>"
 
@@ -81,15 +83,16 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(each, SIGNATURE)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, key: str, text: str, share: int = LEADER_SHARE) -> DataFrame:
     """The pairs (lead, member) whose full shingle sets satisfy 100 * intersection >= percent * union.
 
-    Texts travel once to each leader that they are compared with. A leader with many members is copied to several
-    tasks, so that no task gets a group that grows with the data; in a task, a leader's text comes before its members.
+    Texts travel once to each leader that they are compared with. A leader with more than `share` members is copied to
+    several tasks, so that no task gets a group that grows with the data; in a task, a leader's text comes before its members.
     """
-    salts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / LEADER_SHARE).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "lead").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-    leads = salts.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    counts = durable(pairs.groupBy("lead").agg(F.ceil(F.count("*") / share).cast("int").alias("salts")))
+    # One salt needs no lookup; the leaders with more are at most a `share`-th of the pairs.
+    dealt = pairs.join(small(counts.where("salts > 1")), "lead", "left").withColumn("salt", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int"))
+    leads = counts.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = leads.unionByName(dealt.select(F.col("member").alias("id"), "lead", "salt", F.lit(1).alias("role")))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sent = texts.join(wanted, "id").select("lead", "salt", "role", "id", "text")
@@ -100,7 +103,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, key: s
             data, offsets = text_column(batch.column(4))
             lead, salt, role, ident = (batch.column(k).to_pylist() for k in range(4))
             out = []
-            for lo, _, part, starts in chunks(data, offsets):
+            for lo, _, part, starts in chunks(data, offsets, 1 << 18):
                 for k, items in enumerate(shingle_sets(*word_hashes(part, starts), width), lo):
                     if (lead[k], salt[k]) != at:
                         at, own = (lead[k], salt[k]), []
@@ -114,18 +117,83 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, key: s
     return sent.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role").mapInArrow(compare, "lead long, member long")
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """id, component: the smallest id reachable over the links, by neighbour minima and pointer jumping."""
-    edges = durable(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    labels = durable(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("component")))
+class Joined:
+    """Disjoint sets of ids, whose roots are their smallest members: tells which edges connect what earlier ones did not.
+
+    Forgets everything when it holds `most` ids, so that a task's memory is bounded.
+    """
+
+    def __init__(self, most: int = 500_000):
+        self.up: dict[int, int] = {}
+        self.most = most
+
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[y]
+        return x
+
+    def new(self, a: int, b: int) -> bool:
+        if len(self.up) > self.most:
+            self.up.clear()
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(x, y) with the same connections in fewer steps: in each partition, every id beside the smallest one it reaches there."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
+
+        def out() -> pa.RecordBatch:
+            pairs = [(x, joined.root(x)) for x in list(joined.up)]
+            joined.up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], names=["x", "y"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                joined.new(a, b)
+                if len(joined.up) >= joined.most:
+                    yield out()
+        yield out()
+
+    return edges.mapInArrow(each, "x long, y long").where("x > y")
+
+
+def _jump(parents: DataFrame) -> DataFrame:
+    return parents.join(parents.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.col("far").alias("root"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """id, root for a table (id, root) of parents with smaller ids: each row follows its parents, four steps at a time."""
     while True:
-        around = edges.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
-        nearer = labels.join(around, "id").select("id", "component", F.least("component", "near").alias("next"))
-        jump = nearer.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        moved = durable(nearer.join(jump, "next").select("id", F.col("component").alias("old"), F.least("next", "far").alias("component")))
-        labels = moved.select("id", "component")
-        if not moved.where("component < old").limit(1).count():
-            return labels
+        parents = durable(_jump(_jump(parents)))
+        far = parents.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        if not parents.join(far, "root").where("far < root").limit(1).count():
+            return parents
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """id, component: the smallest id reachable over the links, by contraction.
+
+    Each round every node follows its smallest neighbours down to a local minimum. Edges move to these; loops and doubles
+    leave, so that a later round sees only what is still open.
+    """
+    edges = durable(_stars(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x > y").distinct()))
+    labels = None
+    while labels is None or edges.limit(1).count():
+        ends = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        roots = _roots(durable(ends.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("root")).select("id", F.least("id", "root").alias("root"))))
+        if labels is None:
+            labels = roots.select("id", F.col("root").alias("component"))
+        else:
+            now = roots.select(F.col("id").alias("component"), "root")
+            labels = labels.join(now, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        near, far = roots.select(F.col("id").alias("x"), F.col("root").alias("a")), roots.select(F.col("id").alias("y"), F.col("root").alias("b"))
+        open_ = edges.join(near, "x").join(far, "y").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        edges = durable(_stars(open_.where("x > y").distinct()))
+    return durable(labels)
 
 
 def differing_bits(left: str, right: str) -> Column:
@@ -134,17 +202,23 @@ def differing_bits(left: str, right: str) -> Column:
 
 def plausible(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, rows: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
     """Which (row, other) lie in different components and may be similar by size and sketch."""
-    bits = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[others][None, :, :]).sum(axis=2, dtype=np.int32)
+    bits = np.zeros((len(rows), len(others)), np.uint8)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[rows, k][:, None] ^ sketch[others, k][None, :])
     n, m = size[rows][:, None], size[others][None, :]
-    return (bits <= SKETCH_DIFF) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (component[rows][:, None] != component[others][None, :])
+    near = bits <= SKETCH_DIFF
+    near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    near &= component[rows][:, None] != component[others][None, :]
+    return near
 
 
-def forest(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 256) -> list[tuple[int, int]]:
+def forest(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that `near` tells in blocks: each row is expanded once."""
     left, edges = np.arange(n), []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
+            step = max(1, BLOCK_ENTRIES // len(left))
             rows, front = front[:step], front[step:]
             hit = near(rows, left)
             new = hit.any(axis=0)
@@ -187,68 +261,87 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], schema=_EDGE)
 
 
-def families(labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def families(labelled: DataFrame, crowded: DataFrame, percent: int, bucket_tile: int = BUCKET_TILE) -> DataFrame:
     """id, family: groups outside which no links between components can be.
 
     In each band bucket with several components, rows of different components whose sketches allow 80 % are joined to
-    families. Of the pairs of a bucket only a spanning forest leaves the task; large buckets are dealt in tiles.
+    families. Of the pairs of a task only a spanning forest leaves it; large buckets are dealt in tiles.
     """
-    here = nodes.select("id", "bands").join(labelled.select("id", "component"), "id").select("id", "component", F.explode("bands").alias("band"))
-    counted = here.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / BUCKET_TILE).alias("tiles"))
-    inside = here.select("id", "band").join(counted.where("_lo < _hi").select("band", "tiles"), "band").join(labelled, "id")
+    here = crowded.join(labelled.select("id", "component"), "id")
+    counted = here.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.ceil(F.count("*") / bucket_tile).alias("tiles"))
+    mixed = durable(counted.where("_lo < _hi").select("band", "tiles"))
+    inside = crowded.join(mixed, "band").join(labelled, "id")
     dealt = _tiled(inside, "band", "tiles").select("band", "i", "j", "id", "component", "n", "s0", "s1", "s2")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        joined, out = Joined(), []
         for group in runs(batches, 3):
             ids, component, size, *words = (group.column(k).to_numpy() for k in range(3, 9))
             sketch = np.stack(words, axis=1).view(np.uint64)
-            out += [(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: plausible(sketch, size, component, r, o, percent))]  # noqa: B023
+            found = ((int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: plausible(sketch, size, component, r, o, percent)))  # noqa: B023
+            out += [e for e in found if joined.new(*e)]
             if len(out) > 50_000:
                 yield _edges(out)
                 out = []
         yield _edges(out)
 
-    loose = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(each, "a long, b long").distinct()
+    loose = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(each, "a long, b long")
     return components(loose, "a", "b").withColumnRenamed("component", "family")
 
 
-def family_links(docs: DataFrame, members: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+def family_links(docs: DataFrame, members: DataFrame, width: int, percent: int, key: str, text: str, family_tile: int = FAMILY_TILE) -> DataFrame:
     """A spanning forest (a, b) of the links between different components of a family, found on full sets.
 
-    A family's texts meet in tiles of bounded size; intersections are counted by products of the tile's membership
-    matrix, a slice of its shingles at a time.
+    A family's texts meet in tiles of a bounded number of texts and shingles; intersections are counted by products of the
+    tile's membership matrix, a slice of its shingles at a time.
     """
-    tiled = _tiled(members.join(members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_TILE).alias("tiles")), "family"), "family", "tiles")
+    wanted = F.greatest(F.ceil(F.count("*") / family_tile), F.ceil(F.sum("n") / TILE_SHINGLES))
+    tiled = _tiled(members.join(durable(members.groupBy("family").agg(wanted.alias("tiles"))), "family"), "family", "tiles")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sent = texts.join(tiled, "id").select("family", "i", "j", "id", "component", "n", "s0", "s1", "s2", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
         for group in runs(batches, 3):
             ids, component, size, *words = (group.column(k).to_numpy() for k in range(3, 9))
             sketch = np.stack(words, axis=1).view(np.uint64)
-            data, offsets = text_column(group.column(9).combine_chunks())
-            sets = [s for _, _, part, starts in chunks(data, offsets) for s in shingle_sets(*word_hashes(part, starts), width)]
-            size = np.array([len(s) for s in sets])
             every = np.arange(len(ids))
             may = plausible(sketch, size, component, every, every, percent)
-            if not may.any():
+            some = np.flatnonzero(may.any(axis=0))
+            if not len(some):
                 continue
-            shingle, back = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(every, size)
-            both = np.zeros((len(ids), len(ids)), np.float32)
-            for lo in range(0, len(shingle), 4096):
-                some = (back >= lo) & (back < lo + 4096)
-                member = np.zeros((len(ids), min(4096, len(shingle) - lo)), np.float32)
-                member[owner[some], back[some] - lo] = 1
+            ids, may = ids[some], may[np.ix_(some, some)]
+            data, offsets = text_column(group.column(9).combine_chunks().take(pa.array(some)))
+            sets = [s for _, _, part, starts in chunks(data, offsets, 1 << 18) for s in shingle_sets(*word_hashes(part, starts), width)]
+            linked = np.zeros(may.shape, bool)
+            size = np.array([len(s) for s in sets])
+            both = np.zeros(may.shape, np.float32)
+            items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(items)
+            items, owner = items[order], owner[order]
+            column = np.cumsum(np.concatenate([[0], items[1:] != items[:-1]]))
+            cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1, 2048)) if len(items) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(items)], strict=True):
+                member = np.zeros((len(sets), 2048), np.float32)
+                member[owner[lo:hi], column[lo:hi] % 2048] = 1
                 both += member @ member.T
             linked = may & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-            yield _edges([(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: linked[np.ix_(r, o)])])  # noqa: B023
+            found = ((int(ids[x]), int(ids[y])) for x, y in forest(len(ids), lambda r, o: linked[np.ix_(r, o)]))  # noqa: B023
+            yield _edges([e for e in found if joined.new(*e)])
 
     return sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    key: str = "doc_id",
+    text: str = "text",
+    leader_share: int = LEADER_SHARE,
+    bucket_tile: int = BUCKET_TILE,
+    family_tile: int = FAMILY_TILE,
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     A document's set holds the distinct shingles of `width` A-Z-folded words; with fewer words, the whole sequence is
@@ -260,7 +353,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     Rows with equal sets become one node. In every band bucket each node is compared with the smallest one only, and
     links are closed to components. Then rows of different components that share a bucket, and whose sketches allow 80 %,
     form families, in which all of them are compared on full sets, so that no link between different texts is lost.
-    Pairs are formed inside tasks; what leaves a task is a spanning forest.
+    Pairs are formed inside tasks; what leaves a task is a spanning forest. `leader_share`, `bucket_tile` and `family_tile`
+    bound what one task compares; they change no result. A very long text is hashed whole.
     """
     if percent < 80:
         raise ValueError("the bands find pairs of 80 % and more")
@@ -269,22 +363,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     reps = durable(keyed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
     nodes = durable(keyed.join(reps.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "s0", "s1", "s2", "bands"))
     banded = nodes.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
-    stars = banded.join(shared, "band").where("id <> lead").select("lead", F.col("id").alias("member")).distinct()
-    small = nodes.select("id", "n", "s0", "s1", "s2")
+    shared = durable(banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead"))
+    crowded = durable(banded.join(shared, "band").select("band", "id", "lead"))
+    stars = crowded.where("id <> lead").select("lead", F.col("id").alias("member")).distinct()
+    crowded = crowded.select("band", "id")
+    brief = nodes.select("id", "n", "s0", "s1", "s2")
 
     def likely(left: str, right: str) -> Column:
         n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differing_bits(left, right) <= SKETCH_DIFF)
 
-    tried = durable(stars.join(small.alias("a"), F.col("lead") == F.col("a.id")).join(small.alias("b"), F.col("member") == F.col("b.id")).where(likely("a", "b")).select("lead", "member"))
-    links = durable(verified(docs, tried, width, percent, key, text))
+    tried = durable(stars.join(brief.alias("a"), F.col("lead") == F.col("a.id")).join(brief.alias("b"), F.col("member") == F.col("b.id")).where(likely("a", "b")).select("lead", "member"))
+    links = durable(verified(docs, tried, width, percent, key, text, leader_share))
     found = components(links, "lead", "member")
 
-    labelled = durable(small.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    kin = families(labelled, nodes, percent)
+    labelled = durable(brief.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    kin = families(labelled, crowded, percent, bucket_tile)
     if kin.limit(1).count():
-        rest = durable(family_links(docs, kin.join(labelled, "id"), width, percent, key, text))
+        rest = durable(family_links(docs, durable(kin.join(labelled, "id")), width, percent, key, text, family_tile))
         found = components(links.select(F.col("lead").alias("a"), F.col("member").alias("b")).unionByName(rest), "a", "b")
     ends = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     done = keyed.select("doc_id", "n", "fp1", "fp2").join(ends, ["fp1", "fp2"])
