@@ -10,109 +10,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.common import bucket_hash, durable
-from siftmill.llm.kernels import IS_WORD, LOWER, chunks, mix64, prefix_hash, span_hash, text_column, tokens
+from siftmill.llm.kernels import LOWER, chunks, mix64, prefix_hash, span_hash, text_column
 
-#: Hash buckets of word unigrams and of bigrams of word shapes.
-WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
+#: Hash buckets of words and pairs of neighbouring words together.
+BUCKETS = 1 << 18
 #: Labelled target rows that the target model is fitted on at most: those of the smallest key hashes.
 TARGET_ROWS = 50_000
-#: Pseudo-count of a bucket, given in the proportions of the raw model; least absolute log ratio that counts as evidence,
-#: and least Poisson log likelihood ratio of the bucket's target count against the raw model.
-PSEUDO, EVIDENCE, SURE = 1.0, 2.0, 10.0
-
-# Letters and digits of ASCII, and all bytes outside ASCII, belong to the words of the unigram model.
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-# A shape writes letters as a, capitals as A, digits as 0, and keeps punctuation; runs shrink to one sign.
-_SHAPE = np.arange(256, dtype=np.uint8)
-_SHAPE[97:123], _SHAPE[128:], _SHAPE[65:91], _SHAPE[48:58] = ord("a"), ord("a"), ord("A"), ord("0")
-
-
-def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each document's distinct features: words without case and punctuation, and pairs of
-    neighbouring word shapes.
-
-    A pair also says whether the two words are one and the same, so that text that repeats words has features of its own.
-    A feature counts once a document: else one document that repeats a word a thousand times would spoil its bucket.
-    """
-    folded = LOWER[data]
-    start, end, doc = tokens(folded, starts, _LETTER)
-    words = span_hash(prefix_hash(folded), start, end) % np.uint64(WORD_BUCKETS)
-    start, end, owner = tokens(data, starts)
-    if not len(start):
-        return _distinct(doc, words)
-    whole = span_hash(prefix_hash(data), start, end)
-    signs = _SHAPE[data]
-    keep = np.ones(len(data), bool)
-    keep[1:] = (signs[1:] != signs[:-1]) | ~IS_WORD[data[1:]]
-    keep[start] = True
-    at = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=at[1:])
-    shape = span_hash(prefix_hash(signs[keep]), at[start], at[end])
-    pair = mix64(shape[:-1] * np.uint64(3) + shape[1:] * np.uint64(5) + (whole[:-1] == whole[1:]).astype(np.uint64)) % np.uint64(SHAPE_BUCKETS)
-    inside = owner[:-1] == owner[1:]
-    return _distinct(np.concatenate([doc, owner[1:][inside]]), np.concatenate([words, pair[inside] + np.uint64(WORD_BUCKETS)]))
-
-
-def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(doc.astype(np.int64) << 20 | bucket.astype(np.int64))
-    return both >> 20, both & ((1 << 20) - 1)
+#: Pseudo-count of each bucket of the target model, given in the proportions of the raw model.
+PSEUDO = 10.0
+#: n-grams that every text counts for: weights are log likelihood ratios of so many n-grams with the text's frequencies.
+LENGTH = 200.0
+
+# A word is a run of letters, digits, underscores and bytes outside ASCII, or a run of other signs; whitespace parts words.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+
+
+def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, count) of the hashed n-grams of each document: A-Z-folded words and pairs of neighbouring words."""
+    folded, kind = LOWER[data], _KIND[data]
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[starts] = True
+    at = np.flatnonzero(edge)
+    inside = kind[at[:-1]] > 0
+    start, end = at[:-1][inside], at[1:][inside]
+    doc = np.searchsorted(starts, start, "right") - 1
+    word = span_hash(prefix_hash(folded), start, end)
+    pair = mix64(word[:-1] * np.uint64(3) + word[1:] * np.uint64(5))[doc[1:] == doc[:-1]]
+    bucket = np.concatenate([word, pair]) % np.uint64(BUCKETS)
+    owner = np.concatenate([doc, doc[1:][doc[1:] == doc[:-1]]])
+    both, n = np.unique(owner * BUCKETS + bucket.astype(np.int64), return_counts=True)
+    return both // BUCKETS, both % BUCKETS, n
 
 
 def count_features(docs: DataFrame, target: np.ndarray, key: str, text: str) -> DataFrame:
-    """bucket, raw, target: features of all rows, and of the rows whose key is in the sorted array `target`."""
-    size = WORD_BUCKETS + SHAPE_BUCKETS
+    """bucket, raw, target: n-grams of all rows, and of the rows whose key is in the sorted array `target`."""
     ids = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, hit = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        raw, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
             data, offsets = text_column(batch.column(1))
-            member = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, part, starts in chunks(data, offsets):
-                doc, bucket = features(part, starts)
-                raw += np.bincount(bucket, minlength=size)
-                hit += np.bincount(bucket[member[lo:hi][doc]], minlength=size)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            member = known & np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids.value)
+            for lo, hi, part, starts in chunks(data, offsets, 1 << 18):
+                doc, bucket, n = features(part, starts)
+                raw += np.bincount(bucket, n, BUCKETS)
+                hit += np.bincount(bucket, n * member[lo:hi][doc], BUCKETS)
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at]), pa.array(hit[at])], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at].astype(np.int64)), pa.array(hit[at].astype(np.int64))], names=["bucket", "raw", "target"])
 
     parts = docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(count, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, pulled to 0 where there is little text; at most 69,632 numbers.
+    """log(p_target / p_raw) of each of the BUCKETS, the only thing that goes through the driver.
 
-    Both families of features have a model of their own. Ratios under EVIDENCE in size, and those that chance explains,
-    are no evidence and count as 0: else the slight overweight of ordinary words in the target would add up over a long
-    text and hide what is odd in it.
+    The target model is smoothed with PSEUDO counts in the proportions of the raw one, so that a rare bucket that the
+    labelled rows happen to lack says little; no ratio is cut off.
     """
-    raw, hit = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS), np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
-    for r in counts.toLocalIterator():
-        raw[r["bucket"]], hit[r["bucket"]] = r["raw"], r["target"]
-    out = np.zeros(len(raw))
-    for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, None)):
-        n_raw, n_hit = raw[part].sum(), hit[part].sum()
-        if n_raw and n_hit:
-            expected = raw[part] * (n_hit / n_raw)
-            ratio = np.log((hit[part] + PSEUDO) / (expected + PSEUDO))
-            sure = hit[part] * np.log(np.maximum(hit[part], 1e-9) / np.maximum(expected, 1e-9)) + expected - hit[part]
-            out[part] = np.where((np.abs(ratio) >= EVIDENCE) & (sure >= SURE), ratio, 0.0)
-    return out
+    found = counts.toArrow()
+    raw, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    at = found.column("bucket").to_numpy()
+    raw[at], hit[at] = found.column("raw").to_numpy(), found.column("target").to_numpy()
+    if not raw.sum() or not hit.sum():
+        return np.zeros(BUCKETS)
+    return np.log((hit + PSEUDO) / (raw * (hit.sum() / raw.sum()) + PSEUDO))
 
 
 def log_weight(ratios: np.ndarray, spark_context) -> callable:
-    """A pandas-free Arrow function of text: the sum of the log ratios of its features."""
+    """An Arrow function of text: LENGTH times the mean log ratio of its n-grams; 0 without any."""
     shared = spark_context.broadcast(ratios)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             data, offsets = text_column(column)
-            sums = np.zeros(len(offsets) - 1)
-            for lo, hi, part, starts in chunks(data, offsets):
-                doc, bucket = features(part, starts)
-                sums[lo:hi] += np.bincount(doc, shared.value[bucket], minlength=hi - lo)
-            yield pa.array(sums)
+            out = np.zeros(len(offsets) - 1)
+            for lo, hi, part, starts in chunks(data, offsets, 1 << 18):
+                doc, bucket, n = features(part, starts)
+                total = np.bincount(doc, n, hi - lo)
+                out[lo:hi] = LENGTH * np.bincount(doc, n * shared.value[bucket], hi - lo) / np.maximum(total, 1)
+            yield pa.array(out)
 
     return F.arrow_udf(score, "double")
 
@@ -147,13 +128,15 @@ def gumbel(key: Column, seed: int) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, is_target: Column, key: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS, seed: int = 7, k: int | None = None) -> DataFrame:
     """The keys of the k rows with the largest log weight + Gumbel noise: a sample without replacement that follows the target.
 
-    log weight: sum over a text's distinct hashed n-grams of log(p_target / p_raw). The raw model counts all rows, the target
-    model those labelled as target (at most `target_rows`, those with the smallest key hashes). Without `k`, k is the
-    expected number of target rows: the share of targets among the labelled rows, times all rows.
+    log weight: log(p_target / p_raw) of a text under two models of hashed n-grams (words and pairs of neighbouring words,
+    each as often as it occurs), scaled to LENGTH n-grams: plain sums would rank texts by their length. The raw model
+    counts all rows, the target model those labelled as target (at most `target_rows`, those with the smallest key hashes).
+    Without `k`, k is the expected number of target rows: the share of targets among the labelled rows, times all rows.
 
-    Returns key, log_weight and gumbel_key of the rows taken; rows that tie with the k-th on all 48 bits of
-    the rounded key are all taken. A null or empty text has no evidence (log weight 0). A null key takes part, with the
-    noise of an empty one. Without labelled targets no row is taken. An empty table gives no rows.
+    Returns key, log_weight and gumbel_key of the rows taken; rows that tie with the k-th on all 48 bits of the rounded key
+    are all taken. A null, empty or blank text has no evidence (log weight 0); a very long one is read whole. Rows that share
+    a key share their noise and are weighed one by one. A null key takes part, with the noise of an empty one. Without
+    labelled targets no row is taken. An empty table gives no rows. Other columns of either table are not read.
     """
     marked = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(is_target.cast("int")).alias("_t"))
     n_labelled, n_target = marked.agg(F.count("*"), F.coalesce(F.sum("_t"), F.lit(0))).first()
