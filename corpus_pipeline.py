@@ -18,32 +18,54 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that importance resampling takes; toxic and junk text goes. A row with a null doc_id goes too."""
+    """Rows that importance resampling takes: text unlike the rows labelled good goes.
+
+    Null, empty and blank texts have weight 0; very long ones are read whole. Repeated rows, and other rows that share a
+    key, stay together if one of them is taken. A row with a null doc_id goes. Without labels nothing stays; an empty table gives no rows.
+    """
     kept = resample(docs, table(spark, sf_dir, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0))
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 and more."""
+    """One document of each group of near copies, that with the smallest doc_id: shingles of five words, similarity 0.8 and more.
+
+    Null and empty texts and rows with a null doc_id are copies of nothing and stay. Repeated rows of one doc_id count as
+    one document and stay together. Very long texts count whole; an empty table gives no rows.
+    """
     kept = near_duplicates(docs, width=5, percent=80).where("kept")
     return docs.join(kept.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(durable(hits.select("doc_id").distinct()), "doc_id", "left_anti")
+    """Rows without a passage of the benchmark.
+
+    Of rows that share a doc_id, null included, all go if one has a passage. Null and empty texts have none; very long ones
+    are searched whole; repeated rows are treated alike. An empty table, or an empty benchmark, takes nothing away.
+    """
+    hits = durable(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, so that sources reach their target weights."""
-    taken = mix(docs, word_count(F.col("text")), MIX_WEIGHTS, MIX_SHARE, MIX_MOST).select("doc_id", "copies").where("copies > 0").distinct()
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """Rows as often as the mix takes them, so that sources reach their target weights.
+
+    A null source is a source, a null or empty text has size 0, a null doc_id hashes like an empty one. Rows that share
+    source and doc_id are taken alike, one by one. An empty table gives no rows; columns keep their names whatever they are.
+    """
+    taken = mix(docs, word_count(F.col("text")), MIX_WEIGHTS, MIX_SHARE, MIX_MOST).select(F.col("doc_id").alias("_i"), F.col("source").alias("_o"), F.col("copies").alias("_n")).where("_n > 0").distinct()
+    same = docs["doc_id"].eqNullSafe(taken["_i"]) & docs["source"].eqNullSafe(taken["_o"])
+    # A struct keeps the row's columns apart from those that are added here.
+    row = docs.join(taken, same).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.explode(F.sequence(F.lit(1), taken["_n"].cast("int"))))
+    return row.select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
+    """Shard and slot of every row.
+
+    A null doc_id goes where 0 goes; a null text has size 1; rows that share a doc_id share a shard and have slots of their
+    own. Very long texts are only measured; an empty table gives no rows.
+    """
     return shard_documents(docs, SHARDS)
 
 

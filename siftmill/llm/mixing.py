@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: tuple[int, int],
 
 
 def mix(docs: DataFrame, size: Column, weights: list[int], share: tuple[int, int], most: int = 2, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: how often each row enters the mix.
+    """doc_id, source, size, source_size, target, taken, copies: how often each row enters the mix.
 
     A source whose target is t times its size takes every row floor(t) times, and once more the rows whose key hash is
     under the source's threshold. The threshold is found without sorting rows: sizes are summed by source and the first
@@ -75,4 +75,4 @@ def mix(docs: DataFrame, size: Column, weights: list[int], share: tuple[int, int
         .join(small(edges), F.col("source").eqNullSafe(F.col("_s")), "left")
         .withColumn("copies", (F.col("_whole") + F.when(F.col("_left") > 0, F.col("_threshold").isNull() | (F.col("_h") < F.col("_threshold"))).otherwise(False).cast("int")).cast("long"))
     )
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -9,6 +9,7 @@ import pytest
 from siftmill.llm import decontaminate, queries
 
 from .test_kernels_and_edges import brute_near, brute_targets, words
+from .test_quality_brute_force import brute as brute_taken
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,45 @@ def test_pipeline_equals_plain_versions(spark):
     assert sorted(map(str, whole)) == sorted(map(str, made["sharding"]))
 
 
+def test_quality_stage_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    marks = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in labels.collect()}
+    want, _ = brute_taken(rows, len(marks), {i for i, good in marks.items() if good}, None)
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()} == set(want)
+
+
+def test_stages_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies long, _copy string, row string, col int, _i int, shard string, slot string, _hit int"
+    rows = [(k, f"some words {k} of text {k * 7}", "en", f"s{k % 3}", 20, 5, "c", "r", 1, 2, "x", "y", 3) for k in range(30)]
+    rows += [(None, None, None, None, None, 1, None, None, None, None, None, None, None)] * 2
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame(rows, schema), SF)
+        got = out.collect()
+        if name != "sharding":
+            assert out.columns == [x.split()[0] for x in schema.split(", ")]
+        if name in ("near_dedup", "decontaminate"):
+            assert len(got) == 32
+        if name == "mixing":
+            assert all(r["copies"] in (5, 1) and r["_copy"] in ("c", None) for r in got) and 30 <= len(got) <= 64
+
+
+def test_decontamination_takes_null_keys_and_whole_long_texts(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "filler words " * 100_000
+    rows = [(None, item, "en", "s", 1), (None, "clean", "en", "s", 1), (1, long + item, "en", "s", 1), (2, long, "en", "s", 1), (3, item, "en", "s", 1), (3, "clean", "en", "s", 1)]
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, schema), SF).collect()] == [2]
+
+
+def test_stages_without_labels_and_benchmark(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_stages_survive_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, "a b c d e f", "en", "s", 11), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "x y z " * 50, "en", None, 300)]
