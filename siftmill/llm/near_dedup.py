@@ -17,7 +17,9 @@ BANDS, ROWS = 40, 5
 #: Bits of the 192-bit sketch in which a pair of similarity 0.8 differs: 19.2 on average, over 45 with probability 1e-8.
 SKETCH_WORDS, SKETCH_DIFF = 3, 45
 #: Members that one copy of a leader's set is compared with; rows of a bucket, and texts of a family and their shingles, in one tile.
-LEADER_SHARE, BUCKET_TILE, FAMILY_TILE, TILE_SHINGLES = 500, 4096, 400, 200_000
+LEADER_SHARE, BUCKET_TILE, FAMILY_TILE, TILE_SHINGLES = 500, 1024, 400, 200_000
+#: Edges that one task of a component search holds.
+TASK_EDGES = 50_000
 #: Entries of the largest temporary array of a task: comparisons are made in blocks of so many.
 BLOCK_ENTRIES = 1 << 19
 
@@ -141,15 +143,16 @@ class Joined:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """(x, y) with the same connections in fewer steps: in each partition, every id beside the smallest one it reaches there."""
+    """(id, root): in each partition of (x, y), every id beside the smallest one that it reaches there."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = Joined()
 
         def out() -> pa.RecordBatch:
-            pairs = [(x, joined.root(x)) for x in list(joined.up)]
+            ids = list(joined.up)
+            roots = [joined.root(x) for x in ids]
             joined.up.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], names=["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["id", "root"])
 
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -158,11 +161,12 @@ def _stars(edges: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return edges.mapInArrow(each, "x long, y long").where("x > y")
+    return edges.mapInArrow(each, "id long, root long")
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    return parents.join(parents.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.col("far").alias("root"))
+    # Tables of ids grow with the documents: merged by sorting, also while they are small, they cost the driver nothing.
+    return parents.hint("merge").join(parents.select(F.col("id").alias("root"), F.col("root").alias("far")), "root").select("id", F.col("far").alias("root"))
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -170,30 +174,33 @@ def _roots(parents: DataFrame) -> DataFrame:
     while True:
         parents = durable(_jump(_jump(parents)))
         far = parents.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        if not parents.join(far, "root").where("far < root").limit(1).count():
+        if not parents.hint("merge").join(far, "root").where("far < root").limit(1).count():
             return parents
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """id, component: the smallest id reachable over the links, by contraction.
 
-    Each round every node follows its smallest neighbours down to a local minimum. Edges move to these; loops and doubles
-    leave, so that a later round sees only what is still open.
+    Tasks of about `task_edges` edges lead each id to the smallest one that it reaches there. Then every id follows these
+    down to a local minimum, and the edges between minima are what the next round sees: loops and doubles leave. The last
+    round is the one whose edges fit a single task.
     """
-    edges = durable(_stars(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x > y").distinct()))
+    edges = durable(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x > y").distinct())
     labels = None
-    while labels is None or edges.limit(1).count():
-        ends = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        roots = _roots(durable(ends.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("root")).select("id", F.least("id", "root").alias("root"))))
+    while True:
+        parts = max(1, -(-edges.count() // task_edges))
+        stars = durable(_stars(edges.coalesce(parts)))
+        roots = stars if parts == 1 else _roots(durable(stars.groupBy("id").agg(F.min("root").alias("root"))))
         if labels is None:
             labels = roots.select("id", F.col("root").alias("component"))
         else:
             now = roots.select(F.col("id").alias("component"), "root")
             labels = labels.join(now, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-        near, far = roots.select(F.col("id").alias("x"), F.col("root").alias("a")), roots.select(F.col("id").alias("y"), F.col("root").alias("b"))
-        open_ = edges.join(near, "x").join(far, "y").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        edges = durable(_stars(open_.where("x > y").distinct()))
-    return durable(labels)
+        if parts == 1:
+            return durable(labels)
+        near, far = roots.select("id", F.col("root").alias("a")), roots.select(F.col("id").alias("root"), F.col("root").alias("b"))
+        between = stars.where("id > root").hint("merge").join(near, "id").hint("merge").join(far, "root")
+        edges = durable(between.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x > y").distinct())
 
 
 def differing_bits(left: str, right: str) -> Column:
@@ -381,7 +388,7 @@ def near_duplicates(
     kin = families(labelled, crowded, percent, bucket_tile)
     if kin.limit(1).count():
         rest = durable(family_links(docs, durable(kin.join(labelled, "id")), width, percent, key, text, family_tile))
-        found = components(links.select(F.col("lead").alias("a"), F.col("member").alias("b")).unionByName(rest), "a", "b")
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest), "a", "b")
     ends = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     done = keyed.select("doc_id", "n", "fp1", "fp2").join(ends, ["fp1", "fp2"])
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

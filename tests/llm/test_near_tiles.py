@@ -32,8 +32,8 @@ def test_tiles_and_salts_change_nothing(spark, tile):
     assert len({c for _, c, _ in want.values()}) > 5
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_equal_union_find(spark, seed):
+@pytest.mark.parametrize(("seed", "task"), [(0, 20), (1, 60), (2, 10_000)])
+def test_components_equal_union_find(spark, seed, task):
     draw = random.Random(seed)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(450, 500)]
     joined = near_dedup.Joined()
@@ -45,7 +45,7 @@ def test_components_equal_union_find(spark, seed):
         smallest.setdefault(joined.root(x), x)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that no task sees all edges
     try:
-        got = near_dedup.components(spark.createDataFrame(edges * 2, "p long, q long"), "p", "q").collect()
+        got = near_dedup.components(spark.createDataFrame(edges * 2, "p long, q long"), "p", "q", task_edges=task).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["id"]: r["component"] for r in got} == {x: smallest[joined.root(x)] for x in nodes} and len(got) == len(nodes)
