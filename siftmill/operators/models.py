@@ -104,17 +104,37 @@ def with_retries(call: Callable, attempts: int = 3, wait: float = 0.5, factor: f
     return tried
 
 
-def embed_column(embedder: Embedder, text: Column, attempts: int = 3, wait: float = 0.5) -> Column:
-    """Vectors of a text column, batch by batch."""
+def embed_column(embedder: Embedder, text: Column, attempts: int = 3, wait: float = 0.5, isolate: bool = False) -> Column:
+    """Vectors of a text column, batch by batch.
+
+    With `isolate`, the texts of a batch that fails are tried one by one, and those that fail get a null vector.
+    """
 
     @F.pandas_udf("array<float>")
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         call = with_retries(embedder.embed, attempts, wait)
+
+        def vectors_of(texts: list[str], call: Callable = call) -> list:
+            found = call(texts)
+            if len(found) != len(texts):
+                raise ModelError(f"{len(texts)} texts gave {len(found)} vectors")
+            return list(found)
+
+        def one(text: str) -> list[float] | None:
+            try:
+                return vectors_of([text], embedder.embed)[0]  # the pauses are behind us
+            except Exception:
+                return None
+
         for texts in batches:
-            vectors = call(texts.fillna("").tolist())
-            if len(vectors) != len(texts):
-                raise ModelError(f"{len(texts)} texts gave {len(vectors)} vectors")
-            yield pd.Series(list(vectors), index=texts.index)
+            plain = texts.fillna("").tolist()
+            try:
+                vectors = vectors_of(plain)
+            except Exception:
+                if not isolate:
+                    raise
+                vectors = [one(t) for t in plain]
+            yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return embedded(text)
 

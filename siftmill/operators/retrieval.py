@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from siftmill.functions import text as tx
@@ -20,6 +21,8 @@ from siftmill.functions import text as tx
 RRF_K = 60
 #: Numbers in the query vectors of one block (8 bytes each): what a scan over the chunks compares with at once.
 BLOCK_NUMBERS = 1_000_000
+#: Similarities that a task holds at once: chunks are taken in slices of so many over the queries of the block.
+SLICE_NUMBERS = 2_000_000
 #: Rows up to which queries or a few hits a query are sent to all executors.
 SMALL_ROWS = 100_000
 
@@ -48,6 +51,8 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, where: Column | No
     spark = chunks.sparkSession
     rows = chunks if where is None else chunks.where(where)
     rows = rows.where(F.col("vector").isNotNull()).select("chunk_id", "vector")
+    kind = queries.schema["query_id"].dataType
+    schema, key = f"query_id {kind.simpleString()}, chunk_id string, score double", to_arrow_type(kind)
 
     def scan(block: list[tuple[object, list[float]]]) -> DataFrame:
         names = [q for q, _ in block]
@@ -57,25 +62,28 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, where: Column | No
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix, norms = shared.value
+            step = max(n, SLICE_NUMBERS // len(names))
             for batch in batches:
-                ids = batch.column(0)
-                column = batch.column(1)
-                vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(ids):
-                    continue
-                vectors = vectors.reshape(len(ids), -1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = (vectors @ matrix.T) / np.linalg.norm(vectors, axis=1)[:, None] / norms[None, :]
-                if digits is not None:
-                    scores = np.round(scores, digits)
-                for k, name in enumerate(names):
-                    mine = scores[:, k]
-                    at = np.flatnonzero(~np.isnan(mine))
-                    if len(at) > n:
-                        at = at[mine[at] >= np.partition(mine[at], len(at) - n)[len(at) - n]]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), ids.take(pa.array(at)), pa.array(mine[at])], names=["query_id", "chunk_id", "score"])
-
-        return rows.mapInArrow(best, "query_id long, chunk_id string, score double")
+                for lo in range(0, batch.num_rows, step):
+                    ids, column = (c.slice(lo, step) for c in batch.columns)
+                    vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        scores = (vectors @ matrix.T) / np.linalg.norm(vectors, axis=1)[:, None]
+                        scores /= norms[None, :]
+                    if digits is not None:
+                        np.round(scores, digits, out=scores)
+                    query, at = [], []
+                    for k in range(len(names)):
+                        mine = scores[:, k]
+                        some = np.flatnonzero(~np.isnan(mine))
+                        if len(some) > n:
+                            some = some[mine[some] >= np.partition(mine[some], len(some) - n)[len(some) - n]]
+                        query.append(np.full(len(some), k))
+                        at.append(some)
+                    query, at = np.concatenate(query), np.concatenate(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, key).take(pa.array(query)), ids.take(pa.array(at)), pa.array(scores[at, query])], names=["query_id", "chunk_id", "score"])
+
+        return rows.mapInArrow(best, schema)
 
     found, block = None, []
     for q in queries.select("query_id", F.col("vector").cast("array<double>")).where(F.col("vector").isNotNull()).toLocalIterator():
@@ -85,7 +93,7 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, where: Column | No
     if block:
         found = scan(block) if found is None else found.unionByName(scan(block))
     if found is None:
-        found = spark.createDataFrame([], "query_id long, chunk_id string, score double")
+        found = spark.createDataFrame([], schema)
     return ranked(found, n)
 
 
@@ -210,11 +218,11 @@ def merge_fragments(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 def multi_fragment_search(chunks: DataFrame, queries: DataFrame, k: int, embed, where: Column | None = None, **options: object) -> DataFrame:
     """Hybrid search of every fragment in one batch, merged by section. `embed`: Column of texts to Column of vectors."""
-    parts = split_queries(queries)
-    width = 1000
-    asked = parts.select((F.col("query_id") * width + F.col("frag_no")).alias("query_id"), "query").withColumn("vector", embed(F.col("query")))
-    hits = search(chunks, asked, k, where, **options)
-    named = hits.select(F.floor(F.col("query_id") / width).cast("long").alias("query_id"), F.pmod("query_id", F.lit(width)).alias("frag_no"), "chunk_id", "score")
+    # Query and fragment are told apart by both numbers, however many fragments a query has.
+    parts = split_queries(queries).withColumn("frag_id", F.concat_ws(":", "query_id", "frag_no"))
+    asked = parts.select(F.col("frag_id").alias("query_id"), "query").withColumn("vector", embed(F.col("query")))
+    hits = search(chunks, asked, k, where, **options).select(F.col("query_id").alias("frag_id"), "chunk_id", "score")
+    named = hits.join(small(parts.select("frag_id", "query_id", "frag_no")), "frag_id").select("query_id", "frag_no", "chunk_id", "score")
     return merge_fragments(named, chunks, k)
 
 

@@ -30,7 +30,7 @@ def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunki
     one = one_per_id(files, "path", [F.col("root").desc()]) if "root" in files.columns else files
     docs = one.select(F.col("path").alias("file_path"), F.col("sha").alias("source_sha"), F.coalesce("content", F.lit("")).alias("text"))
     chunks = chunk_documents(docs, chunking.strategy, chunking.chunk_size, chunking.chunk_overlap, chunking.window_size, chunking.toc_threshold)
-    out = chunks.withColumn("vector", models.embed_column(embedder, tx.contextual_text(F.col("file_path"), F.col("header"), F.col("text"))))
+    out = chunks.withColumn("vector", models.embed_column(embedder, tx.contextual_text(F.col("file_path"), F.col("header"), F.col("text")), isolate=True))
     if sparse is not None:
         found = models.sparse_column(sparse, F.col("text"), "passage")
         out = out.withColumn("_s", found).withColumns({"sparse_indices": F.col("_s.indices"), "sparse_values": F.col("_s.values")}).drop("_s")
@@ -40,17 +40,23 @@ def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunki
 def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking: Chunking = Chunking(), mode: str = "upsert") -> dict[str, int]:
     """Bring the index up to date; returns the counters. `mode` 'replace' deletes a changed file's old chunks first.
 
-    A file without text is processed and leaves no chunk. A failing embedder fails the run before anything is written.
+    A file without text is processed and leaves no chunk. A file of which a chunk can't be embedded counts as failed and
+    leaves the index as it was for it; the others go on.
     """
     stored = index.read()
     shas = file_shas(stored)
-    done = counters(file_status(files, shas)).first().asDict()
     fresh = changed_files(files, shas)
-    chunks = prepare_chunks(fresh, embedder, chunking)
-    if mode == "replace":
-        gone = fresh.select(F.col("path").alias("file_path")).distinct()
-        rest = stored.join(gone, "file_path", "left_anti").select(*stored.columns)
-        index.write(rest.unionByName(one_per_id(chunks, "chunk_id", [F.col("chunk_id")]).select(*stored.columns)))
-    else:
-        index.upsert(chunks)
+    made = prepare_chunks(fresh, embedder, chunking).persist()  # embedded once, read for the failures and for the index
+    try:
+        failed = made.where(F.col("vector").isNull()).select(F.col("file_path").alias("path")).distinct()
+        done = counters(file_status(files, shas, failed)).first().asDict()
+        chunks = made.join(failed.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
+        if mode == "replace":
+            gone = fresh.select("path").join(failed, "path", "left_anti").select(F.col("path").alias("file_path")).distinct()
+            rest = stored.join(gone, "file_path", "left_anti").select(*stored.columns)
+            index.write(rest.unionByName(one_per_id(chunks, "chunk_id", [F.col("chunk_id")]).select(*stored.columns)))
+        else:
+            index.upsert(chunks)
+    finally:
+        made.unpersist()
     return done

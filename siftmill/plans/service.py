@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.functions import text as tx
 from siftmill.operators import models, postprocess, retrieval
 from siftmill.sources.config import Retrieval
 
@@ -16,7 +17,7 @@ class SearchService:
     """Search of an index with plain, hypothetical-document or adaptive retrieval, reranking and filtering.
 
     A failing reranker fails the plan; a relevance filter that knows nothing keeps its hits; a query whose hypothetical
-    documents all fail is searched with its own vector.
+    documents all fail is searched by its fragments. Reranker and filter see the text that results show.
     """
 
     chunks: DataFrame
@@ -39,11 +40,15 @@ class SearchService:
         options = {"prefetch": self.settings.prefetch}
         if self.settings.hyde and self.generator:
             asked = queries.withColumn("vector", self.embed(F.col("query")))
-            hyde = postprocess.hyde_vectors(queries, self.settings.hyde_docs, self.generator, self.embedder)
+            # The answers are made once: the plan reads their vectors several times.
+            hyde = postprocess.hyde_vectors(queries, self.settings.hyde_docs, self.generator, self.embedder).persist()
             if adaptive:
                 hits = postprocess.adaptive_hyde_search(self.chunks, asked, n, hyde, self.settings.hyde_threshold, where, **options)
             else:
-                hits = postprocess.hyde_search(self.chunks, asked, n, hyde, where, **options)
+                good, bad = hyde.where(F.col("vector").isNotNull()), hyde.where(F.col("vector").isNull()).select("query_id")
+                hits = postprocess.hyde_search(self.chunks, asked.join(good.select("query_id"), "query_id", "left_semi"), n, good, where, **options)
+                plain = retrieval.multi_fragment_search(self.chunks, queries.join(bad, "query_id", "left_semi"), n, self.embed, where, **options)
+                hits = hits.select(*postprocess.HITS).unionByName(plain.select(*postprocess.HITS))
         else:
             hits = retrieval.multi_fragment_search(self.chunks, queries, n, self.embed, where, **options)
         return self.finish(hits, queries, k)
@@ -54,7 +59,8 @@ class SearchService:
 
     def finish(self, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if self.reranker or self.settings.chunk_filter:
-            text = self.chunks.select("chunk_id", "text")
+            window = F.col("window_text") if "window_text" in self.chunks.columns else F.lit("")
+            text = self.chunks.select("chunk_id", tx.display_text(window, F.col("text")).alias("text"))
             wide = hits.select("query_id", "chunk_id", "score", "rank").join(text, "chunk_id").join(retrieval.small(queries.select("query_id", "query")), "query_id")
             if self.reranker:
                 wide = postprocess.rerank(wide, k, models.rerank_column(self.reranker, F.col("query"), F.col("text")))

@@ -79,8 +79,12 @@ def list_markdown(spark: SparkSession, roots: list[str], ignore: list[str] = ())
 
 
 def fetch_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Content of the wanted paths, from the rows that the listing has read already."""
-    return wanted.join(files.select("path", "content"), "path", "left")
+    """Content of the wanted files, from the rows that the listing has read already.
+
+    With a `root` on both sides, equal paths under different roots are different files.
+    """
+    key = ["root", "path"] if "root" in wanted.columns and "root" in files.columns else ["path"]
+    return wanted.join(files.select(*key, "content"), key, "left")
 
 
 def convert_pdfs(spark: SparkSession, folder: str, done: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
