@@ -17,12 +17,13 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Date of responses whose table names none.
 DATE = "2024-01-01T00:00:00Z"
 
-_DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)")
+# No pattern runs past the next tag or, unclosed, more than once to the end: a hostile page costs no more than its length.
+_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|head|body|html|blockquote|pre|hr|dt|dd|dl|form|option|td|th)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""")
+_LINK = re.compile(r"""(?is)<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_TITLE = re.compile(r"(?is)<title\b[^<>]*>([^<]*)</title\s*>")
+_LANG = re.compile(r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z-]+)""")
 
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length long, record binary"
 
@@ -54,8 +55,13 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plain_text(page: str) -> str:
-    """Visible text: scripts, styles and comments go, block elements break lines, references are decoded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", page)))
+    """Visible text: scripts, styles and comments go, block elements break lines, references are decoded.
+
+    What is not closed reaches to the end of the page; a last tag without its end is text.
+    """
+    seen = _DROPPED.sub(" ", page)
+    cut = seen.rfind(">") + 1
+    text = _TAG.sub("", _BLOCK.sub("\n", seen[:cut])) + seen[cut:]
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -98,7 +104,7 @@ def build_warc(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
 
     Derivatives name the response in WARC-Refers-To and keep its date, target and digests; record ids follow from what
     they identify, so reruns and retried tasks write the same records. A null url counts as empty, null html as an empty
-    page; repeated rows give repeated records; an empty table gives none; other columns are left out.
+    page, a long or malformed one is read whole; a null key is kept; repeated rows give repeated records; an empty table gives none; other columns are left out.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
