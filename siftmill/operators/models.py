@@ -154,15 +154,22 @@ def sparse_column(embedder: SparseEmbedder, text: Column, kind: str) -> Column:
 
 
 def generate_column(generator: TextGenerator, prompt: Column) -> Column:
-    """Generated texts; a null where the generator failed for its batch or gave nothing."""
+    """Generated texts; a null where the generator failed or gave nothing. Prompts of a failing batch are tried one by one."""
 
     @F.pandas_udf("string")
     def generated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(prompt: str) -> str | None:
+            try:
+                return generator.generate([prompt])[0]
+            except Exception:
+                return None
+
         for prompts in batches:
+            plain = prompts.fillna("").tolist()
             try:
-                texts = generator.generate(prompts.fillna("").tolist())
+                texts = generator.generate(plain)
             except Exception:
-                texts = [None] * len(prompts)
+                texts = [one(p) for p in plain]
             if len(texts) != len(prompts):
                 raise ModelError(f"{len(prompts)} prompts gave {len(texts)} texts")
             yield pd.Series([t or None for t in texts], index=prompts.index, dtype=object)

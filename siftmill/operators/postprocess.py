@@ -41,6 +41,35 @@ def filter_by_replies(hits: DataFrame, replies: DataFrame, threshold: float = 0.
     return relevance_filter(parsed.withColumn("_p", place), value, threshold).drop("_s", "_n", "_p")
 
 
+#: Fixed value: the instructions of the relevance filter.
+FILTER_PROMPT = (
+    "You are a retrieval filter for a knowledge base.\n\n"
+    "Query: %s\n\n"
+    "Rate each passage for relevance to the query.\n"
+    "Return ONLY a JSON array of numbers between 0 and 1, one per passage, in order.\n"
+    "Example for 3 passages: [0.9, 0.1, 0.7]\n\n"
+    "Passages:\n%s"
+)
+
+
+def filter_prompts(hits: DataFrame) -> DataFrame:
+    """query_id, prompt: one prompt for each query with its hits (query_id, query, rank, text), numbered by rank from 1."""
+    head, middle, tail = FILTER_PROMPT.split("%s")
+    # A query's hits are the few that a search returns.
+    listed = hits.groupBy("query_id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_p"))
+    passages = F.array_join(F.transform("_p", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(p["text"], F.lit("")), F.lit("\n\n"))), "")
+    return listed.select("query_id", F.concat(F.lit(head), F.coalesce("query", F.lit("")), F.lit(middle), passages, F.lit(tail)).alias("prompt"))
+
+
+def model_filter(hits: DataFrame, model: models.TextGenerator, threshold: float = 0.5) -> DataFrame:
+    """Hits (query_id, query, rank, text, ...) whose relevance a model rates at the threshold or above, by one prompt for each query.
+
+    A query for which the model fails or gives no fitting array, or of which no hit is left, keeps all its hits.
+    """
+    replies = filter_prompts(hits).select("query_id", models.generate_column(model, F.col("prompt")).alias("reply"))
+    return filter_by_replies(hits, replies, threshold)
+
+
 def prompt_order(hits: DataFrame) -> DataFrame:
     """Add `place`, where the best hits stand at both ends, and `n`, the hits of the query."""
     return hits.withColumn("n", F.count("*").over(Window.partitionBy("query_id")).cast("int")).withColumn("place", tx.middle_order(F.col("n"), F.col("rank").cast("int") - 1))
@@ -83,6 +112,13 @@ def rag_prompt(context: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("query_id", F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), F.col("query"), F.lit(tail)).alias("prompt"))
 
 
+def answers(hits: DataFrame, queries: DataFrame, generator: models.TextGenerator, max_tokens: int = 2048) -> DataFrame:
+    """query_id, answer of the queries with hits (query_id, rank, file_path, text); null where the generator failed."""
+    context = rag_context(hits, max_tokens)
+    prompts = rag_prompt(context, queries.join(context.select("query_id"), "query_id", "left_semi"))
+    return prompts.select("query_id", models.generate_column(generator, F.col("prompt")).alias("answer"))
+
+
 def hyde_vectors(queries: DataFrame, n: int, generator: models.TextGenerator, embedder: models.Embedder, several: bool = False) -> DataFrame:
     """query_id, query, vector: the unit mean of the vectors of n hypothetical answers.
 
@@ -145,3 +181,15 @@ def cache_entries(queries: DataFrame, hits: DataFrame, now: Column) -> DataFrame
     """Cache rows (id, query, vector, results, cached_at) of answered queries."""
     listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("results"))
     return queries.join(listed, "query_id").select(tx.uuid5(tx.CACHE_NAMESPACE, F.col("query")).alias("id"), "query", "vector", "results", F.date_trunc("second", now).alias("cached_at"))
+
+
+#: Cache rows that hold whole result lists, for an `Index` with by="id".
+RESULT_CACHE = "id string, query string, vector array<float>, results array<struct<rank:int,file_path:string,header:string,line_start:int,score:float,text:string>>, cached_at timestamp"
+RESULT_FIELDS = ["rank", "file_path", "header", "line_start", "score", "text"]
+
+
+def result_entries(queries: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Rows of RESULT_CACHE for queries (query_id, query, vector) with results; those without leave no row."""
+    row = F.struct(F.col("rank").cast("int").alias("rank"), *RESULT_FIELDS[1:])
+    listed = results.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("results"))
+    return queries.join(listed, "query_id").select(tx.uuid5(tx.CACHE_NAMESPACE, F.col("query")).alias("id"), "query", "vector", "results", F.date_trunc("second", now).alias("cached_at"))

@@ -6,6 +6,8 @@ corpus, queries and stand-ins, stated below in each one's language.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -289,6 +291,30 @@ def filter_by_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess.filter_by_replies(hits, replies, 0.5).select("query_id", "chunk_id", "rank")
 
 
+def filter_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.filter_prompts(hits_with_text(spark, sf_dir))
+
+
+class EveryOther:
+    """A judge that likes the first passage, the third and so on, and fails on batches with any German query."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        if any("Query: zu ein\n" in p for p in prompts):
+            raise models.ModelError("no German")
+        counts = [len(re.findall(r"^\[\d+\] ", p.partition("Passages:\n")[2], re.M)) for p in prompts]
+        return [json.dumps([0.9 - 0.8 * (i % 2) for i in range(n)]) for n in counts]
+
+
+def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postprocess.model_filter(hits_with_text(spark, sf_dir), EveryOther(), 0.5).select("query_id", "chunk_id", "rank")
+
+
+def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that repeat the prompt's question, of the queries with sources."""
+    hits = hits_with_text(spark, sf_dir).where("query_id <> 3")
+    return postprocess.answers(hits, queries_table(spark, sf_dir), models.EchoGenerator(), CONTEXT_TOKENS)
+
+
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queries_table(spark, sf_dir)
     rows = postprocess.cache_entries(q, retrieval.hybrid_search(corpus(spark, sf_dir), q, K), F.to_timestamp(F.lit(NOW)))
@@ -379,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         changed_files, ingest_counters, upsert_merge, delete_by_file, file_shas, lookup_sha, point_count, vector_mean, l2_normalize, hyde_search,
         adaptive_hyde, rerank_overlap, chunk_filter, cache_lookup, cache_or_search, lost_in_middle, rag_context, ndjson_decode, ignore_patterns,
         markdown_sections, rag_prompt, hybrid_rrf_sparse, search_results, hyde_prompts, filter_by_replies, cache_entries, valid_requests,
-        embed_isolated,
+        embed_isolated, filter_prompts, model_filter, rag_answer,
     )
 }
 
@@ -536,6 +562,9 @@ ORACLE_SQL: dict[str, str] = {
     "search_results": f"with {_CORPUS}, {_Q}, {_hybrid()} select query_id, rank, file_path, header, line_start, round(score::float::double, 6) as score, case when chunk_index = 1 then 'w ' || text else text end as text from hits join corpus using (chunk_id)",
     "hyde_prompts": f"with {_Q}, p as (select query_id, query, unnest(range(7))::int as doc_no from q) select query_id, doc_no, replace([{', '.join(map(_text, models.HYDE_PROMPTS))}][doc_no % 5 + 1], '%s', query) as prompt from p",
     "filter_by_replies": f"with {_CORPUS}, {_Q}, {_hybrid()}, r as (select * from (values (1, [0.2, 0.8, 0.4, 0.6, 0.5])) t(query_id, s)), w as (select *, count(*) over (partition by query_id) as n from hits left join r using (query_id)) select query_id, chunk_id, rank from w where s is null or n <> len(s) or s[rank] >= 0.5",
+    "filter_prompts": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select h.query_id, q.query, string_agg('[' || rank || '] ' || c.text || chr(10) || chr(10), '' order by rank) as p from hits h join corpus c using (chunk_id) join q using (query_id) group by 1, 2) select query_id, {_text(postprocess.FILTER_PROMPT.split('%s')[0])} || query || {_text(postprocess.FILTER_PROMPT.split('%s')[1])} || p as prompt from o",
+    "model_filter": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)} select query_id, chunk_id, rank from hits where rank % 2 = 1 or query_id = 3",
+    "rag_answer": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)} select distinct query_id, query as answer from hits join q using (query_id) where query_id <> 3",
     "cache_entries": f"with {_CORPUS}, {_Q}, {_hybrid()} select {_uuid(tx.CACHE_NAMESPACE, 'query')} as id, query, string_agg(chunk_id, ',' order by rank) as results, '{NOW}' as cached_at from hits join q using (query_id) group by query_id, query",
     "valid_requests": "select conv_id, turn, case when turn % 4 - 1 > 0 then turn % 4 - 1 else 5 end::int as top_k from conversations",
     "embed_isolated": "select count(*) filter (lang is distinct from 'fr') as processed, 0::bigint as skipped, count(*) filter (lang = 'fr') as failed from documents",

@@ -53,8 +53,7 @@ def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking:
         chunks = made.join(failed.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
         if mode == "replace":
             gone = fresh.select("path").join(failed, "path", "left_anti").select(F.col("path").alias("file_path")).distinct()
-            rest = stored.join(gone, "file_path", "left_anti").select(*stored.columns)
-            index.write(rest.unionByName(one_per_id(chunks, "chunk_id", [F.col("chunk_id")]).select(*stored.columns)))
+            index.change(chunks, gone)
         else:
             index.upsert(chunks)
     finally:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,15 +10,18 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
 from siftmill.operators import models, postprocess, retrieval
-from siftmill.sources.config import Retrieval
+from siftmill.sources.config import Cache, Retrieval
+from siftmill.sources.index import Index
 
 
 @dataclass
 class SearchService:
     """Search of an index with plain, hypothetical-document or adaptive retrieval, reranking and filtering.
 
-    A failing reranker fails the plan; a relevance filter that knows nothing keeps its hits; a query whose hypothetical
-    documents all fail is searched by its fragments. Reranker and filter see the text that results show.
+    A failing reranker fails the plan; a relevance filter that fails or knows nothing keeps its hits; a query whose
+    hypothetical documents all fail is searched by its fragments. Reranker and filter see the text that results show.
+    `judge` rates relevance by prompts; without one, the share of shared words stands in. `generator` writes hypothetical
+    documents and answers.
     """
 
     chunks: DataFrame
@@ -25,6 +29,7 @@ class SearchService:
     settings: Retrieval = field(default_factory=Retrieval)
     reranker: models.Reranker | None = None
     generator: models.TextGenerator | None = None
+    judge: models.TextGenerator | None = None
 
     def embed(self, text: Column) -> Column:
         return models.embed_column(self.embedder, text)
@@ -57,6 +62,31 @@ class SearchService:
         k = k if k and k > 0 else self.settings.top_k
         return self.finish(retrieval.keyword_search(self.chunks, queries, self.fetch(k), where), queries, k)
 
+    def answer(self, queries: DataFrame, k: int | None = None, where: Column | None = None, max_tokens: int = 2048) -> DataFrame:
+        """query_id, answer from the results of a search, which never come from a cache; a query without results has no row."""
+        if self.generator is None:
+            raise ValueError("answers need a generator")
+        return postprocess.answers(self.search(queries, k, where), queries, self.generator, max_tokens)
+
+    def cached_search(self, queries: DataFrame, cache: Index, settings: Cache = Cache(), k: int | None = None, where: Column | None = None, now: Column | None = None) -> DataFrame:
+        """`search` behind a cache (an `Index` of RESULT_CACHE rows by id), which then also holds the lists of the queries it did not know.
+
+        A known query gets the first k of its cached results, whatever `where` says: entries are told apart by the query
+        alone. Lists are written first and results read from there, so that they are searched once. `now` is a constant.
+        """
+        k = k if k and k > 0 else self.settings.top_k
+        if not settings.enabled:
+            return self.search(queries, k, where)
+        now = F.timestamp_seconds(F.lit(int(time.time()))) if now is None else now
+        asked = queries.select("query_id", "query").withColumn("vector", self.embed(F.col("query")))
+        held = cache.read()
+        hits = postprocess.cache_lookup(held, asked, now, settings.threshold, settings.ttl_seconds).select("query_id", "cache_id")
+        missed = asked.join(hits, "query_id", "left_anti")
+        cache.upsert(postprocess.result_entries(missed, self.search(missed.select("query_id", "query"), k, where), now), key="id")
+        made = missed.select("query_id", tx.uuid5(tx.CACHE_NAMESPACE, F.col("query")).alias("cache_id"))
+        lists = lambda which, rows: which.join(rows.select(F.col("id").alias("cache_id"), F.slice("results", 1, k).alias("r")), "cache_id").select("query_id", F.inline("r"))
+        return lists(hits, held).unionByName(lists(made, cache.read().where(F.col("cached_at") == F.date_trunc("second", now))))
+
     def finish(self, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if self.reranker or self.settings.chunk_filter:
             window = F.col("window_text") if "window_text" in self.chunks.columns else F.lit("")
@@ -65,7 +95,8 @@ class SearchService:
             if self.reranker:
                 wide = postprocess.rerank(wide, k, models.rerank_column(self.reranker, F.col("query"), F.col("text")))
             if self.settings.chunk_filter:
-                wide = postprocess.relevance_filter(wide, models.overlap_score(F.col("query"), F.col("text")), self.settings.filter_threshold)
+                threshold = self.settings.filter_threshold
+                wide = postprocess.model_filter(wide, self.judge, threshold) if self.judge else postprocess.relevance_filter(wide, models.overlap_score(F.col("query"), F.col("text")), threshold)
             hits = wide.select("query_id", "chunk_id", "score", "rank")
         return retrieval.results(hits.select("query_id", "chunk_id", "score", "rank"), self.chunks)
 

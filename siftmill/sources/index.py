@@ -1,8 +1,8 @@
-"""The chunk index: a versioned Parquet table with upserts, deletes and lookups."""
+"""The chunk index: a Parquet table in versioned buckets, with upserts, deletes and lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,35 +45,63 @@ def delete_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class Index:
-    """A folder of versions v=0, v=1, ...; a version is written whole, and readers take the last complete one.
+    """A folder of versions v=0, v=1, ... whose rows lie in buckets by the hash of the column `by`.
 
-    Rows are sorted by file_path within files, so that filters on it skip row groups.
+    A version holds the buckets that its change touched, whole; a reader takes each bucket from the last complete version
+    that touched it, so that a change costs the buckets it meets and not the index. `touched`, written last, lists the
+    buckets of a version, also those that it emptied; a version without it, left by a lost driver, is not read. Rows with
+    equal keys have equal `by` (a chunk's id follows from its file). Rows are sorted by `by` within files, so that filters on it skip row groups.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, by: str = "file_path", buckets: int = 64):
+        self.spark, self.path, self.schema, self.by, self.buckets = spark, path.rstrip("/"), schema, by, buckets
+
+    def _names(self, folder: str) -> list[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, sort: str = "file_path") -> None:
-        found = self._versions()
-        names = [f.name for f in self.read().schema.fields]
-        ordered = rows.select(*names)
-        (ordered.sortWithinPartitions(sort) if sort in names else ordered).write.parquet(f"{self.path}/v={(found[-1] if found else -1) + 1}")
+        """Numbers of all versions, begun or complete."""
+        return sorted(int(n[2:]) for n in self._names(self.path) if n.startswith("v="))
+
+    def _last(self) -> dict[int, int]:
+        """The version that holds each bucket."""
+        done = [v for v in self._versions() if "_SUCCESS" in self._names(f"{self.path}/v={v}/touched")]
+        if not done:
+            return {}
+        rows = self.spark.read.schema("v int, bucket int").parquet(*[f"{self.path}/v={v}/touched" for v in done])
+        return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("v").alias("v")).collect()}  # one row a bucket
+
+    def _of(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        last = self._last()
+        held = {v: set(self._names(f"{self.path}/v={v}/rows")) for v in set(last.values())}
+        paths = [f"{self.path}/v={v}/rows/bucket={b}" for b, v in sorted(last.items()) if (only is None or b in only) and f"bucket={b}" in held[v]]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None, key: str = "chunk_id") -> None:
+        """Take out the rows whose `by` is in `gone`, then put in those of `new`, in place of rows with the same key."""
+        parts = [x.select(self._of(self.by).alias("bucket")) for x in (new, gone) if x is not None]
+        touched = [r["bucket"] for r in (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct().collect()]
+        if not touched:
+            return
+        rows = self.read(touched)
+        if gone is not None:
+            rows = rows.join(gone.select(self.by).distinct(), self.by, "left_anti").select(*rows.columns)
+        if new is not None:
+            rows = upsert(rows, new, key)
+        folder = f"{self.path}/v={max(self._versions(), default=-1) + 1}"
+        # A rebalance, unlike a repartition, lets Spark split a bucket that is large.
+        rows = rows.withColumn("bucket", self._of(self.by)).hint("rebalance", F.col("bucket"))
+        rows.sortWithinPartitions("bucket", self.by).write.partitionBy("bucket").parquet(f"{folder}/rows")
+        self.spark.createDataFrame([(int(folder.rsplit("=", 1)[1]), b) for b in touched], "v int, bucket int").coalesce(1).write.parquet(f"{folder}/touched")
 
     def upsert(self, new: DataFrame, key: str = "chunk_id") -> None:
-        self.write(upsert(self.read(), new, key))
+        self.change(new, key=key)
 
     def delete_files(self, files: DataFrame) -> None:
-        self.write(delete_files(self.read(), files))
+        self.change(gone=files)
