@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """`df` written once to the folder of spark.checkpoint.dir, which all executors share.
 
-    A folder is chosen here only where the session names none, as in tests on one machine.
+    A folder is chosen here only where the session names none and runs on one machine, as in tests; a cluster's other
+    machines could not read it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftmill-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -10,14 +10,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 UNIT = 64
 #: Payload bytes that one media sample of the writer holds, samples between two key frames, and ticks a second.
 SAMPLE_BYTES, KEY_EVERY, TIMESCALE = 4096, 16, 8000
-#: Boxes that hold boxes, with the bytes before the first of these.
-NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0}
+#: Boxes that hold boxes, and how deep they may.
+NESTED = (b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"mvex", b"moof", b"traf")
+MAX_DEPTH = 16
+#: The flag of samples in fragments that are no key frames.
+NOT_SYNC = 0x10000
 
-FEATURES = "struct<error:string,brand:string,tracks:int,codec:string,timescale:long,duration:long,seconds:double,samples:long,bytes:long,keyframes:array<struct<sample:long,start:long,end:long>>>"
+_STREAM = "codec:string,timescale:long,duration:long,seconds:double,samples:long,bytes:long,keyframes:array<struct<sample:long,start:long,end:long>>"
+FEATURES = f"struct<error:string,brand:string,tracks:int,{_STREAM},streams:array<struct<track_id:long,handler:string,{_STREAM}>>>"
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -71,8 +77,10 @@ def write_media(payload: bytes) -> bytes:
     return head + moov(start) + struct.pack(">I4s", len(payload) + 8, b"mdat") + payload
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte of the body, end) of every box, entering those that nest."""
+def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, first byte, first byte of the body, end) of every box, entering those that nest."""
+    if len(path) > MAX_DEPTH:
+        raise ValueError("boxes nest too deep")
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
@@ -82,81 +90,172 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at byte {start} ends outside its parent")
-        yield (*path, kind), start + head, start + size
+        yield (*path, kind), start, start + head, start + size
         if kind in NESTED:
-            yield from walk(data, start + head + NESTED[kind], start + size, (*path, kind))
+            yield from walk(data, start + head, start + size, (*path, kind))
         start += size
 
 
-def _rows(data: memoryview, start: int, end: int, fields: str) -> list[tuple[int, ...]]:
-    (n,) = struct.unpack_from(">I", data, start + 4)
-    width = struct.calcsize(f">{fields}")
-    if start + 8 + n * width > end:
+def _rows(data: memoryview, start: int, end: int, fields: str, skip: int = 4) -> list[tuple[int, ...]]:
+    """A counted table behind `skip` bytes of the body."""
+    (n,) = struct.unpack_from(">I", data, start + skip)
+    width, first = struct.calcsize(f">{fields}"), start + skip + 4
+    if first + n * width > end:
         raise ValueError("a sample table is cut off")
-    return list(struct.iter_unpack(f">{fields}", data[start + 8 : start + 8 + n * width]))
+    return list(struct.iter_unpack(f">{fields}", data[first : first + n * width]))
 
 
-def probe(content: bytes) -> dict:
-    """Brand, and of the first track codec, duration, sample places and key frame byte ranges; payloads are not read."""
-    data = memoryview(content)
-    out: dict = {"tracks": 0}
-    at: dict[bytes, tuple[int, int]] = {}
-    for path, start, end in walk(data, 0, len(data)):
-        if path[-1] == b"ftyp":
-            out["brand"] = bytes(data[start : start + 4]).decode("latin-1")
-        elif path[-1] == b"trak":
-            out["tracks"] += 1
-        elif out["tracks"] == 1 and b"mdia" in path:
-            at.setdefault(path[-1], (start, end))
-    missing = [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc") if k not in at]
-    if missing:
-        raise ValueError(f"no {', '.join(missing)} in the first track")
-    start, _ = at[b"mdhd"]
-    out["timescale"], out["duration"] = struct.unpack_from(">IQ", data, start + 20) if data[start] else struct.unpack_from(">II", data, start + 12)
-    out["codec"] = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
+def _table_places(data: memoryview, at: dict[bytes, tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte range of each sample of the track's own tables."""
     start, end = at[b"stsz"]
     same, n = struct.unpack_from(">II", data, start + 4)
-    if not same and start + 12 + 4 * n > end:
+    if n > len(data) or (not same and start + 12 + 4 * n > end):
         raise ValueError("a sample table is cut off")
-    sizes = [same] * n if same else list(struct.unpack_from(f">{n}I", data, start + 12))
+    sizes = [same] * n if same else struct.unpack_from(f">{n}I", data, start + 12)
     chunks = [x[0] for x in (_rows(data, *at[b"co64"], "Q") if b"co64" in at else _rows(data, *at[b"stco"], "I"))]
     dealt = _rows(data, *at[b"stsc"], "III")
     places: list[tuple[int, int]] = []
     for k, (first, each, _) in enumerate(dealt):
         for chunk in range(first, dealt[k + 1][0] if k + 1 < len(dealt) else len(chunks) + 1):
+            if not 1 <= chunk <= len(chunks):
+                raise ValueError("a chunk has no offset")
             byte = chunks[chunk - 1]
-            for _ in range(each):
-                if len(places) == n:
-                    break
-                places.append((byte, byte + sizes[len(places)]))
-                byte = places[-1][1]
+            for size in sizes[len(places) : len(places) + each]:
+                places.append((byte, byte + size))
+                byte += size
     if len(places) != n:
         raise ValueError("the chunks hold fewer samples than the size table")
-    if any(b > len(data) for _, b in places):
-        raise ValueError("a sample lies outside the file")
-    ticks = sum(a * b for a, b in _rows(data, *at[b"stts"], "II"))
-    keys = [x[0] for x in _rows(data, *at[b"stss"], "I")] if b"stss" in at else list(range(1, n + 1))
-    out |= {"duration": ticks or out["duration"], "samples": n, "bytes": sum(sizes), "places": places, "keyframes": [{"sample": k, "start": places[k - 1][0], "end": places[k - 1][1]} for k in keys]}
-    out["seconds"] = out["duration"] / out["timescale"] if out["timescale"] else None
+    return places
+
+
+def _track(data: memoryview, at: dict[bytes, tuple[int, int]]) -> dict:
+    """What a track's own boxes say; its movie fragments add to it."""
+    missing = [k.decode() for k in (b"tkhd", b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in at]
+    if missing:
+        raise ValueError(f"no {', '.join(missing)} in a track")
+    out: dict = {}
+    start, _ = at[b"tkhd"]
+    (out["track_id"],) = struct.unpack_from(">I", data, start + (20 if data[start] else 12))
+    start, _ = at[b"mdhd"]
+    out["timescale"], out["duration"] = struct.unpack_from(">IQ", data, start + 20) if data[start] else struct.unpack_from(">II", data, start + 12)
+    if b"hdlr" in at:
+        out["handler"] = bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]).decode("latin-1")
+    out["codec"] = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
+    out["places"] = _table_places(data, at)
+    out["ticks"] = sum(a * b for a, b in _rows(data, *at[b"stts"], "II"))
+    out["keys"] = [x[0] for x in _rows(data, *at[b"stss"], "I")] if b"stss" in at else list(range(1, len(out["places"]) + 1))
     return out
 
 
+def _fragment(data: memoryview, start: int, defaults: dict[int, tuple[int, ...]]) -> dict:
+    """Header of a track fragment: track, whether and where its data have a base, and duration, size and flags of its samples."""
+    flags, track = struct.unpack_from(">II", data, start)
+    at, found = start + 8, {}
+    for bit, name, width in ((1, "base", 8), (2, "entry", 4), (8, "duration", 4), (16, "size", 4), (32, "flags", 4)):
+        if flags & bit:
+            found[name] = int.from_bytes(data[at : at + width], "big")
+            at += width
+    _, duration, size, kind = defaults.get(track, (0, 0, 0, 0))
+    return {"track": track, "duration": duration, "size": size, "flags": kind, "at_moof": bool(flags & 0x20000), **found}
+
+
+def _run(data: memoryview, start: int, end: int, part: dict, track: dict) -> None:
+    """Add the samples of a track run; `part["next"]` is where the data of a run without an offset begin."""
+    flags, n = struct.unpack_from(">II", data, start)
+    flags, at, first = flags & 0xFFFFFF, start + 8, None
+    byte = part["next"]
+    if flags & 1:
+        byte, at = part["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+    if flags & 4:
+        (first,), at = struct.unpack_from(">I", data, at), at + 4
+    given = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if n > len(data) or at + 4 * len(given) * n > end:
+        raise ValueError("a track run is cut off")
+    for k in range(n):
+        sample = dict(zip(given, struct.unpack_from(f">{len(given)}I", data, at + 4 * len(given) * k), strict=True))
+        size = sample.get("size", part["size"])
+        kind = first if k == 0 and first is not None and "flags" not in sample else sample.get("flags", part["flags"])
+        track["places"].append((byte, byte + size))
+        track["ticks"] += sample.get("duration", part["duration"])
+        if not kind & NOT_SYNC:
+            track["keys"].append(len(track["places"]))
+        byte += size
+    part["next"] = byte
+
+
+def probe(content: bytes) -> dict:
+    """Brand, number of tracks, and of each track codec, duration, sample places and key frame byte ranges.
+
+    Samples are those of the sample tables, then those of the movie fragments in file order. The first track's values
+    also stand on top. Payloads are not read.
+    """
+    data = memoryview(content)
+    out: dict = {"tracks": 0}
+    boxes: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    tracks: dict[int, dict] = {}
+    part: dict = {}
+    moof, latest = 0, None
+    for path, box, start, end in walk(data, 0, len(data)):
+        kind = path[-1]
+        if kind == b"ftyp":
+            out["brand"] = bytes(data[start : start + 4]).decode("latin-1")
+        elif kind == b"trak":
+            boxes.append({})
+        elif b"trak" in path and boxes:
+            boxes[-1].setdefault(kind, (start, end))
+        elif kind == b"trex":
+            track, *rest = struct.unpack_from(">IIIII", data, start + 4)
+            defaults[track] = tuple(rest)
+        elif kind == b"moof":
+            moof, latest = box, None
+            if not tracks:
+                tracks = {t["track_id"]: t for t in (_track(data, at) for at in boxes)}
+        elif kind == b"tfhd":
+            part = _fragment(data, start, defaults)
+            # Without a base of its own, a fragment's data follow those of the one before in its moof.
+            part.setdefault("base", moof if part["at_moof"] or latest is None else latest)
+            part["next"] = part["base"]
+        elif kind == b"trun":
+            if part.get("track") not in tracks:
+                raise ValueError("a fragment belongs to no track")
+            _run(data, start, end, part, tracks[part["track"]])
+            latest = part["next"]
+    found = list(tracks.values()) or [_track(data, at) for at in boxes]
+    if not found:
+        raise ValueError("no track")
+    for t in found:
+        if any(a < 0 or b > len(data) for a, b in t["places"]):
+            raise ValueError("a sample lies outside the file")
+        t["duration"] = t.pop("ticks") or t["duration"]
+        t["seconds"] = t["duration"] / t["timescale"] if t["timescale"] else None
+        t["samples"], t["bytes"] = len(t["places"]), sum(b - a for a, b in t["places"])
+        t["keyframes"] = [{"sample": k, "start": t["places"][k - 1][0], "end": t["places"][k - 1][1]} for k in t.pop("keys")]
+    return out | found[0] | {"tracks": len(found), "streams": found}
+
+
 def probe_media(df: DataFrame, content: str = "content", to: str = "media") -> DataFrame:
-    """Add a struct with the container's codec, duration, sample count and key frame byte ranges.
+    """Add a struct with the container's codec, duration, sample count and key frame byte ranges: those of the first
+    track, and in `streams` those of every track.
 
     Null content and bytes that are no readable container give a struct whose `error` says why and whose other fields
     are null; no row is lost and none fails the job.
     """
+    kind = to_arrow_type(DataType.fromDDL(FEATURES))
 
-    @F.udf(FEATURES)
-    def probed(data: bytearray | None) -> dict:
+    def one(data: bytes | None) -> dict:
         if data is None:
             return {"error": "null"}
         try:
-            return probe(bytes(data))
+            return probe(data)
         except (ValueError, IndexError, KeyError, struct.error) as e:
             return {"error": str(e) or type(e).__name__}
 
+    @F.arrow_udf(FEATURES)
+    def probed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(x.as_py()) for x in batch], kind)
+
     return df.withColumn(to, probed(F.col(content)))
 
 
@@ -178,7 +277,8 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     container, read back through its sample tables, with digests of both and the container's features.
 
     Features name brand, codec, duration, sample count and the byte range of every key frame. Equal texts give equal
-    values; every input row gives one row; other columns of the input are left out.
+    values; every input row gives one row, also with a null or repeated key; an empty table gives an empty one; other
+    columns of the input are left out. A text is held whole, with its stored form, in one task.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
