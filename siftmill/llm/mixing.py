@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from siftmill.llm.common import bucket_hash, durable, small
 
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Sources that one task numbers, on average.
+SOURCE_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -16,27 +18,50 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered_sources(sizes: DataFrame) -> DataFrame:
+    """`sizes` with `_i`, the number of each source from 0 by code point, null last.
+
+    Sources are dealt into ranges and numbered there, shifted by the rows of the ranges before: no task sorts them all.
+    """
+    order = F.col("source").asc_nulls_last()
+    # Written, as ranges follow from a sample that another run of the stage need not repeat.
+    dealt = durable(sizes.repartitionByRange(sizes.count() // SOURCE_ROWS + 1, order).withColumn("_part", F.spark_partition_id()))
+    # One row for each range.
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.join(small(before), "_part").withColumn("_i", F.col("_before") + place).drop("_part", "_before")
+
+
 def source_targets(sizes: DataFrame, weights: list[int], share: tuple[int, int], most: int) -> DataFrame:
     """Targets of the sources of `sizes` (source, source_size).
 
     Sources by code point, null last, weigh as `weights` repeating, and share share[0]/share[1] of all sizes. A target
-    stops at `most` times its source's size and the excess is reshared by weight. The fixed point needs no loop: by the
-    ratio of cap and weight, sources are capped in ascending order as long as the level of the rest reaches the ratio.
+    stops at `most` times its source's size and the excess is reshared by weight, until none is above: a source is
+    capped if its cap is under weight * level. Each round sums the caps under the level and the weights left, which
+    gives the next level; it only rises, and ends as no further source is capped.
     """
     num, den = share
-    ordered = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighed = ordered.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights)).cast("int") + 1).cast("long")).withColumn("_cap", most * F.col("source_size"))
-    every = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    total = Window.partitionBy()
-    full = (
-        weighed.withColumn("_budget", F.sum("source_size").over(total) * num / den)
-        .withColumn("_caps_before", F.coalesce(F.sum("_cap").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_w_left", F.sum("_w").over(every.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_capped", F.col("_w") * (F.col("_budget") - F.col("_caps_before")) > F.col("_cap") * F.col("_w_left"))
-    )
-    rest = full.withColumn("_c", F.sum(F.when(F.col("_capped"), F.col("_cap")).otherwise(0)).over(total)).withColumn("_wl", F.sum(F.when(~F.col("_capped"), F.col("_w")).otherwise(0)).over(total))
-    target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("_w") * (F.col("_budget") - F.col("_c")) / F.col("_wl"))
-    return rest.select("source", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights)).cast("int") + 1).cast("long")
+    weighed = durable(numbered_sources(sizes).select("source", "source_size", weight.alias("_w"), (most * F.col("source_size")).alias("_cap")))
+    size, left = weighed.agg(F.sum("source_size"), F.sum("_w")).first()
+    if left is None:
+        return weighed.select("source", "source_size", F.lit(None).cast("double").alias("target"))
+    budget = size * num / den
+    level, caps, known = budget / left, 0, -1
+    while True:
+        under = F.col("_cap") / F.col("_w") < level
+        n, capped, open_ = weighed.agg(F.count_if(under), F.coalesce(F.sum(F.when(under, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~under, F.col("_w"))), F.lit(0))).first()
+        if n == known:
+            break
+        known, caps, left = n, capped, open_
+        if not left:
+            break
+        level = max(level, (budget - caps) / left)
+    target = F.when(under, F.col("_cap").cast("double"))
+    if left:
+        target = target.otherwise(F.col("_w") * F.lit(float(budget - caps)) / F.lit(left))
+    return weighed.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, size: Column, weights: list[int], share: tuple[int, int], most: int = 2, key: str = "doc_id", source: str = "source") -> DataFrame:
