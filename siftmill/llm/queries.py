@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.llm.ball_kmeans import ball_kmeans
 from siftmill.llm.common import table
 from siftmill.llm.decontaminate import contaminated
 from siftmill.llm.licenses import HINTS, NOISE, RULES, SENTENCES, scan_licenses
@@ -16,10 +17,13 @@ from siftmill.llm.mixing import mix, word_count
 from siftmill.llm.near_dedup import near_duplicates
 from siftmill.llm.quality import resample
 from siftmill.llm.sharding import shard_documents
+from siftmill.llm.spelling import spelling_variants
 from siftmill.llm.substrings import remove_repeats
+from siftmill.llm.token_planes import token_columns
 from siftmill.llm.warc import build_warc
 
 SHARDS = 16
+BALLS, BALL_ROUNDS = 16, 3
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], (3, 2), 2
 
 
@@ -66,9 +70,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_columns(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(table(spark, sf_dir, "embeddings"), BALLS, BALL_ROUNDS, 64, 64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_quality_classifier, op3_sharding, op4_license_scan, op5_minhash_near_dedup, op6_mixing, op7_warc_derivatives, op8_decontamination, op9_media_columns, op10_lm_scoring)
+    for f in (op1_suffix_dedup, op2_quality_classifier, op3_sharding, op4_license_scan, op5_minhash_near_dedup, op6_mixing, op7_warc_derivatives, op8_decontamination, op9_media_columns, op10_lm_scoring, op11_token_planes, op12_spelling_variants, op13_ball_kmeans)
 }
 
 _HASH60 = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint"
@@ -174,4 +192,55 @@ o as (select *, row_number() over (partition by doc_id, item_id order by whole d
 select doc_id, item_id, whole::int as n_matched, (start + shift)::int as doc_start, start::int as item_start, (hi - lo)::int as length from o where r = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op8_decontamination": LEAKS_SQL, "op3_sharding": SHARDING_SQL, "op4_license_scan": _license_sql(), "op6_mixing": MIXING_SQL}
+_CRC_TABLE = """crc as (
+  with recursive t(i, k, c) as (
+    select i, 0, i::bigint from range(256) r(i) union all
+    select i, k + 1, case when c % 2 = 1 then xor(3988292384::bigint, c // 2) else c // 2 end from t where k < 8)
+  select list(c order by i) as tab from t where k = 8)"""
+
+
+def _crc(text: str) -> str:
+    step = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), (2 * i - 1)::bigint, 2))::bigint)"
+    return f"xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, {step}), lambda acc, x: xor((acc >> 8), tab[xor(acc & 255, x) + 1])))"
+
+
+SPELLING_SQL = f"""
+with recursive {_CRC_TABLE},
+r as (select doc_id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as run from documents) group by all),
+s as (select run, c, coalesce(doc_id::varchar, '') || ':' || run as said from r where length(run) >= 6),
+h as (select run, c, {_crc('said')} as h from s, crc),
+d as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+w as (select word, sum(c)::bigint as n from d group by word having length(word) >= 6 and sum(c) >= 5),
+e as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+cut as (select distinct word, n, substr(word, 1, (i - 1)::bigint) || substr(word, (i + 1)::bigint) as rest from e),
+gap as (select word, n, i, substr(word, 1, (i - 1)::bigint) || chr(1) || substr(word, (i + 1)::bigint) as rest from e),
+near as (
+  select a.word, b.word as near, b.n from gap a join gap b using (rest) where a.word <> b.word
+  union select cut.word, w.word, w.n from cut join w on w.word = cut.rest
+  union select w.word, cut.word, cut.n from cut join w on w.word = cut.rest),
+best as (select word, count(*) as n_near, first({{'near': near, 'n': n}} order by n desc, near) as best from near group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best.n >= 5 * w.n then best.near end as form, case when best.n >= 5 * w.n then best.n end as form_n from w left join best using (word)),
+walk(word, here, depth) as (select word, word, 0 from f union all select walk.word, f.form, depth + 1 from walk join f on f.word = walk.here where f.form is not null)
+select f.word, f.n, f.n_near, f.form, f.form_n, root from f join (select word, arg_max(here, depth) as root from walk group by word) using (word)
+"""
+
+
+def _balls_sql() -> str:
+    nearest = "(select vec_id, v, dist.c as c, dist.d as d from (select vec_id, v, (select {{'c': c, 'd': d}} from (select c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::hugeint as d from {0}) order by d, c limit 1) as dist from k))"
+    steps = []
+    for t in range(BALL_ROUNDS):
+        steps.append(f"""a{t} as {nearest.format(f"m{t}")},
+u{t} as (select c, list(x order by i) as m from (select c, i, (s - ((s % n) + n) % n) // n as x from (select c, i, sum(x)::hugeint as s, count(*) as n from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from a{t}) group by c, i)) group by c),
+m{t + 1} as (select m{t}.c, coalesce(u{t}.m, m{t}.m) as m from m{t} left join u{t} using (c))""")
+    return f"""
+with k as materialized (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::hugeint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+m0 as (select row_number() over (order by h, v) - 1 as c, v as m from (select sha256('1:' || coalesce(vec_id::varchar, '')) as h, v from k) order by h, v limit {BALLS}),
+{', '.join(steps)},
+z as {nearest.format(f"m{BALL_ROUNDS}")}
+select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from z join m{BALL_ROUNDS} using (c)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op8_decontamination": LEAKS_SQL, "op3_sharding": SHARDING_SQL, "op4_license_scan": _license_sql(), "op6_mixing": MIXING_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_ball_kmeans": _balls_sql()}
