@@ -6,6 +6,8 @@ time limits belong to the implementation or to `with_retries`. The stand-ins che
 
 from __future__ import annotations
 
+import json
+import re
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -86,6 +88,31 @@ class EchoGenerator:
         return [p.partition("Question: ")[2].partition("\n")[0] or p for p in prompts]
 
 
+class LengthEmbedder:
+    """The text's length as its vector; fails on a batch that has a text with the mark at its start."""
+
+    def __init__(self, mark: str = "", dimension: int = 1):
+        self.mark, self.dimension = mark, dimension
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if self.mark and any(t.startswith(self.mark) for t in texts):
+            raise ModelError(f"a text starts with {self.mark}")
+        return [[float(len(t))] * self.dimension for t in texts]
+
+
+class AlternatingJudge:
+    """Likes the first passage of a prompt, the third and so on; fails on batches that have a prompt with the mark."""
+
+    def __init__(self, mark: str = ""):
+        self.mark = mark
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        if self.mark and any(self.mark in p for p in prompts):
+            raise ModelError("a prompt has the mark")
+        counts = [len(re.findall(r"^\[\d+\] ", p.partition("Passages:\n")[2], re.M)) for p in prompts]
+        return [json.dumps([0.9 - 0.8 * (i % 2) for i in range(n)]) for n in counts]
+
+
 def with_retries(call: Callable, attempts: int = 3, wait: float = 0.5, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """`call`, tried again up to `attempts` times after failures, with growing pauses."""
 

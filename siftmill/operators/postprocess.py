@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from siftmill.functions import text as tx
 from siftmill.functions import vectors as vx
 from siftmill.operators import models
 from siftmill.operators.retrieval import dense_topk, ranked, search, small
+from siftmill.sources.scratch import durable
 
 HITS = ["query_id", "chunk_id", "score", "rank"]
 
@@ -130,26 +133,29 @@ def hyde_vectors(queries: DataFrame, n: int, generator: models.TextGenerator, em
     return queries.select("query_id", "query").join(vx.mean_vectors(vectors, "query_id", "vector"), "query_id", "left")
 
 
-def hyde_search(chunks: DataFrame, queries: DataFrame, k: int, hyde: DataFrame, where: Column | None = None, respects_filter: bool = False, **options: object) -> DataFrame:
+def hyde_search(chunks: DataFrame, queries: DataFrame, k: int, hyde: DataFrame, where: Column | None = None, respects_filter: bool = False, find: Callable[..., DataFrame] | None = None, **options: object) -> DataFrame:
     """Search with the vectors of `hyde` and the queries' own words. Filters apply only if `respects_filter`.
 
-    A query without a hypothetical vector falls back to its own.
+    A query without a hypothetical vector falls back to its own. `find`(queries, k, where, **options) stands for the search
+    of `chunks`.
     """
-    asked = queries.alias("q").join(hyde.select("query_id", F.col("vector").alias("_v")), "query_id", "left").withColumn("vector", F.coalesce("_v", "vector")).drop("_v")
-    return search(chunks, asked, k, where if respects_filter else None, **options)
+    asked = queries.join(hyde.select("query_id", F.col("vector").alias("_v")), "query_id", "left").withColumn("vector", F.coalesce("_v", "vector")).drop("_v")
+    where = where if respects_filter else None
+    return find(asked, k, where, **options) if find else search(chunks, asked, k, where, **options)
 
 
-def adaptive_hyde_search(chunks: DataFrame, queries: DataFrame, k: int, hyde: DataFrame, threshold: float = 0.5, where: Column | None = None, **options: object) -> DataFrame:
+def adaptive_hyde_search(chunks: DataFrame, queries: DataFrame, k: int, hyde: DataFrame, threshold: float = 0.5, where: Column | None = None, find: Callable[..., DataFrame] | None = None, **options: object) -> DataFrame:
     """Plain search; queries whose best score is under the threshold are searched again with hypothetical vectors.
 
-    Fused scores stay under 2 / 61, so that on the usual threshold every query with hits is searched again.
+    A query without plain hits is not searched again, and one without a hypothetical vector, as after a failure, keeps its
+    plain hits. Fused scores stay under 2 / 61, so that on the usual threshold every query with hits is searched again.
     """
     # A few rows a query, read several times.
-    plain = search(chunks, queries, k, where, **options).persist()
-    top = plain.where("rank = 1").select("query_id", F.col("score").alias("_top"))
-    weak = queries.join(small(top.where(F.col("_top") < threshold).select("query_id")), "query_id", "left_semi")
-    again = hyde_search(chunks, weak, k, hyde, **options).persist()
-    return plain.join(small(again.select("query_id").distinct()), "query_id", "left_anti").select(*HITS).unionByName(again.select(*HITS))
+    plain = durable((find(queries, k, where, **options) if find else search(chunks, queries, k, where, **options)).select(*HITS))
+    weak = plain.where((F.col("rank") == 1) & (F.col("score") < threshold)).select("query_id")
+    weak = durable(weak.join(hyde.where(F.col("vector").isNotNull()).select("query_id"), "query_id", "left_semi"))
+    again = hyde_search(chunks, queries.join(small(weak), "query_id", "left_semi"), k, hyde, find=find, **options)
+    return plain.join(small(weak), "query_id", "left_anti").select(*HITS).unionByName(again.select(*HITS))
 
 
 def cache_lookup(cache: DataFrame, queries: DataFrame, now: Column, threshold: float = 0.9, ttl_seconds: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ keeps N rows a query, and only these rows get the other columns of their chunks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from siftmill.functions import text as tx
+from siftmill.sources.scratch import durable
 
 RRF_K = 60
 #: Numbers in the query vectors of one block (8 bytes each): what a scan over the chunks compares with at once.
@@ -106,16 +107,14 @@ def ranked(hits: DataFrame, n: int | None, score: str = "score", to: str = "rank
 def text_matches(chunks: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
     """query_id, chunk_id of the chunks that have all words of the query, in any order; no words match nothing.
 
-    Terms meet in an equi-join: each query is looked up by its longest term, and the candidates are checked against
-    the others. Queries and chunks are never paired without a shared term.
+    Words meet in an equi-join, and a chunk's words that a query shares are counted where the chunk is read. Queries and
+    chunks are never paired without a shared word. An `Index` does this without a scan (`indexed.text_matches`).
     """
     rows = chunks if where is None else chunks.where(where)
-    terms = queries.select("query_id", F.array_distinct(tx.word_tokens(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
-    longest = F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))[0]["t"]
-    keyed = terms.withColumn("term", longest)
-    words = rows.select("chunk_id", F.array_distinct(tx.word_tokens(F.col("text"))).alias("words"))
-    met = words.select("chunk_id", "words", F.explode("words").alias("term")).join(small(keyed), "term")
-    return met.where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "chunk_id")
+    words = F.array_distinct(tx.word_tokens(F.col("query")))
+    terms = queries.select("query_id", words.alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    met = rows.select("chunk_id", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term")).join(small(terms), "term")
+    return met.groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("have")).where(F.col("have") == F.col("n")).select("query_id", "chunk_id")
 
 
 def first_matches(chunks: DataFrame, queries: DataFrame, n: int, where: Column | None = None) -> DataFrame:
@@ -146,19 +145,21 @@ def lexical_leg(chunks: DataFrame, queries: DataFrame, n: int, where: Column | N
 
 
 def sparse_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None, idf: bool = False) -> DataFrame:
-    """query_id, chunk_id, score: dot products over shared indices, as a join of postings and a partial sum.
+    """query_id, chunk_id, score: dot products over shared indices; of a chunk's repeated index the last value counts.
 
-    With `idf`, a query's weight is multiplied by ln(1 + (n - df + 0.5) / (df + 0.5)) of its index.
+    With `idf`, a query's weight is multiplied by ln(1 + (n - df + 0.5) / (df + 0.5)) of its index. The chunks are read once:
+    what they share with the queries is written down, and counted and summed from there. An `Index` keeps postings
+    (`indexed.sparse_topk`).
     """
     rows = chunks if where is None else chunks.where(where)
-    postings = rows.select("chunk_id", F.posexplode(F.arrays_zip("sparse_indices", "sparse_values")).alias("at", "z"))
-    postings = postings.groupBy("chunk_id", F.col("z.sparse_indices").alias("i")).agg(F.max_by(F.col("z.sparse_values").cast("double"), "at").alias("d"))
-    asked = queries.select("query_id", F.explode(F.arrays_zip("sparse_indices", "sparse_values")).alias("z")).select("query_id", F.col("z.sparse_indices").alias("i"), F.col("z.sparse_values").cast("double").alias("q"))
+    asked = queries.select("query_id", F.explode(F.arrays_zip("sparse_indices", "sparse_values")).alias("z")).groupBy("query_id", F.col("z.sparse_indices").cast("long").alias("i")).agg(F.sum(F.col("z.sparse_values").cast("double")).alias("q"))
+    postings = rows.select("chunk_id", F.posexplode(F.arrays_zip("sparse_indices", "sparse_values")).alias("at", "z")).select("chunk_id", "at", F.col("z.sparse_indices").cast("long").alias("i"), F.col("z.sparse_values").cast("double").alias("d"))
+    met = postings.join(small(asked), "i").groupBy("query_id", "i", "chunk_id").agg(F.max_by("d", "at").alias("d"), F.first("q").alias("q"))
     if idf:
-        n = rows.count()
-        df = postings.groupBy("i").agg(F.count("*").alias("df"))
-        asked = asked.join(df, "i").withColumn("q", F.col("q") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df")
-    return postings.join(small(asked), "i").groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("d")).alias("score"))
+        met, n = durable(met), rows.count()
+        df = met.groupBy("query_id", "i").agg(F.count("*").alias("df"))
+        met = met.join(small(df), ["query_id", "i"]).withColumn("q", F.col("q") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("q") * F.col("d")).alias("score"))
 
 
 def collapse(leg: DataFrame, chunks: DataFrame, order: str, keep_rank: str = "worst") -> DataFrame:
@@ -216,12 +217,15 @@ def merge_fragments(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return ranked(one.select("query_id", "chunk_id", "score"), k)
 
 
-def multi_fragment_search(chunks: DataFrame, queries: DataFrame, k: int, embed, where: Column | None = None, **options: object) -> DataFrame:
-    """Hybrid search of every fragment in one batch, merged by section. `embed`: Column of texts to Column of vectors."""
+def multi_fragment_search(chunks: DataFrame, queries: DataFrame, k: int, embed, where: Column | None = None, find: Callable[..., DataFrame] | None = None, **options: object) -> DataFrame:
+    """Hybrid search of every fragment in one batch, merged by section. `embed`: Column of texts to Column of vectors.
+
+    `find`(queries, k, where, **options) stands for the search of `chunks`, of which then only the sections are read.
+    """
     # Query and fragment are told apart by both numbers, however many fragments a query has.
     parts = split_queries(queries).withColumn("frag_id", F.concat_ws(":", "query_id", "frag_no"))
     asked = parts.select(F.col("frag_id").alias("query_id"), "query").withColumn("vector", embed(F.col("query")))
-    hits = search(chunks, asked, k, where, **options).select(F.col("query_id").alias("frag_id"), "chunk_id", "score")
+    hits = (find(asked, k, where, **options) if find else search(chunks, asked, k, where, **options)).select(F.col("query_id").alias("frag_id"), "chunk_id", "score")
     named = hits.join(small(parts.select("frag_id", "query_id", "frag_no")), "frag_id").select("query_id", "frag_no", "chunk_id", "score")
     return merge_fragments(named, chunks, k)
 

@@ -6,8 +6,6 @@ corpus, queries and stand-ins, stated below in each one's language.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +13,10 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
 from siftmill.functions import vectors as vx
-from siftmill.operators import markdown, models, postprocess, retrieval
+from siftmill.operators import indexed, markdown, models, postprocess, retrieval
 from siftmill.plans import ingest, service
 from siftmill.sources import files, index
+from siftmill.sources.scratch import durable, new_folder
 
 K, N = 5, 25
 TEXTS = ["the of", "das die", "the of and", "zu ein", "de la", "and to"]
@@ -120,11 +119,11 @@ def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.hard_split(F.col("text"), 300, 60)).alias("i", "piece"))
 
 
-TOC_CASES = ["Intro  1\nUse  2\nEnd  30", "Intro  1\nplain words here\nmore words", "One 1\nTwo 2\nThree 3\nfour\nfive", "One 1\nTwo 2\nfour", "", "  \n ", "a" * 81 + " 5", "a" * 80 + " 5"]
-
-
 def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TOC_CASES)), "id long, text string").select("id", tx.is_toc(F.col("text")).alias("toc"))
+    """Whether each document is a table of contents, once its sentences are lines: with page numbers if its number is even."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(". "), F.lit(" 7\n"))).otherwise(F.replace("text", F.lit(". "), F.lit("\n")))
+    return docs.select("doc_id", tx.is_toc(lines).alias("toc"))
 
 
 def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,18 +294,8 @@ def filter_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess.filter_prompts(hits_with_text(spark, sf_dir))
 
 
-class EveryOther:
-    """A judge that likes the first passage, the third and so on, and fails on batches with any German query."""
-
-    def generate(self, prompts: list[str]) -> list[str]:
-        if any("Query: zu ein\n" in p for p in prompts):
-            raise models.ModelError("no German")
-        counts = [len(re.findall(r"^\[\d+\] ", p.partition("Passages:\n")[2], re.M)) for p in prompts]
-        return [json.dumps([0.9 - 0.8 * (i % 2) for i in range(n)]) for n in counts]
-
-
 def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postprocess.model_filter(hits_with_text(spark, sf_dir), EveryOther(), 0.5).select("query_id", "chunk_id", "rank")
+    return postprocess.model_filter(hits_with_text(spark, sf_dir), models.AlternatingJudge("Query: zu ein\n"), 0.5).select("query_id", "chunk_id", "rank")
 
 
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,73 +317,101 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a model can't read are counted as failed, the others as processed."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", models.embed_column(NoFrench(), F.concat_ws(" ", "lang", "text"), attempts=0, isolate=True).alias("vector"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", models.embed_column(models.LengthEmbedder("fr "), F.concat_ws(" ", "lang", "text"), attempts=0, isolate=True).alias("vector"))
     listed = rows.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.lit("new").alias("sha"), "vector")
     stored = listed.select(F.col("path").alias("file_path"), F.col("sha").alias("source_sha")).limit(0)
     return ingest.counters(ingest.file_status(listed.drop("vector"), stored, listed.where(F.col("vector").isNull()).select("path")))
 
 
-class NoFrench:
-    """A model that fails on a batch with any French text in it."""
+def ndjson_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a stream of its lines with lines between that are no JSON; the line with the turn's number ends it."""
+    turns = table(spark, sf_dir, "conversations")
+    one = lambda x, i: F.concat(F.to_json(F.struct(F.struct("role", x.alias("content")).alias("message"), (i == F.col("turn")).alias("done"))), F.lit("\nnot json {"))
+    streams = turns.withColumn("stream", F.array_join(F.transform(F.split("text", "\n"), one), "\n"))
+    return streams.select("conv_id", "turn", tx.ndjson_text(F.col("stream")).alias("text"))
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        if any(t.startswith("fr ") for t in texts):
-            raise models.ModelError("no French")
-        return [[float(len(t))] for t in texts]
 
+PATTERNS = ["drafts/**", "NOTICE.md", "*.draft.md", "src1?/", "*/part[0-4].md", "open["]
 
-STREAMS = [
-    '{"message":{"role":"assistant","content":"Hel"},"done":false}\n\nnot json\n{"message":{"role":"assistant","content":"lo"},"done":true}\n{"message":{"content":"late"},"done":false}',
-    '{"message":{"content":"only"},"done":false}',
-    "",
-    '{"done":true}',
-]
 
+def ignore_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each document, in drafts, at the root or below its source, and whether PATTERNS leave it out."""
+    path = (
+        F.when(F.col("doc_id") % 5 == 0, F.format_string("drafts/%s/%d.md", "lang", "doc_id"))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.concat("lang", F.lit("/"))), F.lit("NOTICE.md")))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.lit("drafty/")), F.col("doc_id").cast("string"), F.lit(".draft.md")))
+        .otherwise(F.format_string("%s/part%d.md", "source", F.col("doc_id") % 13))
+    )
+    named = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return named.select("doc_id", "path", files.ignored(F.col("path"), PATTERNS).alias("ignored"))
 
-def ndjson_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(STREAMS)), "id long, stream string").select("id", tx.ndjson_text(F.col("stream")).alias("text"))
-
-
-GLOB_CASES = [
-    ("drafts/**", "drafts/2024/may/plan.md", True),
-    ("drafts/**", "drafts/", True),
-    ("drafts/**", "drafts", False),
-    ("drafts/**", "team/drafts/plan.md", False),
-    ("drafts/**", "draftsman/plan.md", False),
-    ("a.b/**", "axb/c.md", False),
-    ("NOTICE.md", "NOTICE.md", True),
-    ("NOTICE.md", "old/NOTICE.md", False),
-    ("NOTICE.md", "notice.md", False),
-    ("*.draft.md", "plan.draft.md", True),
-    ("*.draft.md", "draft.md", False),
-    ("*.draft.md", "x/plan.draft.md", False),
-    ("v?/log.md", "v1/log.md", True),
-    ("v?/log.md", "v12/log.md", False),
-    ("part[0-9].md", "part7.md", True),
-    ("part[^0-9].md", "part7.md", False),
-    ("part[^0-9].md", "partx.md", True),
-    ("plain\\*.md", "plain*.md", True),
-    ("plain\\*.md", "plainer.md", False),
-    ("*/index.md", "guide/index.md", True),
-    ("*/index.md", "guide/en/index.md", False),
-    ("open[", "open[", False),
-]
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a document with a heading of either kind, a paragraph, a quote and a list."""
+    words = F.concat(F.lit("w "), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
+    body = F.concat(F.lit("# "), F.col("role"), F.lit("\n\n"), words, F.lit("\n\n> quoted\n> lines\n\nturn "), F.col("turn").cast("string"), F.lit("\n===\n\n- first\n- "), words, F.lit("\n\n```\n# code\n```\n\n## empty\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn"), F.inline(markdown.section_column(body)))
 
 
-def ignore_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for k, (pattern, path, _) in enumerate(GLOB_CASES):
-        one = spark.range(1).select(F.lit(k).cast("long").alias("id"), F.lit(path).rlike(files.glob_regex(pattern) or "(?!)").alias("ignored"))
-        out = one if out is None else out.unionByName(one)
-    return out
+# ---------------------------------------------------------------- the same from an index
 
 
-MARKDOWN = ["# A\n\nx\ny\n\n# B\n\n# C\n\nz", "- a\n- b", "> p\n> q", "```\ncode\n```", "see [lbl](u) ![alt](i) `c` ", "T\n==\n\n1. x\n2. y\n\n***\n\ntail"]
+def built_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The corpus as an index after a base, an upsert over a part of it, and a deletion: all but notes/3.md."""
+    made = index.Index(spark, new_folder(spark))
+    rows = durable(with_sparse(corpus(spark, sf_dir), "chunk_id", "text"))
+    stale = F.col("doc_id") % 10 == 7
+    old = rows.where("doc_id % 10 < 8").withColumn("text", F.when(stale, F.lit("stale the of and das die zu ein de la to")).otherwise(F.col("text"))).withColumn("source_sha", F.when(stale, F.lit("old")).otherwise(F.col("source_sha")))
+    made.upsert(old)
+    made.upsert(rows.where("doc_id % 10 >= 7"))
+    made.delete_files(spark.createDataFrame([("notes/3.md",), ("none",)], "file_path string"))
+    return made
 
 
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(list(enumerate(MARKDOWN)), "id long, text string")
-    return docs.select("id", F.inline(markdown.section_column(F.col("text"))))
+def index_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed.keyword_search(built_index(spark, sf_dir), queries_table(spark, sf_dir), 10)
+
+
+def index_hybrid_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed.search(built_index(spark, sf_dir), queries_table(spark, sf_dir), K)
+
+
+def index_hybrid_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispatched to the store's side, as index and queries have sparse vectors."""
+    return indexed.search(built_index(spark, sf_dir), with_sparse(queries_table(spark, sf_dir), "query_id", "query"), K)
+
+
+def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest knows of each file, and the number of all rows."""
+    made = built_index(spark, sf_dir)
+    held = made.manifest().select("file_path", "source_sha", "first_sha")
+    return held.crossJoin(F.broadcast(made.point_count()))  # one row
+
+
+def index_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of two runs over all documents: of the second one's files some are new, some changed, and some have a text that can't be embedded."""
+    made, embedder, sparse = index.Index(spark, new_folder(spark)), models.LengthEmbedder("notes/fr/"), models.HashSparseEmbedder()
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("notes/"), F.when(F.col("doc_id") % 7 == 0, F.lit("fr/")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".md"))
+    listed = docs.select("doc_id", path.alias("path"), tx.content_sha(F.col("text")).alias("sha"), F.concat(F.lit("# T\n\nx "), F.col("text")).alias("content"))
+    first = ingest.ingest(listed.where("doc_id % 3 <> 0"), made, embedder, sparse=sparse)
+    second = ingest.ingest(listed.withColumn("sha", F.when(F.col("doc_id") % 5 == 0, F.lit("changed")).otherwise(F.col("sha"))), made, embedder, mode="replace", sparse=sparse)
+    files_held = made.file_shas().count()
+    rows = [(k, run["processed"], run["skipped"], run["failed"], files_held) for k, run in enumerate((first, second), 1)]
+    return spark.createDataFrame(rows, "run int, processed long, skipped long, failed long, files_held long")
+
+
+def adaptive_hyde_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a filter on the language, and a generator that failed on every other query: these keep their filtered hits."""
+    hyde = queries_table(spark, sf_dir).select("query_id").join(hyde_means(spark, sf_dir).where("query_id % 2 = 0"), "query_id", "left")
+    return postprocess.adaptive_hyde_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K, hyde, 0.5, retrieval.payload_filter(header="en"))
+
+
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third message without a query, every second without a keyword: the requests with neither are rejected alone."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, F.col("text")).alias("query"), F.when(F.col("turn") % 2 == 1, F.col("role")).otherwise("").alias("keyword"), (F.col("turn") % 4 - 1).cast("int").alias("top_k"))
+    return service.checked_requests(asked).select("conv_id", "turn", "top_k", "error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -405,7 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         changed_files, ingest_counters, upsert_merge, delete_by_file, file_shas, lookup_sha, point_count, vector_mean, l2_normalize, hyde_search,
         adaptive_hyde, rerank_overlap, chunk_filter, cache_lookup, cache_or_search, lost_in_middle, rag_context, ndjson_decode, ignore_patterns,
         markdown_sections, rag_prompt, hybrid_rrf_sparse, search_results, hyde_prompts, filter_by_replies, cache_entries, valid_requests,
-        embed_isolated, filter_prompts, model_filter, rag_answer,
+        embed_isolated, filter_prompts, model_filter, rag_answer, index_keyword_search, index_hybrid_client, index_hybrid_server, index_manifest,
+        index_ingest, adaptive_hyde_failing, rejected_requests,
     )
 }
 
@@ -530,10 +548,8 @@ ORACLE_SQL: dict[str, str] = {
   u as (select doc_id, p, unnest(range(len(p))) as i from s)
   select doc_id, i::int as i, p[i + 1] as text, array_to_string(p[(greatest(i - 2, 0) + 1):(i + 3)], ' ') as window_text from u""",
     "hard_split": "select doc_id, i::int as i, substr(text, (i * 240 + 1)::bigint, 300) as piece from (select doc_id, text, unnest(range(0, (ceil(greatest(length(text) - 300, 0) / 240) + 1)::bigint)) as i from documents where text <> '')",
-    "toc_filter": "with c as (select * from (values "
-    + ", ".join(f"({k}, {_text(t)})" for k, t in enumerate(TOC_CASES))
-    + rf""") t(id, text)), l as (select id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as p from c)
-  select id, len(p) > 0 and len(list_filter(p, lambda x: regexp_matches(x, '^.{{1,80}}[\t\n\f\r ]+[0-9]+$'))) / greatest(len(p), 1) >= 0.6 as toc from l""",
+    "toc_filter": rf"""with l as (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', case when doc_id % 2 = 0 then ' 7' else '' end || chr(10)), chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as p from documents)
+  select doc_id, len(p) > 0 and len(list_filter(p, lambda x: regexp_matches(x, '^.{{1,80}}[\t\n\f\r ]+[0-9]+$'))) / greatest(len(p), 1) >= 0.6 as toc from l""",
     "strip_comments": "select page_id, regexp_replace(html, '<!--.*?-->', '', 'g') as html from pages",
     "chunk_ids": f"with {_CORPUS} select doc_id, chunk_id, file_path||':'||line_start as key from corpus",
     "content_sha": "select doc_id, sha256(text) as sha from documents",
@@ -568,11 +584,23 @@ ORACLE_SQL: dict[str, str] = {
     "cache_entries": f"with {_CORPUS}, {_Q}, {_hybrid()} select {_uuid(tx.CACHE_NAMESPACE, 'query')} as id, query, string_agg(chunk_id, ',' order by rank) as results, '{NOW}' as cached_at from hits join q using (query_id) group by query_id, query",
     "valid_requests": "select conv_id, turn, case when turn % 4 - 1 > 0 then turn % 4 - 1 else 5 end::int as top_k from conversations",
     "embed_isolated": "select count(*) filter (lang is distinct from 'fr') as processed, 0::bigint as skipped, count(*) filter (lang = 'fr') as failed from documents",
-    "ndjson_decode": "with s as (select * from (values "
-    + ", ".join(f"({k}, {_text(t)})" for k, t in enumerate(STREAMS))
-    + """) t(id, stream)), l as (select id, unnest(p) as line, generate_subscripts(p, 1) as n from (select id, string_split(stream, chr(10)) as p from s)),
-  j as (select id, n, json_extract_string(line, '$.message.content') as c, coalesce(json_extract_string(line, '$.done') = 'true', false) as done from (select * from l where trim(line) <> '' and json_valid(line))),
-  e as (select id, min(n) filter (done) as stop from j group by 1)
-  select s.id, coalesce(string_agg(coalesce(c, ''), '' order by n) filter (n <= coalesce(stop, n)), '') as text from s left join j using (id) left join e using (id) group by 1""",
-    "ignore_patterns": " union all ".join(f"select {k}::bigint as id, regexp_matches('{path}', '{files.glob_regex(pattern) or '^$'}') as ignored" for k, (pattern, path, _) in enumerate(GLOB_CASES)),
+    "ndjson_decode": "select conv_id, turn, array_to_string(string_split(text, chr(10))[1:(turn + 1)], '') as text from conversations",
+    "ignore_patterns": r"""with p as (select doc_id, case doc_id % 5 when 0 then 'drafts/' || lang || '/' || doc_id || '.md' when 1 then case when doc_id % 2 = 0 then '' else lang || '/' end || 'NOTICE.md'
+    when 2 then case when doc_id % 2 = 0 then '' else 'drafty/' end || doc_id || '.draft.md' else source || '/part' || (doc_id % 13) || '.md' end as path from documents)
+  select doc_id, path, starts_with(path, 'drafts/') or path = 'NOTICE.md' or (ends_with(path, '.draft.md') and not contains(path, '/')) or (starts_with(path, 'src1') and substr(path, 6, 1) = '/')
+    or (ends_with(path, '.md') and split_part(path, '/', 2) in ('part0.md', 'part1.md', 'part2.md', 'part3.md', 'part4.md') and split_part(path, '/', 3) = '') as ignored from p""",
+    "markdown_sections": """with w as (select conv_id, turn, role, 'w ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) as words from conversations)
+  select conv_id, turn, role as header, 1 as line_start, words || chr(10) || 'quoted lines' as text from w union all select conv_id, turn, 'turn ' || turn, 8, 'first' || words from w""",
+    "index_keyword_search": f"with {_CORPUS}, {_Q}, held as (select * from corpus where file_path <> 'notes/3.md'), {_matches('m', chunks='held', n=10)} select query_id, chunk_id, 0::double as score, place as rank from m",
+    "index_hybrid_client": f"with {_CORPUS}, {_Q}, held as (select * from corpus where file_path <> 'notes/3.md'), {_hybrid(chunks='held')} select query_id, chunk_id, score, rank from hits",
+    "index_manifest": f"with {_CORPUS}, held as (select * from corpus where file_path <> 'notes/3.md') select file_path, arg_max(source_sha, chunk_id) as source_sha, arg_min(source_sha, chunk_id) as first_sha, (select count(*) from held) as n from held group by 1",
+    "index_ingest": """with a as (select doc_id, doc_id % 7 = 0 as bad, doc_id % 3 <> 0 as first, doc_id % 5 = 0 as changed from documents),
+  b as (select *, first and not bad as held from a)
+  select 1 as run, count(*) filter (first and not bad) as processed, 0::bigint as skipped, count(*) filter (first and bad) as failed, count(*) filter (not bad) as files_held from b
+  union all select 2, count(*) filter ((not held or changed) and not bad), count(*) filter (held and not changed), count(*) filter (bad), count(*) filter (not bad) from b""",
+    "adaptive_hyde_failing": f"with {_CORPUS}, {_Q}, {_HYDE}, en as (select * from corpus where header = 'en'), {_hybrid('q', 'en', 'p_')}, {_hybrid('hq', p='h_')}, again as (select query_id from p_hits where rank = 1 and query_id % 2 = 0) select query_id, chunk_id, score, rank from p_hits where query_id not in (select query_id from again) union all select query_id, chunk_id, score, rank from h_hits where query_id in (select query_id from again)",
+    "rejected_requests": "select conv_id, turn, case when turn % 4 - 1 > 0 then turn % 4 - 1 else 5 end::int as top_k, case when ((conv_id + turn) % 3 = 0 or text = '') and turn % 2 <> 1 then 'a request needs a query or a keyword' end as error from conversations",
 }
+_SERVER = ORACLE_SQL["hybrid_rrf_server"]
+#: The same over what the index holds.
+ORACLE_SQL["index_hybrid_server"] = _SERVER.replace("corpus as (", "every as (", 1).replace(f", {_Q}", f", corpus as (select * from every where file_path <> 'notes/3.md'), {_Q}", 1)

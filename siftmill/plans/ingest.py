@@ -9,7 +9,8 @@ from siftmill.functions import text as tx
 from siftmill.operators import models
 from siftmill.operators.markdown import chunk_documents
 from siftmill.sources.config import Chunking
-from siftmill.sources.index import Index, changed_files, file_shas, one_per_id
+from siftmill.sources.index import Index, changed_files, one_per_id
+from siftmill.sources.scratch import new_folder
 
 
 def file_status(files: DataFrame, stored: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -37,25 +38,28 @@ def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunki
     return out
 
 
-def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking: Chunking = Chunking(), mode: str = "upsert") -> dict[str, int]:
+def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking: Chunking = Chunking(), mode: str = "upsert", sparse: models.SparseEmbedder | None = None) -> dict[str, int]:
     """Bring the index up to date; returns the counters. `mode` 'replace' deletes a changed file's old chunks first.
 
-    A file without text is processed and leaves no chunk. A file of which a chunk can't be embedded counts as failed and
-    leaves the index as it was for it; the others go on.
+    What is known of a file comes from the index's manifest; no chunk is read. The files are read once, into a listing in the
+    shared folder that keeps the contents of changed ones only; these are chunked and embedded once, into rows there, from
+    which the index and the counters are made. A file without text is processed and leaves no chunk. A file of which a
+    chunk can't be embedded counts as failed and leaves the index as it was for it; the others go on. With `sparse`, chunks
+    get sparse vectors, and the index their postings. Every listed entry is counted, also two with one path.
     """
-    stored = index.read()
-    shas = file_shas(stored)
-    fresh = changed_files(files, shas)
-    made = prepare_chunks(fresh, embedder, chunking).persist()  # embedded once, read for the failures and for the index
-    try:
-        failed = made.where(F.col("vector").isNull()).select(F.col("file_path").alias("path")).distinct()
-        done = counters(file_status(files, shas, failed)).first().asDict()
-        chunks = made.join(failed.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-        if mode == "replace":
-            gone = fresh.select("path").join(failed, "path", "left_anti").select(F.col("path").alias("file_path")).distinct()
-            index.change(chunks, gone)
-        else:
-            index.upsert(chunks)
-    finally:
-        made.unpersist()
+    spark, folder = files.sparkSession, new_folder(files.sparkSession)
+    one = files if "root" in files.columns else files.withColumn("root", F.lit(""))
+    known = index.file_shas().select(F.col("file_path").alias("path"), F.col("source_sha").alias("_sha"))
+    fresh = F.coalesce((F.col("sha") == "") | (F.col("_sha") != F.col("sha")), F.lit(True))
+    one.select("path", "root", "sha", "content").join(known, "path", "left").select("path", "root", "sha", fresh.alias("fresh"), F.when(fresh, F.col("content")).alias("content")).write.parquet(f"{folder}/listed")
+    listed = spark.read.schema("path string, root string, sha string, fresh boolean, content string").parquet(f"{folder}/listed")
+    made = prepare_chunks(listed.where("fresh"), embedder, chunking, sparse)
+    made.write.parquet(f"{folder}/made")
+    made = spark.read.schema(made.schema).parquet(f"{folder}/made")
+    failed = made.where(F.col("vector").isNull()).select(F.col("file_path").alias("path")).distinct()
+    status = listed.select("path", "fresh").join(failed.withColumn("_bad", F.lit(True)), "path", "left")
+    done = counters(status.select(F.when(~F.col("fresh"), "skipped").when(F.col("_bad"), "failed").otherwise("processed").alias("status"))).first().asDict()
+    chunks = made.join(failed.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
+    gone = listed.where("fresh").join(failed, "path", "left_anti").select(F.col("path").alias("file_path")).distinct() if mode == "replace" else None
+    index.change(chunks, gone)
     return done

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
-from siftmill.operators import models, postprocess, retrieval
+from siftmill.operators import indexed, models, postprocess, retrieval
 from siftmill.sources.config import Cache, Retrieval
 from siftmill.sources.index import Index
+from siftmill.sources.scratch import durable
 
 
 @dataclass
@@ -30,6 +32,29 @@ class SearchService:
     reranker: models.Reranker | None = None
     generator: models.TextGenerator | None = None
     judge: models.TextGenerator | None = None
+    #: Where the chunks are kept: words and sparse weights are then looked up in its postings.
+    index: Index | None = None
+    #: With it, and an index that has sparse vectors, hits are fused on the store's side.
+    sparse: models.SparseEmbedder | None = None
+
+    @classmethod
+    def over(cls, index: Index, embedder: models.Embedder, **options: object) -> SearchService:
+        """The service over the present state of an index."""
+        return cls(index.read(), embedder, index=index, **options)
+
+    @property
+    def find(self) -> Callable[..., DataFrame] | None:
+        """The hybrid search of the index; None without one."""
+        if self.index is None:
+            return None
+
+        def search(queries: DataFrame, k: int, where: Column | None = None, **options: object) -> DataFrame:
+            if self.sparse is not None and self.index.has_sparse:
+                found = queries.withColumn("_s", models.sparse_column(self.sparse, F.col("query"), "query"))
+                queries = found.withColumns({"sparse_indices": F.col("_s.indices"), "sparse_values": F.col("_s.values")}).drop("_s")
+            return indexed.search(self.index, queries, k, where, server=self.sparse is not None, **options)
+
+        return search
 
     def embed(self, text: Column) -> Column:
         return models.embed_column(self.embedder, text)
@@ -42,11 +67,11 @@ class SearchService:
         """query_id, rank and result fields for requests (query_id, query)."""
         k = k if k and k > 0 else self.settings.top_k
         n = self.fetch(k)
-        options = {"prefetch": self.settings.prefetch}
+        options = {"prefetch": self.settings.prefetch, "find": self.find}
         if self.settings.hyde and self.generator:
             asked = queries.withColumn("vector", self.embed(F.col("query")))
             # The answers are made once: the plan reads their vectors several times.
-            hyde = postprocess.hyde_vectors(queries, self.settings.hyde_docs, self.generator, self.embedder).persist()
+            hyde = durable(postprocess.hyde_vectors(queries, self.settings.hyde_docs, self.generator, self.embedder))
             if adaptive:
                 hits = postprocess.adaptive_hyde_search(self.chunks, asked, n, hyde, self.settings.hyde_threshold, where, **options)
             else:
@@ -60,7 +85,8 @@ class SearchService:
 
     def keyword(self, queries: DataFrame, k: int | None = None, where: Column | None = None) -> DataFrame:
         k = k if k and k > 0 else self.settings.top_k
-        return self.finish(retrieval.keyword_search(self.chunks, queries, self.fetch(k), where), queries, k)
+        hits = indexed.keyword_search(self.index, queries, self.fetch(k), where) if self.index else retrieval.keyword_search(self.chunks, queries, self.fetch(k), where)
+        return self.finish(hits, queries, k)
 
     def answer(self, queries: DataFrame, k: int | None = None, where: Column | None = None, max_tokens: int = 2048) -> DataFrame:
         """query_id, answer from the results of a search, which never come from a cache; a query without results has no row."""
@@ -82,7 +108,7 @@ class SearchService:
         held = cache.read()
         hits = postprocess.cache_lookup(held, asked, now, settings.threshold, settings.ttl_seconds).select("query_id", "cache_id")
         missed = asked.join(hits, "query_id", "left_anti")
-        cache.upsert(postprocess.result_entries(missed, self.search(missed.select("query_id", "query"), k, where), now), key="id")
+        cache.upsert(postprocess.result_entries(missed, self.search(missed.select("query_id", "query"), k, where), now))
         made = missed.select("query_id", tx.uuid5(tx.CACHE_NAMESPACE, F.col("query")).alias("cache_id"))
         lists = lambda which, rows: which.join(rows.select(F.col("id").alias("cache_id"), F.slice("results", 1, k).alias("r")), "cache_id").select("query_id", F.inline("r"))
         return lists(hits, held).unionByName(lists(made, cache.read().where(F.col("cached_at") == F.date_trunc("second", now))))
@@ -101,11 +127,15 @@ class SearchService:
         return retrieval.results(hits.select("query_id", "chunk_id", "score", "rank"), self.chunks)
 
 
+def checked_requests(requests: DataFrame, default_k: int = 5) -> DataFrame:
+    """The requests with a positive top_k, and `error`: why a request is rejected, null for those that are searched."""
+    empty = (F.coalesce("query", F.lit("")) == "") & (F.coalesce("keyword", F.lit("")) == "")
+    return requests.withColumns({"top_k": F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(default_k), "error": F.when(empty, "a request needs a query or a keyword")})
+
+
 def valid_requests(requests: DataFrame, default_k: int = 5) -> DataFrame:
-    """Requests with a positive top_k; raises if one has neither query nor keyword."""
-    if requests.where((F.coalesce("query", F.lit("")) == "") & (F.coalesce("keyword", F.lit("")) == "")).limit(1).count():
-        raise ValueError("a request needs a query or a keyword")
-    return requests.withColumn("top_k", F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(default_k))
+    """Requests with a query or a keyword, with a positive top_k; the others are rejected one by one (`checked_requests`)."""
+    return checked_requests(requests, default_k).where(F.col("error").isNull()).drop("error")
 
 
 def to_json(results: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from siftmill.functions import text as tx
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def distinct_roots(*paths: str | None) -> list[str]:
@@ -61,30 +65,137 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return F.exists(tested, lambda p: F.array_contains(F.array(*[p.rlike(r) for r in regexes]), True))
 
 
-def list_markdown(spark: SparkSession, roots: list[str], ignore: list[str] = ()) -> DataFrame:
-    """path (relative), root, sha, content of the .md files under the roots; their extension may be in any case.
+def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
+    """What Spark calls a file below `root`, relative to it, whatever characters the names have."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(re.sub(r"(?<=.)/+$", "", root))
+    fs = folder.getFileSystem(conf)
+    whole = folder.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(whole)), F.substring(path, F.lit(len(whole) + 1), F.length(path))).otherwise(path)
+
+
+class Tree:
+    """The files below a folder: a local or mounted one by its path, others by a URI that pyarrow knows."""
+
+    def __init__(self, root: str):
+        self.local = "://" not in root and not root.startswith("file:")
+        if self.local:
+            self.root = os.path.abspath(root)
+        else:
+            from pyarrow import fs
+
+            self.fs, self.base = fs.FileSystem.from_uri(root)
+            self.root = root.rstrip("/")
+
+    def absolute(self, rel: str) -> str:
+        return f"{self.root.rstrip('/')}/{rel}"
+
+    def children(self, rel: str) -> tuple[list[str], list[str]]:
+        """Folders and files directly in a folder, as paths from the root; links to folders are not followed."""
+        head = f"{rel}/" if rel else ""
+        if self.local:
+            with os.scandir(os.path.join(self.root, rel)) as found:
+                entries = sorted((e.name, e.is_dir(follow_symlinks=False)) for e in found)
+        else:
+            from pyarrow import fs
+
+            entries = sorted((i.base_name, i.type == fs.FileType.Directory) for i in self.fs.get_file_info(fs.FileSelector(f"{self.base}/{rel}".rstrip("/"))))
+        return [head + n for n, d in entries if d], [head + n for n, d in entries if not d]
+
+    def read(self, rel: str) -> bytes:
+        if self.local:
+            with open(os.path.join(self.root, rel), "rb") as f:
+                return f.read()
+        with self.fs.open_input_stream(f"{self.base}/{rel}") as f:
+            return f.read()
+
+
+LISTED = "path string, root string, absolute string, sha string, content string"
+
+
+@dataclass
+class Folder(InputPartition):
+    root: str
+    rel: str
+    whole: bool
+
+
+class MarkdownFiles(DataSource):
+    """The .md files below some roots as a table, for `spark.read.format("markdown_files")`.
+
+    Options: `roots` and `ignore`, JSON lists; `folders`, the number of partitions to aim at. Folders are dealt to tasks, which
+    walk what is below them; ignored folders are not entered, and of files only those that are listed are read.
+    """
 
-    Two roots may hold the same relative path; both rows are listed. Files of length 0, which Spark does not read and which
-    have no chunks, are not listed.
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_files"
+
+    def schema(self) -> str:
+        return LISTED
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return MarkdownReader(json.loads(self.options["roots"]), json.loads(self.options.get("ignore", "[]")), int(self.options.get("folders", "64")))
+
+
+class MarkdownReader(DataSourceReader):
+    def __init__(self, roots: list[str], ignore: list[str], folders: int):
+        self.roots, self.folders = roots, folders
+        self.patterns = [re.compile(r) for r in map(glob_regex, ignore) if r]
+
+    def _out(self, rel: str) -> bool:
+        return any(p.search(rel) for p in self.patterns)
+
+    def partitions(self) -> list[InputPartition]:
+        """Folders are opened breadth first until there are enough of them; those that were opened leave their own files."""
+        waiting = deque((r, "") for r in self.roots if not self._out("./"))
+        opened: list[InputPartition] = []
+        while waiting and len(waiting) + len(opened) < self.folders:
+            root, rel = waiting.popleft()
+            opened.append(Folder(root, rel, False))
+            waiting.extend((root, d) for d in Tree(root).children(rel)[0] if not self._out(d + "/"))
+        return opened + [Folder(root, rel, True) for root, rel in waiting]
+
+    def read(self, partition: Folder | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's stand-in where there are none
+            return
+        tree, waiting = Tree(partition.root), deque([partition.rel])
+        while waiting:
+            folders, found = tree.children(waiting.popleft())
+            if partition.whole:
+                waiting.extend(d for d in folders if not self._out(d + "/"))
+            for rel in found:
+                if os.path.splitext(f"x{os.path.basename(rel)}")[1].lower() == ".md" and not self._out(rel):
+                    try:
+                        data = tree.read(rel)
+                        yield rel, tree.root, tree.absolute(rel), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace")
+                    except OSError:
+                        yield rel, tree.root, tree.absolute(rel), "", None
+
+
+def list_markdown(spark: SparkSession, roots: list[str], ignore: list[str] = (), folders: int = 64) -> DataFrame:
+    """path (relative), root, absolute, sha, content of the .md files under the roots; their extension may be in any case.
+
+    Two roots may hold the same relative path; both rows are listed. Files of length 0 are listed as well, and hidden
+    ones. A file that can't be read has an empty hash and no content; a root that can't be is an error.
     """
-    out = None
-    for root in distinct_roots(*roots):
-        base = re.sub(r"/+$", "", root)
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        relative = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(re.sub(r"^[a-z]+:(//)?", "", base)) + "/", "")
-        listed = files.where(F.lower("path").endswith(".md")).select(relative.alias("path"), F.lit(base).alias("root"), tx.content_sha(F.col("content")).alias("sha"), F.decode("content", "UTF-8").alias("content"))
-        listed = listed.where(~ignored(F.col("path"), list(ignore)))
-        out = listed if out is None else out.unionByName(listed)
-    return out if out is not None else spark.createDataFrame([], "path string, root string, sha string, content string")
+    spark.dataSource.register(MarkdownFiles)
+    reader = spark.read.format("markdown_files").option("roots", json.dumps(distinct_roots(*roots))).option("ignore", json.dumps(list(ignore)))
+    return reader.option("folders", str(folders)).load()
 
 
 def fetch_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Content of the wanted files, from the rows that the listing has read already.
 
-    With a `root` on both sides, equal paths under different roots are different files.
+    With a `root` on both sides, equal paths under different roots are different files. A wanted path that is absolute
+    names its file whatever the root.
     """
     key = ["root", "path"] if "root" in wanted.columns and "root" in files.columns else ["path"]
-    return wanted.join(files.select(*key, "content"), key, "left")
+    if "absolute" not in files.columns:
+        return wanted.join(files.select(*key, "content"), key, "left")
+    whole = F.startswith("path", F.lit("/")) | F.col("path").rlike("^[a-z0-9]+://")
+    absolute = wanted.where(whole).join(files.select(F.col("absolute").alias("path"), "content"), "path", "left")
+    return wanted.where(~whole).join(files.select(*key, "content"), key, "left").unionByName(absolute)
 
 
 def convert_pdfs(spark: SparkSession, folder: str, done: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:

@@ -1,12 +1,29 @@
-"""The chunk index: a Parquet table in versioned buckets, with upserts, deletes and lookups."""
+"""The chunk index: versions of rows that are merged when read, with a manifest of files and postings of terms."""
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from siftmill.functions import text as tx
+from siftmill.sources.versions import Conflict, VersionLog
+
 SCHEMA = "chunk_id string, file_path string, header string, line_start int, chunk_index int, text string, window_text string, source_sha string, vector array<float>"
+#: Columns that an index gets when the first rows with them arrive; older rows have nulls.
+SPARSE = "sparse_indices array<bigint>, sparse_values array<float>"
+#: Rows up to which the keys of later versions are sent to all executors.
+SMALL_ROWS = 100_000
+#: Versions after a base from which a change also makes a new base.
+MOST_DELTAS = 16
+#: Chunks in a range of the sparse postings, a power of two: what a block may hold of a term.
+RANGE_BITS = 7
 
 
 def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -44,64 +61,307 @@ def delete_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file_path"), "file_path", "left_anti").select(*chunks.columns)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+# ---------------------------------------------------------------- what a version holds besides its rows
+
+
+def file_entries(rows: DataFrame) -> DataFrame:
+    """file_path, its first and last chunk by id with their hashes, and its number of chunks."""
+    of = lambda pick, what: pick(what, "chunk_id")
+    return rows.groupBy("file_path").agg(
+        F.min("chunk_id").alias("first_id"), of(F.min_by, "source_sha").alias("first_sha"), F.max("chunk_id").alias("last_id"), of(F.max_by, "source_sha").alias("last_sha"), F.count("*").alias("n")
+    )
+
+
+def text_postings(rows: DataFrame) -> DataFrame:
+    """term, chunk_id of each distinct word of each chunk."""
+    return rows.select("chunk_id", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term")).select("term", "chunk_id")
+
+
+def sparse_blocks(rows: DataFrame) -> DataFrame:
+    """i, range, most, least, n, ids, weights: what the chunks of a range have under each sparse index, in one row.
+
+    Chunks are put into ranges of 2 ** RANGE_BITS in the order of their largest weight, so that the heavy ones share ranges and the
+    largest weights of the other ranges are small: these bound what a range can score. Of a repeated index the last value
+    counts; null arrays have no postings.
+    """
+    held = rows.where(F.col("sparse_indices").isNotNull()).select("chunk_id", F.arrays_zip(F.col("sparse_indices").alias("i"), F.col("sparse_values").alias("w")).alias("z"))
+    heavy = held.withColumn("_most", F.coalesce(F.array_max(F.transform("z", lambda p: p["w"])), F.lit(0.0)))
+    ordered = heavy.repartitionByRange(F.col("_most").desc(), "chunk_id").sortWithinPartitions(F.col("_most").desc(), "chunk_id")
+    # The number has the partition in its upper bits, so that no range spans two partitions.
+    ranged = ordered.select("chunk_id", "z", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("range"))
+    postings = ranged.select("chunk_id", "range", F.posexplode("z").alias("at", "p")).groupBy("range", "chunk_id", F.col("p.i").cast("long").alias("i")).agg(F.max_by(F.col("p.w").cast("double"), "at").alias("w"))
+    listed = postings.groupBy("i", "range").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "w"))).alias("l"), F.max("w").alias("most"), F.min("w").alias("least"), F.count("*").alias("n"))
+    return listed.select("i", "range", "most", "least", "n", F.transform("l", lambda p: p["chunk_id"]).alias("ids"), F.transform("l", lambda p: p["w"]).alias("weights"))
+
+
+@dataclass(frozen=True)
+class View:
+    """The versions that a reader merges: the last base and what came after it, oldest first."""
+
+    last: int
+    versions: tuple[tuple[int, dict], ...] = ()
+
+    @property
+    def columns(self) -> dict[str, str]:
+        out: dict[str, str] = {}
+        for _, entry in self.versions:
+            out |= entry["columns"]
+        return out
+
+
 class Index:
-    """A folder of versions v=0, v=1, ... whose rows lie in buckets by the hash of the column `by`.
+    """A folder with a log of versions and one folder of data for each.
 
-    A version holds the buckets that its change touched, whole; a reader takes each bucket from the last complete version
-    that touched it, so that a change costs the buckets it meets and not the index. `touched`, written last, lists the
-    buckets of a version, also those that it emptied; a version without it, left by a lost driver, is not read. Rows with
-    equal keys have equal `by` (a chunk's id follows from its file). Rows are sorted by `by` within files, so that filters on it skip row groups.
+    A version holds the rows that a change put in, the keys that it put in or took out, and what is derived from its
+    rows: a manifest of files, postings of words (`text` given) and blocks of sparse weights. What a change writes follows from
+    the change, not from the index. A reader leaves out rows whose key a later version names. `compact` writes the live rows
+    as a new base; a change does it by itself after MOST_DELTAS versions.
+
+    A version appears with its entry in the log, which one writer alone can add. Of two changes at once the one that comes
+    second is added after the other, its deletions worked out anew; with `expected` it raises Conflict instead. Data
+    without an entry, left by a lost driver, are not read; `vacuum` removes them.
+
+    Rows with equal keys have equal `by` (a chunk's id follows from its file). Rows are sorted by `by` within files, so that
+    filters on it skip row groups. Columns of `optional` join the schema with the first rows that have them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, by: str = "file_path", buckets: int = 64):
-        self.spark, self.path, self.schema, self.by, self.buckets = spark, path.rstrip("/"), schema, by, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, by: str = "file_path", key: str = "chunk_id", optional: str = SPARSE, most_deltas: int = MOST_DELTAS):
+        self.spark, self.path, self.by, self.key, self.most_deltas = spark, path.rstrip("/"), by, key, most_deltas
+        self.schema = self._fields(schema)
+        self.optional = self._fields(optional) if optional else {}
+        self.log = VersionLog(spark, f"{self.path}/log")
+        self.has_files = {"file_path", "source_sha", "chunk_id"} <= self.schema.keys() and key == "chunk_id"
+        self.has_text = "text" in self.schema and key == "chunk_id"
+
+    @staticmethod
+    def _fields(ddl: str) -> dict[str, str]:
+        return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ddl)}
+
+    # ------------------------------------------------------------ reading
+
+    def view(self) -> View:
+        """The present state; what is read by a view does not change with later versions."""
+        last, found = self.log.last(), []
+        for number in range(last, -1, -1):
+            entry = self.log.read(number)
+            found.append((number, entry))
+            if entry["base"]:
+                break
+        return View(last, tuple(reversed(found)))
+
+    def _columns(self, view: View) -> dict[str, str]:
+        return self.schema | {c: t for c, t in view.columns.items() if c in self.optional}
+
+    def _part(self, view: View, part: str, columns: dict[str, str], pick: Callable[[int], bool] = lambda v: True) -> DataFrame:
+        """The rows of one part of all versions, with their version as `_v`."""
+        out = None
+        ddl = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+        for number, entry in view.versions:
+            if part in entry["parts"] and pick(number):
+                one = self.spark.read.schema(ddl).parquet(f"{self.path}/data/{entry['parts'][part]}").withColumn("_v", F.lit(number))
+                out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], f"{ddl}, _v int")
+
+    def _later_keys(self, view: View, after: int = -1) -> DataFrame | None:
+        """key, _last: the last version that names a key, of the versions behind the base; None if they name none."""
+        if not any(e["keys"] for _, e in view.versions[1:]):
+            return None
+        keys = self._part(view, "keys", {self.key: self._columns(view)[self.key]}, lambda v: v > max(after, view.versions[0][0]))
+        return _small(keys.groupBy(self.key).agg(F.max("_v").alias("_last")))
+
+    def _live(self, rows: DataFrame, later: DataFrame | None, key: str | None = None) -> DataFrame:
+        """`rows` (with _v) whose key no later version names."""
+        if later is None:
+            return rows
+        key = key or self.key
+        named = later.withColumnRenamed(self.key, key) if key != self.key else later
+        return rows.join(named, key, "left").where(F.col("_last").isNull() | (F.col("_v") >= F.col("_last"))).drop("_last")
+
+    def read(self, view: View | None = None) -> DataFrame:
+        """All live rows."""
+        view = view or self.view()
+        columns = self._columns(view)
+        return self._live(self._part(view, "rows", columns), self._later_keys(view)).select(*columns)
 
-    def _names(self, folder: str) -> list[str]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    def manifest(self, view: View | None = None) -> DataFrame:
+        """file_path, source_sha (of the last chunk by id), first_sha (of the first), n (chunks that the last version put in).
 
-    def _versions(self) -> list[int]:
-        """Numbers of all versions, begun or complete."""
-        return sorted(int(n[2:]) for n in self._names(self.path) if n.startswith("v="))
+        It equals what a scan of the live rows finds and reads no row: a later version's chunk of the same id replaces the
+        earlier one, and a deleted file's earlier versions are out.
+        """
+        view = view or self.view()
+        entries = self._part(view, "files", {"file_path": "string", "first_id": "string", "first_sha": "string", "last_id": "string", "last_sha": "string", "n": "bigint"})
+        if any("gone" in e["parts"] for _, e in view.versions):
+            gone = self._part(view, "gone", {"file_path": "string"}).groupBy("file_path").agg(F.max("_v").alias("_gone"))
+            entries = entries.join(_small(gone), "file_path", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone")))
+        return entries.groupBy("file_path").agg(F.max_by("last_sha", F.struct("last_id", "_v")).alias("source_sha"), F.min_by("first_sha", F.struct("first_id", -F.col("_v"))).alias("first_sha"), F.max_by("n", "_v").alias("n"))
 
-    def _last(self) -> dict[int, int]:
-        """The version that holds each bucket."""
-        done = [v for v in self._versions() if "_SUCCESS" in self._names(f"{self.path}/v={v}/touched")]
-        if not done:
+    def file_shas(self, view: View | None = None) -> DataFrame:
+        """file_path, source_sha of every file with a path, from the manifest."""
+        return self.manifest(view).where("file_path <> ''").select("file_path", "source_sha")
+
+    def lookup_sha(self, files: DataFrame, view: View | None = None) -> DataFrame:
+        """file_path, source_sha of the wanted files, from the manifest: that of their first chunk by id, or the empty string."""
+        held = self.manifest(view).select("file_path", "first_sha")
+        return files.select("file_path").join(held, "file_path", "left").select("file_path", F.coalesce("first_sha", F.lit("")).alias("source_sha"))
+
+    def point_count(self, view: View | None = None) -> DataFrame:
+        """The number of live rows; only keys are read."""
+        view = view or self.view()
+        rows = self._part(view, "rows", {self.key: self._columns(view)[self.key]})
+        return point_count(self._live(rows, self._later_keys(view)))
+
+    def payload(self, view: View | None = None) -> DataFrame:
+        """The live rows without texts and vectors."""
+        return self.read(view).drop("text", "window_text", "vector", *self.optional)
+
+    # ------------------------------------------------------------ postings
+
+    def term_counts(self, wanted: Callable[[str], Column], view: View | None = None) -> DataFrame:
+        """term, df: the number of live chunks with each word that `wanted` selects."""
+        return self._counts("terms", "term_counts", "term", "string", wanted, view or self.view())
+
+    def postings(self, wanted: Callable[[str], Column], view: View | None = None) -> DataFrame:
+        """term, chunk_id of the live chunks with the words that `wanted` selects. Postings are sorted by word: others are skipped."""
+        view = view or self.view()
+        return self._live(self._part(view, "terms", {"term": "string", "chunk_id": "string"}).where(wanted("term")), self._later_keys(view)).select("term", "chunk_id")
+
+    @property
+    def has_sparse(self) -> bool:
+        return any("blocks" in e["parts"] for _, e in self.view().versions)
+
+    _BLOCK = {"i": "bigint", "range": "bigint", "most": "double", "least": "double", "n": "bigint"}
+
+    def block_bounds(self, wanted: Callable[[str], Column], view: View | None = None) -> DataFrame:
+        """i, v, range, most, least of the blocks that `wanted` selects by their index; no posting is read."""
+        view = view or self.view()
+        return self._part(view, "blocks", self._BLOCK).where(wanted("i")).select("i", F.col("_v").alias("v"), "range", "most", "least")
+
+    def blocks(self, wanted: Callable[[str], Column], view: View | None = None) -> DataFrame:
+        """i, v, range, chunk_id, w: the postings of the blocks that `wanted` selects, not yet told live from dead."""
+        view = view or self.view()
+        rows = self._part(view, "blocks", self._BLOCK | {"ids": "array<string>", "weights": "array<double>"}).where(wanted("i"))
+        return rows.select("i", F.col("_v").alias("v"), "range", F.arrays_zip("ids", "weights").alias("z"))
+
+    def live_postings(self, postings: DataFrame, view: View | None = None) -> DataFrame:
+        """Rows of (v, chunk_id, ...) that no later version replaces."""
+        later = self._later_keys(view or self.view())
+        return postings if later is None else self._live(postings.withColumnRenamed("v", "_v"), later).withColumnRenamed("_v", "v")
+
+    def sparse_counts(self, wanted: Callable[[str], Column], view: View | None = None) -> DataFrame:
+        """i, df: the number of live chunks with each sparse index that `wanted` selects."""
+        view = view or self.view()
+        later = self._later_keys(view)
+        stored = self._part(view, "blocks", self._BLOCK).where(wanted("i"))
+        if later is None:
+            return stored.groupBy("i").agg(F.sum("n").alias("df"))
+        listed = self.blocks(wanted, view).select("i", "v", F.explode("z").alias("p")).select("i", "v", F.col("p.ids").alias("chunk_id"))
+        return self.live_postings(listed, view).groupBy("i").agg(F.count("*").alias("df"))
+
+    def _counts(self, part: str, counted: str, name: str, kind: str, wanted: Callable[[str], Column], view: View) -> DataFrame:
+        later = self._later_keys(view)
+        if later is None:
+            return self._part(view, counted, {name: kind, "df": "bigint"}).where(wanted(name)).groupBy(name).agg(F.sum("df").alias("df"))
+        rows = self._part(view, part, {name: kind, "chunk_id": "string"}).where(wanted(name))
+        return self._live(rows, later).groupBy(name).agg(F.count("*").alias("df"))
+
+    # ------------------------------------------------------------ writing
+
+    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None, key: str | None = None, expected: int | None = None) -> int | None:
+        """Take out the rows whose `by` is in `gone`, then put in those of `new`, in place of rows with the same key.
+
+        Returns the number of the version, or None if there was nothing to do. With `expected`, the number of the last
+        version that the caller has seen, a change that comes after another one raises Conflict.
+        """
+        if key not in (None, self.key):
+            raise ValueError(f"the key of this index is {self.key}")
+        folder, parts = uuid.uuid4().hex, {}
+        columns = {}
+        if new is not None:
+            columns = self.schema | {c: t for c, t in self.optional.items() if c in new.columns}
+            parts = self._write_rows(one_per_id(new, self.key, [F.col(self.key)]).select(*(F.col(c).cast(t) for c, t in columns.items())), columns, folder)
+        named = self.spark.read.schema(f"{self.by} string").parquet(f"{self.path}/data/{folder}/gone") if gone is not None and self._save(gone.select(F.col(self.by).cast("string")).distinct(), f"{folder}/gone") else None
+        if named is not None:
+            parts["gone"] = f"{folder}/gone"
+        for attempt in range(100):
+            view = self.view()
+            if expected is not None and view.last != expected:
+                raise Conflict(f"version {view.last} came after {expected}")
+            n_keys = self._write_keys(view, parts, columns, named, f"{folder}/keys-{attempt}")
+            if not n_keys and "rows" not in parts:
+                return None
+            entry = {"base": view.last < 0, "parts": parts | {"keys": f"{folder}/keys-{attempt}"}, "columns": columns or dict(self.schema), "keys": n_keys}
+            if self.log.add(view.last + 1, entry):
+                if not entry["base"] and len(view.versions) >= self.most_deltas:
+                    self.compact()
+                return view.last + 1
+        raise Conflict("other writers were first each time")
+
+    def _save(self, rows: DataFrame, at: str) -> int:
+        """Writes a part; the number of its rows."""
+        rows.write.parquet(f"{self.path}/data/{at}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{at}").count()
+
+    def _write_rows(self, rows: DataFrame, columns: dict[str, str], folder: str) -> dict[str, str]:
+        """Rows and what is derived from them; the paths of the parts, none without rows."""
+        # A rebalance, unlike a repartition, lets Spark split the rows of one large file.
+        if not self._save(rows.hint("rebalance", F.col(self.by)).sortWithinPartitions(self.by), f"{folder}/rows"):
             return {}
-        rows = self.spark.read.schema("v int, bucket int").parquet(*[f"{self.path}/v={v}/touched" for v in done])
-        return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("v").alias("v")).collect()}  # one row a bucket
-
-    def _of(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
-
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some buckets."""
-        last = self._last()
-        held = {v: set(self._names(f"{self.path}/v={v}/rows")) for v in set(last.values())}
-        paths = [f"{self.path}/v={v}/rows/bucket={b}" for b, v in sorted(last.items()) if (only is None or b in only) and f"bucket={b}" in held[v]]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None, key: str = "chunk_id") -> None:
-        """Take out the rows whose `by` is in `gone`, then put in those of `new`, in place of rows with the same key."""
-        parts = [x.select(self._of(self.by).alias("bucket")) for x in (new, gone) if x is not None]
-        touched = [r["bucket"] for r in (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct().collect()]
-        if not touched:
-            return
-        rows = self.read(touched)
+        parts = {"rows": f"{folder}/rows"}
+        rows = self.spark.read.schema(", ".join(f"`{c}` {t}" for c, t in columns.items())).parquet(f"{self.path}/data/{folder}/rows")
+
+        def derive(part: str, made: DataFrame) -> DataFrame:
+            made.write.parquet(f"{self.path}/data/{folder}/{part}")
+            parts[part] = f"{folder}/{part}"
+            return self.spark.read.schema(made.schema).parquet(f"{self.path}/data/{folder}/{part}")
+
+        if self.has_files:
+            derive("files", file_entries(rows))
+        if self.has_text:
+            terms = derive("terms", text_postings(rows).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+            derive("term_counts", terms.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
+        if "sparse_indices" in columns:
+            derive("blocks", sparse_blocks(rows).repartitionByRange("i", F.col("most").desc()).sortWithinPartitions("i", F.col("most").desc()))
+        return parts
+
+    def _write_keys(self, view: View, parts: dict[str, str], columns: dict[str, str], gone: DataFrame | None, at: str) -> int:
+        """The keys that a change names: those that it puts in and those of the live rows that it takes out."""
+        kind = (self.schema | columns)[self.key]
+        keys = self.spark.createDataFrame([], f"`{self.key}` {kind}")
+        if "rows" in parts:
+            keys = self.spark.read.schema(f"`{self.key}` {kind}").parquet(f"{self.path}/data/{parts['rows']}")
         if gone is not None:
-            rows = rows.join(gone.select(self.by).distinct(), self.by, "left_anti").select(*rows.columns)
-        if new is not None:
-            rows = upsert(rows, new, key)
-        folder = f"{self.path}/v={max(self._versions(), default=-1) + 1}"
-        # A rebalance, unlike a repartition, lets Spark split a bucket that is large.
-        rows = rows.withColumn("bucket", self._of(self.by)).hint("rebalance", F.col("bucket"))
-        rows.sortWithinPartitions("bucket", self.by).write.partitionBy("bucket").parquet(f"{folder}/rows")
-        self.spark.createDataFrame([(int(folder.rsplit("=", 1)[1]), b) for b in touched], "v int, bucket int").coalesce(1).write.parquet(f"{folder}/touched")
-
-    def upsert(self, new: DataFrame, key: str = "chunk_id") -> None:
-        self.change(new, key=key)
-
-    def delete_files(self, files: DataFrame) -> None:
-        self.change(gone=files)
+            held = self._part(view, "rows", {self.key: kind, self.by: self._columns(view)[self.by]}).join(_small(gone), self.by, "left_semi")
+            keys = keys.unionByName(self._live(held, self._later_keys(view)).select(self.key))
+        return self._save(keys.distinct(), at)
+
+    def upsert(self, new: DataFrame, key: str | None = None) -> int | None:
+        return self.change(new, key=key)
+
+    def delete_files(self, files: DataFrame) -> int | None:
+        return self.change(gone=files)
+
+    def compact(self) -> bool:
+        """Write the live rows as a new base. False, and nothing changed, if another version came meanwhile."""
+        view = self.view()
+        if not view.versions:
+            return True
+        columns = self._columns(view)
+        parts = self._write_rows(self.read(view), columns, uuid.uuid4().hex)
+        return self.log.add(view.last + 1, {"base": True, "parts": parts, "columns": columns, "keys": 0})
+
+    def vacuum(self, older_than_seconds: float = 7 * 86400) -> int:
+        """Remove the data of versions before the base, and of changes that did not come to an end, if they are so old; their number.
+
+        Readers of earlier views and changes under way need their data: the age has to exceed how long they last.
+        """
+        kept = {p.split("/")[0] for _, e in self.view().versions for p in e["parts"].values()}
+        path = self.log._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        old = [s for s in self.log._fs.listStatus(path) if s.getPath().getName() not in kept and s.getModificationTime() / 1000 <= time.time() - older_than_seconds] if self.log._fs.exists(path) else []
+        for s in old:
+            self.log._fs.delete(s.getPath(), True)
+        return len(old)

@@ -10,21 +10,22 @@ from siftmill.functions import text as tx
 from siftmill.operators import models
 from siftmill.plans.ingest import ingest
 from siftmill.sources.config import Chunking
-from siftmill.sources.files import ignored
+from siftmill.sources.files import ignored, relative_path
 from siftmill.sources.index import Index
 
 
-def stream_files(spark: SparkSession, folder: str, index: Index, embedder: models.Embedder, checkpoint: str, chunking: Chunking = Chunking(), ignore: list[str] = ()) -> StreamingQuery:
+def stream_files(spark: SparkSession, folder: str, index: Index, embedder: models.Embedder, checkpoint: str, chunking: Chunking = Chunking(), ignore: list[str] = (), sparse: models.SparseEmbedder | None = None) -> StreamingQuery:
     """Ingest what is in the folder now and stop; a later call goes on after the files of the checkpoint.
 
-    A batch that is repeated after a failure finds its files unchanged or writes the same chunk ids again.
+    Files have the paths that `list_markdown` gives them, so that both fill one index. Spark's file stream leaves out hidden
+    files and those of length 0. A batch that is repeated after a failure finds its files unchanged or writes the same chunk ids again.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(folder)
-    relative = F.regexp_replace(F.col("path"), "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    relative = relative_path(spark, F.col("path"), folder)
     rows = files.select(relative.alias("path"), tx.content_sha(F.col("content")).alias("sha"), F.decode("content", "UTF-8").alias("content")).where(~ignored(F.col("path"), list(ignore)))
 
     def write(batch: DataFrame, _: int) -> None:
-        ingest(batch, index, embedder, chunking)
+        ingest(batch, index, embedder, chunking, sparse=sparse)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

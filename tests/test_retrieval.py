@@ -160,8 +160,9 @@ def test_service(chunks, queries, spark):
     assert service.to_json(run.keyword(queries.select("query_id", "query"), 1)).first()["json"].startswith('[{"file_path"')
     asked = spark.createDataFrame([("a", None, 0), ("", "k", 3)], "query string, keyword string, top_k int")
     assert [r["top_k"] for r in service.valid_requests(asked).collect()] == [5, 3]
-    with pytest.raises(ValueError):
-        service.valid_requests(spark.createDataFrame([("", None, 0)], "query string, keyword string, top_k int"))
+    bad = spark.createDataFrame([("", None, 0), (None, "k", 2)], "query string, keyword string, top_k int")
+    assert [r["keyword"] for r in service.valid_requests(bad).collect()] == ["k"]
+    assert [r["error"] is None for r in service.checked_requests(bad).orderBy("top_k").collect()] == [True, False]
     hyde = service.SearchService(chunks, models.HashEmbedder(2), config.Retrieval(hyde=True), None, models.EchoGenerator())
     assert hyde.search(queries, 1, adaptive=True).count() >= 1
 
@@ -177,16 +178,16 @@ def test_files_index_and_ingest(spark, tmp_path):
     root = tmp_path / "docs"
     write(root, **{"README.md": "# R\n\none", "docs__intro.MD": "two", "node_modules__x.md": "no", "CLAUDE.md": "no", "a.txt": "no", "empty.md": " \n", "void.md": ""})
     listed = list_markdown(spark, [str(root), ""], ["node_modules/**", "CLAUDE.md"])
-    assert {r["path"] for r in listed.collect()} == {"README.md", "docs/intro.MD", "empty.md"}
+    assert {r["path"] for r in listed.collect()} == {"README.md", "docs/intro.MD", "empty.md", "void.md"}
     assert fetch_files(listed, listed.select("path").where("path = 'README.md'")).first()["content"].startswith("# R")
     index = Index(spark, str(tmp_path / "index"))
     assert index.read().count() == 0
     embedder = models.HashEmbedder(4)
-    assert ingest(listed, index, embedder) == {"processed": 3, "skipped": 0, "failed": 0}
-    assert ingest(listed, index, embedder) == {"processed": 1, "skipped": 2, "failed": 0}
+    assert ingest(listed, index, embedder) == {"processed": 4, "skipped": 0, "failed": 0}
+    assert ingest(listed, index, embedder) == {"processed": 2, "skipped": 2, "failed": 0}
     write(root, **{"README.md": "# R\n\nnew"})
     again = list_markdown(spark, [str(root)], ["node_modules/**", "CLAUDE.md"])
-    assert ingest(again, index, embedder, mode="replace")["processed"] == 2
+    assert ingest(again, index, embedder, mode="replace")["processed"] == 3
     assert sorted(r["text"] for r in index.read().collect()) == ["new", "two"]
     index.delete_files(spark.createDataFrame([("README.md",)], "file_path string"))
     assert index.read().count() == 1
@@ -214,15 +215,35 @@ def test_pdfs(spark, tmp_path):
     assert convert_pdfs(spark, str(tmp_path), first.select("stem", "modified"), convert).count() == 0
 
 
-def test_stream(spark, tmp_path):
-    folder = tmp_path / "in"
-    write(folder, **{"a.md": "first"})
+def test_stream_and_listing_name_files_alike(spark, tmp_path):
+    folder = tmp_path / "c++ docs (1)" / "in"
+    write(folder, **{"a.md": "first", "in__in.md": "nested", "in__x__in__b [1].md": "odd"})
     index = Index(spark, str(tmp_path / "idx"))
-    go = lambda: stream_files(spark, str(folder), index, models.HashEmbedder(4), str(tmp_path / "cp")).awaitTermination(120)
+    go = lambda: stream_files(spark, str(folder) + "/", index, models.HashEmbedder(4), str(tmp_path / "cp")).awaitTermination(120)
     go()
-    write(folder, **{"sub__b.md": "second"})
+    write(folder, **{"sub__c.md": "second"})
     go()
-    assert sorted((r["file_path"], r["text"]) for r in index.read().collect()) == [("a.md", "first"), ("sub/b.md", "second")]
+    paths = ["a.md", "in/in.md", "in/x/in/b [1].md", "sub/c.md"]
+    assert sorted((r["file_path"], r["text"]) for r in index.read().collect()) == list(zip(paths, ["first", "nested", "odd", "second"], strict=True))
+    listed = list_markdown(spark, [str(folder)])
+    assert sorted(r["path"] for r in listed.collect()) == paths
+    assert ingest(listed, index, models.HashEmbedder(4)) == {"processed": 0, "skipped": 4, "failed": 0}
+
+
+@pytest.mark.parametrize("folders", [1, 3, 64])
+def test_listing_of_a_tree(spark, tmp_path, folders):
+    root = tmp_path / "r"
+    write(root, **{"README.md": "x", ".hidden__h.md": "x", "_u.md": "", "docs__intro.Md": "x", "docs__deep__a__b.md": "x", "docs__deep__skip.txt": "x", "out__never.md": "x", "x__part3.md": "x", "x__part9.md": "x", ".md": "x"})
+    (root / "docs" / "out").symlink_to(root / "out")
+    (root / "out" / "never.md").chmod(0)
+    got = {r["path"]: r for r in list_markdown(spark, [str(root), str(root), ""], ["out/**", "*/part[0-4].md"], folders).collect()}
+    assert got.keys() == {"README.md", ".hidden/h.md", "_u.md", "docs/intro.Md", "docs/deep/a/b.md", "x/part9.md", ".md"}
+    assert got["_u.md"]["content"] == "" and got["docs/intro.Md"]["absolute"] == f"{root}/docs/intro.Md" and got["README.md"]["root"] == str(root)
+    assert list_markdown(spark, [str(root)], ["?/"], folders).count() == 0  # the root itself
+    by_uri = list_markdown(spark, [root.as_uri()], ["out/**", "*/part[0-4].md"], folders)
+    assert {r["path"] for r in by_uri.collect()} == got.keys()
+    wanted = spark.createDataFrame([(f"{root}/README.md", "elsewhere"), ("_u.md", str(root)), ("_u.md", "elsewhere")], "path string, root string")
+    assert sorted(str(r["content"]) for r in fetch_files(list_markdown(spark, [str(root)], ["out/**"]), wanted).collect()) == ["", "None", "x"]
 
 
 def test_config(tmp_path):

@@ -1,4 +1,4 @@
-"""The service with a judge, answers and a cache; the index in buckets."""
+"""The service with a judge, answers and a cache."""
 
 from pyspark.sql import functions as F
 
@@ -54,7 +54,7 @@ def test_answers(spark):
 
 
 def test_cache_is_written_and_read(spark, tmp_path):
-    cache = Index(spark, str(tmp_path / "cache"), postprocess.RESULT_CACHE, by="id", buckets=4)
+    cache = Index(spark, str(tmp_path / "cache"), postprocess.RESULT_CACHE, by="id", key="id", optional="")
     settings = config.Cache(threshold=0.99, ttl_seconds=3600)
     at = lambda hour: F.to_timestamp(F.lit(f"2024-01-01 0{hour}:00:00"))
     queries = spark.createDataFrame([(1, "red plum"), (2, "ripe apple"), (3, "ripe apple")], "query_id long, query string")
@@ -72,27 +72,3 @@ def test_cache_is_written_and_read(spark, tmp_path):
     assert {str(r["cached_at"]) for r in cache.read().collect()} == {"2024-01-01 04:00:00"}
 
 
-def test_a_change_writes_only_the_buckets_it_meets(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "idx"), "chunk_id string, file_path string, text string", buckets=8)
-    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, file_path string, text string")
-    everything = [(f"c{k}", f"f{k % 40}", "old") for k in range(200)]
-    index.upsert(rows(*everything))
-    index.upsert(rows(("c0", "f0", "new"), ("n", "f0", "new"), ("n", "f0", "new")))
-    assert len(index._names(f"{index.path}/v=1/rows")) <= 2  # one bucket and the mark of success
-    got = {r["chunk_id"]: r["text"] for r in index.read().collect()}
-    assert len(got) == 201 and index.read().count() == 201 and got["c0"] == "new" and got["c40"] == "old"
-    index.delete_files(spark.createDataFrame([(f"f{k}",) for k in range(40)], "file_path string"))
-    assert index.read().count() == 0
-    index.upsert(rows(*everything).limit(0))
-    index.change(rows(("x", None, "t")), spark.createDataFrame([("f1",)], "file_path string"))
-    assert [r["chunk_id"] for r in index.read().collect()] == ["x"]
-
-
-def test_a_version_cut_short_is_not_read(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "idx"), "chunk_id string, file_path string")
-    rows = spark.createDataFrame([("a", "f")], "chunk_id string, file_path string")
-    index.upsert(rows)
-    rows.write.parquet(f"{index.path}/v=1/rows/bucket=0")
-    assert index.read().count() == 1
-    index.upsert(spark.createDataFrame([("b", "f")], "chunk_id string, file_path string"))
-    assert index.read().count() == 2 and index._versions() == [0, 1, 2]
