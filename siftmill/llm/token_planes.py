@@ -15,14 +15,15 @@ can read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ N_PLANES = {BYTE_PLANES: 4, BIT_PLANES: 32}
 #: Ids of a block, and ids after which a file is closed at the end of a document.
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 20
 LEVEL = 3
-#: Characters of text in work at once, and entries after which a worker's caches are emptied.
-PIECE_CHARS, MOST_UNITS, MOST_WORDS = 1 << 20, 300_000, 600_000
+#: Characters of text in work at once, and parts of text after which what a worker has learnt is emptied.
+PIECE_CHARS, MOST_PARTS = 1 << 20, 900_000
 
 FILES = "part int, seq int, n_docs long, n_ids long, content binary"
 READ = "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long"
@@ -170,48 +171,57 @@ class FileReader:
 class Encoder:
     """A tokenizer of the tokenizers library, and what it gave for parts of text that come again.
 
-    The parts have to be such that their encodings joined are that of the text. Two cuts are known to be: at white space,
-    if the tokenizer drops it, and between the matches of its own splitting pattern, in parts of Latin-1 characters without
-    special tokens, which its normaliser leaves alone but for the case. A tokenizer with another normaliser or splitter encodes
-    whole texts.
+    The parts are such that their encodings joined are that of the text: white space, which the tokenizer drops, cuts any
+    text, and in Latin-1 text without special tokens, which its normaliser leaves alone but for the case, the matches of
+    its splitting pattern are encoded one by one. A tokenizer with another normaliser or pattern encodes whole texts.
     """
 
+    #: The normaliser and the splitting pattern that the parts are made for.
     NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    #: The same pattern for lower-case Latin-1 text.
+    LATIN = re.compile("[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+".format(L="a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", N="0-9\xb2\xb3\xb9\xbc-\xbe", S="\t-\r \x85\xa0"))
 
     def __init__(self, tokenizer: str):
-        import json
-
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         self.tokenizer = Tokenizer.from_str(tokenizer)
         said = json.loads(tokenizer)
-        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.parts = (said.get("normalizer") or {}).get("normalizers") == self.NORMAL and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and said.get("post_processor") is None
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.parts else None
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in said.get("added_tokens", [])) or r"(?!)")
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = steps[0].get("pattern") == {"Regex": self.PATTERN} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        self.parts = bool((said.get("normalizer") or {}).get("normalizers") == self.NORMAL and split and said.get("post_processor") is None)
+        self.special = [t["content"] for t in said.get("added_tokens", [])]
+        self.known: dict[str, bytes] = {}
+        #: Ids with which a word ends, where the model marks them.
+        suffix = (said.get("model") or {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encodes words in one text and cuts it where the model marks their ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *at], at)), strict=True))
+        else:
+            self.known.update(zip(words, self._whole(words), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        split, odd = {}, []
-        for u in units:
-            try:
-                u.encode("latin-1")
-                plain = self.special.search(u) is None
-            except UnicodeEncodeError:
-                plain = False
-            if plain:
-                split[u] = self.pattern.findall(u.lower())
-            else:
-                odd.append(u)
-        new = list({w for words in split.values() for w in words if w not in self.words})
-        self.words.update(zip(new, self._whole(new), strict=True))
-        self.units.update((u, b"".join([self.words[w] for w in words])) for u, words in split.items())
-        self.units.update(zip(odd, self._whole(odd), strict=True))
+    def _parts(self, text: str) -> tuple[list[str], bool]:
+        """Parts of a text, and whether all of them are words of Latin-1 letters, digits or signs."""
+        if any(s in text for s in self.special):
+            return [text], False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            units = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            return [p for u in units for p in (self._parts(u)[0] if len(units) > 1 else [u])], False
+        return self.LATIN.findall(text.lower()), True
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -221,15 +231,16 @@ class Encoder:
         while at < len(text):
             end = text.find(" ", at + PIECE_CHARS) if len(text) - at > PIECE_CHARS else -1
             end = len(text) if end < 0 else end
-            units = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if new := [u for u in set(units) if u not in self.units]:
-                if len(self.units) + len(new) > MOST_UNITS:
-                    self.units.clear()
-                    new = list(set(units))
-                if len(self.words) > MOST_WORDS:
-                    self.words.clear()
-                self._learn(sorted(new))
-            out += map(self.units.__getitem__, units)
+            parts, words = self._parts(text[at:end])
+            if new := [p for p in set(parts) if p not in self.known]:
+                if len(self.known) + len(new) > MOST_PARTS:
+                    self.known.clear()
+                    new = list(set(parts))
+                if words:
+                    self._learn_words(new)
+                else:
+                    self.known.update(zip(new, self._whole(new), strict=True))
+            out += map(self.known.__getitem__, parts)
             at = end
         return b"".join(out)
 

@@ -59,8 +59,7 @@ def test_parts_encode_like_whole_texts(plain):
 
 def test_long_texts_are_cut_at_spaces_and_caches_are_emptied(plain, monkeypatch):
     monkeypatch.setattr(tp, "PIECE_CHARS", 10)
-    monkeypatch.setattr(tp, "MOST_UNITS", 5)
-    monkeypatch.setattr(tp, "MOST_WORDS", 3)
+    monkeypatch.setattr(tp, "MOST_PARTS", 5)
     encoder = tp.Encoder(open(PATH, encoding="utf-8").read())
     text = "one two, three's four\nfive " * 20 + "without" * 9
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain(text)[:-1]
