@@ -77,7 +77,7 @@ def test_variants_equal_brute_force(spark):
     pool = words_of(5, 60, "abcé", 5, 8) + ["Übermäßig", "ubermäßig", "x×y÷zzz", "LONGEST" * 3]
     weights = [rng.choice([1, 1, 2, 30]) for _ in pool]
     rows = [(rng.choice([None, 1, 2, k]), " ".join(rng.choices(pool, weights, k=80)) + "1é\n") for k in range(60)]
-    rows += [(3, None), (4, ""), (None, None), (5, "tiny"), (6, "abcabc " * 9000), (6, "abcabc " * 9000), (7, "q" * 100_000 + " "), (8, "mmmmmm " * 5 + "mmmmmn " * 40 + "mmmmnn " * 300)]
+    rows += [(3, None), (4, ""), (None, None), (5, "tiny"), (6, "abcabc " * 9000), (6, "abcabc " * 9000), (7, "q" * 100_000 + " "), *((k, "mmmmmm mmmmmn " + "mmmmmn mmmmnn " * 8 + "mmmmnn " * 60) for k in range(100, 106))]
     docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, word string, n int").repartition(4)
     got = {tuple(r) for r in sp.spelling_variants(docs, drop_every=19).collect()}
     assert got == plain_variants(rows, every=19)
