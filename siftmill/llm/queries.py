@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftmill.llm.ball_kmeans import ball_kmeans
 from siftmill.llm.common import table
 from siftmill.llm.decontaminate import contaminated
-from siftmill.llm.licenses import HINTS, NOISE, RULES, SENTENCES, scan_licenses
+from siftmill.llm.licenses import HINTS, NOISE, RULES, SENTENCES, scan_licenses, sentence_forms
 from siftmill.llm.lm import score_documents
 from siftmill.llm.media import media_column
 from siftmill.llm.mixing import mix, word_count
@@ -133,8 +133,13 @@ select doc_id, size, source_size, target, (size * (whole + case when rest > 0 an
 """
 
 
-def _license_sql() -> str:
-    known = " union all ".join(f"select '{s}' as sentence, '{i}' as ident" for i, forms in SENTENCES.items() for s in forms)
+def _quoted(text: str) -> str:
+    return "E'" + text.replace("\n", "\\n") + "'"
+
+
+def license_sql() -> str:
+    """Lines are numbered, and every known sentence is followed line by line; of overlapping ones the first and longest stays."""
+    known = " union all ".join(f"select {_quoted(form)} as f, '{i}' as ident" for i, sentences in SENTENCES.items() for s in sentences for form in sentence_forms(s))
     groups: dict[str, list[str]] = {}
     for group, name, ids, never in RULES:
         # RE2 has no lookahead: a forbidden sentence is looked for after the last one of the rule.
@@ -144,13 +149,22 @@ def _license_sql() -> str:
         groups.setdefault(group, []).append(f"when {test} then '{name}'")
     cases = ", ".join(f"case {' '.join(x)} end" for x in groups.values())
     return rf"""
-with k as ({known}),
+with recursive k as ({known}),
 p as (select row_number() over () as r, doc_id, text as t from documents where regexp_matches(text, '(?i){HINTS}')),
-q as (select r, doc_id, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)([ \t\n\r]|$)', '\1' || chr(1) || '\2', 'g'), '[.!?;:]+\x01|\n[ \t\r]*\n') as parts from p),
-u as (select r, doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from q),
-n as (select r, doc_id, pos, trim(regexp_replace(lower(part), '{NOISE.replace('(?=[^a-z0-9]|$)', '([^a-z0-9]|$)')}', ' ', 'g')) as sentence from u),
-m as (select r, any_value(doc_id) as doc_id, count(*) as n_sentences, string_agg(ident, ',' order by pos) as sentence_ids, ';' || string_agg(ident, ';' order by pos) || ';' as seq from n join k using (sentence) group by r)
-select doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{cases}], lambda x: x is not null), ',') as licenses from m
+q as (select r, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)([ \t\n\r]|$)', '\1' || chr(1) || '\2', 'g'), '[.!?;:]+\x01|\n[ \t\r]*\n') as parts from p),
+u as (select r, unnest(parts) as part, generate_subscripts(parts, 1) as i from q),
+l as (select r, i, unnest(string_split(part, chr(10))) as line, generate_subscripts(string_split(part, chr(10)), 1) as j from u where trim(part, ' \t\n\r' || chr(9) || chr(10) || chr(13)) <> ''),
+n as (select r, i, j, trim(regexp_replace(lower(line), '{NOISE.replace('(?=[^a-z0-9]|$)', '([^a-z0-9]|$)')}', ' ', 'g')) as s from l),
+o as (select r, s, row_number() over (partition by r order by i, j) as pos, dense_rank() over (partition by r order by i) as part from n where s <> ''),
+w(r, a, pos, part, f, ident, done) as (
+  select r, pos, pos, part, f, ident, length(s) from o join k on starts_with(f, s) and (f = s or substr(f, length(s) + 1, 1) in (' ', chr(10)))
+  union all
+  select o.r, a, o.pos, o.part, f, ident, done + 1 + length(s) from w join o on o.r = w.r and o.pos = w.pos + 1
+  where starts_with(substr(f, done + 1), case when o.part = w.part then ' ' when o.part = w.part + 1 then chr(10) end || s) and (done + 1 + length(s) = length(f) or substr(f, done + length(s) + 2, 1) in (' ', chr(10)))),
+h as (select distinct r, a, pos as z, ident from w where done = length(f)),
+m as (select r, count(*) as n_sentences, string_agg(ident, ',' order by a) as sentence_ids, ';' || string_agg(ident, ';' order by a) || ';' as seq
+  from h where not exists (select 1 from h x where x.r = h.r and x.a <= h.a and x.z >= h.z and (x.a < h.a or x.z > h.z)) group by r)
+select doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{cases}], lambda x: x is not null), ',') as licenses from m join p using (r)
 """
 
 
@@ -243,4 +257,4 @@ from z join m{BALL_ROUNDS} using (c)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op8_decontamination": LEAKS_SQL, "op3_sharding": SHARDING_SQL, "op4_license_scan": _license_sql(), "op6_mixing": MIXING_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_ball_kmeans": _balls_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_SQL, "op5_minhash_near_dedup": NEAR_SQL, "op8_decontamination": LEAKS_SQL, "op3_sharding": SHARDING_SQL, "op4_license_scan": license_sql(), "op6_mixing": MIXING_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_ball_kmeans": _balls_sql()}
