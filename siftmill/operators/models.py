@@ -14,8 +14,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftmill.functions import text as tx
 
@@ -47,6 +49,34 @@ class TextGenerator(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
+class RelevanceScorer(Protocol):
+    """Rates hits: a column over query and text, null where nothing is known."""
+
+    def column(self, query: Column, text: Column) -> Column: ...
+
+
+class Chunker(Protocol):
+    """Chunks of (file_path, text, ...) as `markdown.chunk_documents` makes them."""
+
+    def chunks(self, docs: DataFrame) -> DataFrame: ...
+
+
+class Lister(Protocol):
+    """Files with path, root, sha and content, as `files.list_markdown` lists them."""
+
+    def files(self) -> DataFrame: ...
+
+
+class ChunkStore(Protocol):
+    """What ingest and search ask of an index; `sources.index.Index` is one."""
+
+    def read(self) -> DataFrame: ...
+
+    def file_shas(self) -> DataFrame: ...
+
+    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None) -> object: ...
+
+
 class ModelError(RuntimeError):
     """A model failed, or answered with another number of results than it was asked for."""
 
@@ -81,6 +111,14 @@ class HashSparseEmbedder:
         return out
 
 
+class RelativeReranker:
+    """A passage's length as a share of all that are scored with it: shows whether a query's passages come together."""
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        total = sum(map(len, passages)) or 1
+        return [len(p) / total for p in passages]
+
+
 class EchoGenerator:
     """Answers with the prompt's question."""
 
@@ -221,6 +259,30 @@ def rerank_column(reranker: Reranker, query: Column, passage: Column) -> Column:
     return scored(query, passage)
 
 
+def rerank_groups(hits: DataFrame, reranker: Reranker, key: str = "query_id", query: str = "query", passage: str = "text", to: str = "score") -> DataFrame:
+    """The hits with the reranker's scores in column `to`, all passages of a query in one call, in the order of `rank` if there is one.
+
+    A query's passages come in Arrow batches of any size and are gathered before the call: what is held at once is the hits
+    of one query. Null texts count as empty. A number of scores that does not fit is an error.
+    """
+    columns = [c for c in hits.columns if c != to]
+    schema = StructType([hits.schema[c] for c in columns]).add(to, "double")
+    ordered = "rank" in columns
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if ordered:
+            table = table.sort_by("rank")
+        asked = table.column(query)[0].as_py() or ""
+        scores = reranker.score(asked, [t or "" for t in table.column(passage).to_pylist()])
+        if len(scores) != len(table):
+            raise ModelError(f"{len(table)} passages gave {len(scores)} scores")
+        yield from table.append_column(to, pa.array([float(x) for x in scores], pa.float64())).to_batches()
+
+    scored.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}  # Spark reads them
+    return hits.select(*columns).groupBy(key).applyInArrow(scored, schema)
+
+
 def overlap_score(query: Column, passage: Column) -> Column:
     """Share of the query's distinct words that the passage has: the stand-in of rerankers and relevance filters."""
     q = F.array_distinct(tx.word_tokens(query))

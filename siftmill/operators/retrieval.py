@@ -86,18 +86,26 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, where: Column | No
 
         return rows.mapInArrow(best, schema)
 
-    found, block = None, []
-    for q in queries.select("query_id", F.col("vector").cast("array<double>")).where(F.col("vector").isNotNull()).toLocalIterator():
-        if block and (len(block) + 1) * len(q[1]) > BLOCK_NUMBERS:
-            found, block = (scan(block) if found is None else found.unionByName(scan(block))), []
-        block.append((q[0], q[1]))
-    if block:
+    found = None
+    for block in query_blocks(queries):
         found = scan(block) if found is None else found.unionByName(scan(block))
     if found is None:
         found = spark.createDataFrame([], schema)
     return ranked(found, n)
 
 
+def query_blocks(queries: DataFrame) -> Iterator[list[tuple[object, list[float]]]]:
+    """(query_id, vector) of the queries that have a vector, in blocks of at most BLOCK_NUMBERS numbers."""
+    block: list[tuple[object, list[float]]] = []
+    for q in queries.select("query_id", F.col("vector").cast("array<double>")).where(F.col("vector").isNotNull()).toLocalIterator():
+        if block and (len(block) + 1) * len(q[1]) > BLOCK_NUMBERS:
+            yield block
+            block = []
+        block.append((q[0], q[1]))
+    if block:
+        yield block
+
+
 def ranked(hits: DataFrame, n: int | None, score: str = "score", to: str = "rank") -> DataFrame:
     """Rank 1, 2, ... in each query by score, ties by chunk_id; the first n rows if given."""
     out = hits.withColumn(to, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc(), "chunk_id")))

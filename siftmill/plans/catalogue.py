@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text as tx
 from siftmill.functions import vectors as vx
-from siftmill.operators import indexed, markdown, models, postprocess, retrieval
+from siftmill.operators import cells, indexed, markdown, models, postprocess, retrieval
 from siftmill.plans import ingest, service
 from siftmill.sources import files, index
 from siftmill.sources.scratch import durable, new_folder
@@ -401,6 +401,39 @@ def index_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "run int, processed long, skipped long, failed long, files_held long")
 
 
+def rerank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit by its share of the lengths of all hits of its query, which a model that gets them apart can't tell."""
+    hits = hits_with_text(spark, sf_dir)
+    return postprocess.rerank(models.rerank_groups(hits, models.RelativeReranker()), 4, F.col("score")).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+CELLS, PROBE = 16, 4
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def dense_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the cells of an index, all of them probed, and from what came into the index after they were made."""
+    made = index.Index(spark, new_folder(spark))
+    rows = corpus(spark, sf_dir)
+    made.upsert(rows.where("doc_id % 4 <> 0").withColumn("vector", F.when(F.col("doc_id") % 4 == 1, F.reverse("vector")).otherwise(F.col("vector"))))
+    held = cells.build_for(made, new_folder(spark), CELLS)
+    made.upsert(rows.where("doc_id % 4 < 2"))
+    made.delete_files(spark.createDataFrame([("notes/3.md",)], "file_path string"))
+    return cells.dense_topk(made, held, asked_vectors(spark, sf_dir), 10, digits=6)
+
+
+def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a quarter of the cells finds nine tenths of what the exact search finds, over all queries."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = asked_vectors(spark, sf_dir)
+    found = cells.VectorCells(spark, new_folder(spark)).build(rows, CELLS).topk(asked, 10, PROBE)
+    each = cells.recall(found, retrieval.dense_topk(rows, asked, 10))
+    return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
 def adaptive_hyde_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a filter on the language, and a generator that failed on every other query: these keep their filtered hits."""
     hyde = queries_table(spark, sf_dir).select("query_id").join(hyde_means(spark, sf_dir).where("query_id % 2 = 0"), "query_id", "left")
@@ -423,7 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         adaptive_hyde, rerank_overlap, chunk_filter, cache_lookup, cache_or_search, lost_in_middle, rag_context, ndjson_decode, ignore_patterns,
         markdown_sections, rag_prompt, hybrid_rrf_sparse, search_results, hyde_prompts, filter_by_replies, cache_entries, valid_requests,
         embed_isolated, filter_prompts, model_filter, rag_answer, index_keyword_search, index_hybrid_client, index_hybrid_server, index_manifest,
-        index_ingest, adaptive_hyde_failing, rejected_requests,
+        index_ingest, adaptive_hyde_failing, rejected_requests, rerank_groups, dense_topk_cells, cell_recall,
     )
 }
 
@@ -601,6 +634,11 @@ ORACLE_SQL: dict[str, str] = {
     "adaptive_hyde_failing": f"with {_CORPUS}, {_Q}, {_HYDE}, en as (select * from corpus where header = 'en'), {_hybrid('q', 'en', 'p_')}, {_hybrid('hq', p='h_')}, again as (select query_id from p_hits where rank = 1 and query_id % 2 = 0) select query_id, chunk_id, score, rank from p_hits where query_id not in (select query_id from again) union all select query_id, chunk_id, score, rank from h_hits where query_id in (select query_id from again)",
     "rejected_requests": "select conv_id, turn, case when turn % 4 - 1 > 0 then turn % 4 - 1 else 5 end::int as top_k, case when ((conv_id + turn) % 3 = 0 or text = '') and turn % 2 <> 1 then 'a request needs a query or a keyword' end as error from conversations",
 }
+ORACLE_SQL |= {
+    "rerank_groups": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select query_id, chunk_id, length(text) / sum(length(text)) over (partition by query_id) as score from hits join corpus using (chunk_id)) select query_id, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o) where rank <= 4",
+    "dense_topk_cells": f"with {_CORPUS}, v as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 100 = 0), held as (select * from corpus where file_path <> 'notes/3.md'), {_dense('d', 'v', 'held', n=10)} select query_id, chunk_id, score, rank from d",
+    "cell_recall": "select count(*) as queries, true as reached from embeddings where vec_id % 100 = 0",
+}
 _SERVER = ORACLE_SQL["hybrid_rrf_server"]
 #: The same over what the index holds.
 ORACLE_SQL["index_hybrid_server"] = _SERVER.replace("corpus as (", "every as (", 1).replace(f", {_Q}", f", corpus as (select * from every where file_path <> 'notes/3.md'), {_Q}", 1)

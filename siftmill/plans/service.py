@@ -119,7 +119,7 @@ class SearchService:
             text = self.chunks.select("chunk_id", tx.display_text(window, F.col("text")).alias("text"))
             wide = hits.select("query_id", "chunk_id", "score", "rank").join(text, "chunk_id").join(retrieval.small(queries.select("query_id", "query")), "query_id")
             if self.reranker:
-                wide = postprocess.rerank(wide, k, models.rerank_column(self.reranker, F.col("query"), F.col("text")))
+                wide = postprocess.rerank(models.rerank_groups(wide.drop("score"), self.reranker), k, F.col("score"))
             if self.settings.chunk_filter:
                 threshold = self.settings.filter_threshold
                 wide = postprocess.model_filter(wide, self.judge, threshold) if self.judge else postprocess.relevance_filter(wide, models.overlap_score(F.col("query"), F.col("text")), threshold)

@@ -9,6 +9,7 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,7 +79,9 @@ class Tree:
     """The files below a folder: a local or mounted one by its path, others by a URI that pyarrow knows."""
 
     def __init__(self, root: str):
-        self.local = "://" not in root and not root.startswith("file:")
+        if root.startswith("file:"):
+            root = unquote(urlparse(root).path)
+        self.local = "://" not in root
         if self.local:
             self.root = os.path.abspath(root)
         else:

@@ -187,6 +187,21 @@ class Index:
         columns = self._columns(view)
         return self._live(self._part(view, "rows", columns), self._later_keys(view)).select(*columns)
 
+    def since(self, version: int, view: View | None = None) -> DataFrame:
+        """The live rows that came after a version."""
+        view = view or self.view()
+        columns = self._columns(view)
+        return self._live(self._part(view, "rows", columns, lambda v: v > version), self._later_keys(view)).select(*columns)
+
+    def until(self, version: int, view: View | None = None) -> DataFrame:
+        """The live rows without texts and vectors that were there at a version.
+
+        A base that is newer counts as of its own version: what it holds is found by `since`.
+        """
+        view = view or self.view()
+        columns = {c: t for c, t in self._columns(view).items() if c not in ("text", "window_text", "vector", *self.optional)}
+        return self._live(self._part(view, "rows", columns, lambda v: v <= version), self._later_keys(view)).select(*columns)
+
     def manifest(self, view: View | None = None) -> DataFrame:
         """file_path, source_sha (of the last chunk by id), first_sha (of the first), n (chunks that the last version put in).
 
