@@ -61,8 +61,9 @@ def delete_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("file_path"), "file_path", "left_anti").select(*chunks.columns)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcasting if it has no more than SMALL_ROWS rows, by a number that the log holds; else left to a shuffled join."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
 # ---------------------------------------------------------------- what a version holds besides its rows
@@ -168,10 +169,11 @@ class Index:
 
     def _later_keys(self, view: View, after: int = -1) -> DataFrame | None:
         """key, _last: the last version that names a key, of the versions behind the base; None if they name none."""
-        if not any(e["keys"] for _, e in view.versions[1:]):
+        named = sum(e["keys"] for _, e in view.versions[1:])
+        if not named:
             return None
         keys = self._part(view, "keys", {self.key: self._columns(view)[self.key]}, lambda v: v > max(after, view.versions[0][0]))
-        return _small(keys.groupBy(self.key).agg(F.max("_v").alias("_last")))
+        return _sized(keys.groupBy(self.key).agg(F.max("_v").alias("_last")), named)
 
     def _live(self, rows: DataFrame, later: DataFrame | None, key: str | None = None) -> DataFrame:
         """`rows` (with _v) whose key no later version names."""
@@ -210,9 +212,9 @@ class Index:
         """
         view = view or self.view()
         entries = self._part(view, "files", {"file_path": "string", "first_id": "string", "first_sha": "string", "last_id": "string", "last_sha": "string", "n": "bigint"})
-        if any("gone" in e["parts"] for _, e in view.versions):
+        if named := sum(e["gone"] for _, e in view.versions):
             gone = self._part(view, "gone", {"file_path": "string"}).groupBy("file_path").agg(F.max("_v").alias("_gone"))
-            entries = entries.join(_small(gone), "file_path", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone")))
+            entries = entries.join(_sized(gone, named), "file_path", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone")))
         return entries.groupBy("file_path").agg(F.max_by("last_sha", F.struct("last_id", "_v")).alias("source_sha"), F.min_by("first_sha", F.struct("first_id", -F.col("_v"))).alias("first_sha"), F.max_by("n", "_v").alias("n"))
 
     def file_shas(self, view: View | None = None) -> DataFrame:
@@ -299,17 +301,17 @@ class Index:
         if new is not None:
             columns = self.schema | {c: t for c, t in self.optional.items() if c in new.columns}
             parts = self._write_rows(one_per_id(new, self.key, [F.col(self.key)]).select(*(F.col(c).cast(t) for c, t in columns.items())), columns, folder)
-        named = self.spark.read.schema(f"{self.by} string").parquet(f"{self.path}/data/{folder}/gone") if gone is not None and self._save(gone.select(F.col(self.by).cast("string")).distinct(), f"{folder}/gone") else None
-        if named is not None:
+        n_gone = self._save(gone.select(F.col(self.by).cast("string")).distinct(), f"{folder}/gone") if gone is not None else 0
+        if n_gone:
             parts["gone"] = f"{folder}/gone"
         for attempt in range(100):
             view = self.view()
             if expected is not None and view.last != expected:
                 raise Conflict(f"version {view.last} came after {expected}")
-            n_keys = self._write_keys(view, parts, columns, named, f"{folder}/keys-{attempt}")
+            n_keys = self._write_keys(view, parts, columns, n_gone, f"{folder}/keys-{attempt}")
             if not n_keys and "rows" not in parts:
                 return None
-            entry = {"base": view.last < 0, "parts": parts | {"keys": f"{folder}/keys-{attempt}"}, "columns": columns or dict(self.schema), "keys": n_keys}
+            entry = {"base": view.last < 0, "parts": parts | {"keys": f"{folder}/keys-{attempt}"}, "columns": columns or dict(self.schema), "keys": n_keys, "gone": n_gone}
             if self.log.add(view.last + 1, entry):
                 if not entry["base"] and len(view.versions) >= self.most_deltas:
                     self.compact()
@@ -343,14 +345,15 @@ class Index:
             derive("blocks", sparse_blocks(rows).repartitionByRange("i", F.col("most").desc()).sortWithinPartitions("i", F.col("most").desc()))
         return parts
 
-    def _write_keys(self, view: View, parts: dict[str, str], columns: dict[str, str], gone: DataFrame | None, at: str) -> int:
+    def _write_keys(self, view: View, parts: dict[str, str], columns: dict[str, str], n_gone: int, at: str) -> int:
         """The keys that a change names: those that it puts in and those of the live rows that it takes out."""
         kind = (self.schema | columns)[self.key]
         keys = self.spark.createDataFrame([], f"`{self.key}` {kind}")
         if "rows" in parts:
             keys = self.spark.read.schema(f"`{self.key}` {kind}").parquet(f"{self.path}/data/{parts['rows']}")
-        if gone is not None:
-            held = self._part(view, "rows", {self.key: kind, self.by: self._columns(view)[self.by]}).join(_small(gone), self.by, "left_semi")
+        if n_gone:
+            gone = self.spark.read.schema(f"`{self.by}` string").parquet(f"{self.path}/data/{parts['gone']}")
+            held = self._part(view, "rows", {self.key: kind, self.by: self._columns(view)[self.by]}).join(_sized(gone, n_gone), self.by, "left_semi")
             keys = keys.unionByName(self._live(held, self._later_keys(view)).select(self.key))
         return self._save(keys.distinct(), at)
 
@@ -367,7 +370,7 @@ class Index:
             return True
         columns = self._columns(view)
         parts = self._write_rows(self.read(view), columns, uuid.uuid4().hex)
-        return self.log.add(view.last + 1, {"base": True, "parts": parts, "columns": columns, "keys": 0})
+        return self.log.add(view.last + 1, {"base": True, "parts": parts, "columns": columns, "keys": 0, "gone": 0})
 
     def vacuum(self, older_than_seconds: float = 7 * 86400) -> int:
         """Remove the data of versions before the base, and of changes that did not come to an end, if they are so old; their number.
