@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 WHITE = r"\p{IsWhite_Space}"
 #: Whitespace of regular expressions in the RE2 sense; Java's \s also has the vertical tab.
 SPACE = r"[\t\n\f\r ]"
+#: What texts are cut at, the first that occurs.
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 #: Fixed value: a line of a table of contents, 1 to 80 characters and a bare page number.
 TOC_LINE = r"(?d)^.{1,80}[\t\n\f\r ]+[0-9]+[\t\n\f\r ]*$"

@@ -239,7 +239,8 @@ def multi_fragment_search(chunks: DataFrame, queries: DataFrame, k: int, embed,
 
 
 def results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, rank and the five result fields of the hits."""
+    """query_id, rank and the five result fields of the hits; a field that a chunk lacks is empty, or 0."""
     wide = hits.join(chunks, "chunk_id")
     window_text = F.col("window_text") if "window_text" in chunks.columns else F.lit("")
-    return wide.select("query_id", "rank", "file_path", "header", "line_start", F.col("score").cast("float").alias("score"), tx.display_text(window_text, F.col("text")).alias("text"))
+    fields = [F.coalesce(name, F.lit(default)).alias(name) for name, default in (("file_path", ""), ("header", ""), ("line_start", 0))]
+    return wide.select("query_id", "rank", *fields, F.col("score").cast("float").alias("score"), F.coalesce(tx.display_text(window_text, F.col("text")), F.lit("")).alias("text"))

@@ -275,6 +275,13 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.results(hits, chunks).withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
+def result_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of chunks that lack fields: every second one has no header, every third no line, every fifth no text."""
+    hits = retrieval.hybrid_search(corpus(spark, sf_dir), queries_table(spark, sf_dir), K)
+    chunks = corpus(spark, sf_dir).withColumns({"header": F.when(F.col("doc_id") % 2 == 1, F.col("header")), "line_start": F.when(F.col("doc_id") % 3 != 0, F.col("line_start")), "text": F.when(F.col("doc_id") % 5 != 0, F.col("text")), "window_text": F.lit(None).cast("string")})
+    return retrieval.results(hits, chunks).withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
 def hyde_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven prompts a query: the five templates take turns and start again."""
     return models.hyde_prompts(queries_table(spark, sf_dir).select("query_id", "query"), 7, several=True).select("query_id", "doc_no", "prompt")
@@ -457,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         markdown_sections, rag_prompt, hybrid_rrf_sparse, search_results, hyde_prompts, filter_by_replies, cache_entries, valid_requests,
         embed_isolated, filter_prompts, model_filter, rag_answer, index_keyword_search, index_hybrid_client, index_hybrid_server, index_manifest,
         index_ingest, adaptive_hyde_failing, rejected_requests, rerank_groups, dense_topk_cells, cell_recall,
+        result_defaults,
     )
 }
 
@@ -637,6 +645,7 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL |= {
     "rerank_groups": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select query_id, chunk_id, length(text) / sum(length(text)) over (partition by query_id) as score from hits join corpus using (chunk_id)) select query_id, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o) where rank <= 4",
     "dense_topk_cells": f"with {_CORPUS}, v as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 100 = 0), held as (select * from corpus where file_path <> 'notes/3.md'), {_dense('d', 'v', 'held', n=10)} select query_id, chunk_id, score, rank from d",
+    "result_defaults": f"with {_CORPUS}, {_Q}, {_hybrid()} select query_id, rank, file_path, case when doc_id % 2 = 1 then header else '' end as header, case when doc_id % 3 <> 0 then line_start else 0 end as line_start, round(score::float::double, 6) as score, case when doc_id % 5 <> 0 then text else '' end as text from hits join corpus using (chunk_id)",
     "cell_recall": "select count(*) as queries, true as reached from embeddings where vec_id % 100 = 0",
 }
 _SERVER = ORACLE_SQL["hybrid_rrf_server"]

@@ -26,11 +26,14 @@ def counters(status: DataFrame) -> DataFrame:
     return status.agg(*[F.count_if(F.col("status") == s).cast("long").alias(s) for s in ("processed", "skipped", "failed")])
 
 
-def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunking = Chunking(), sparse: models.SparseEmbedder | None = None) -> DataFrame:
-    """Index rows of files (path, sha, content); of files with the same relative path the last root's is taken."""
+def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunking = Chunking(), sparse: models.SparseEmbedder | None = None, chunker: models.Chunker | None = None) -> DataFrame:
+    """Index rows of files (path, sha, content); of files with the same relative path the last root's is taken.
+
+    A `chunker` stands for the chunking that the settings describe.
+    """
     one = one_per_id(files, "path", [F.col("root").desc()]) if "root" in files.columns else files
     docs = one.select(F.col("path").alias("file_path"), F.col("sha").alias("source_sha"), F.coalesce("content", F.lit("")).alias("text"))
-    chunks = chunk_documents(docs, chunking.strategy, chunking.chunk_size, chunking.chunk_overlap, chunking.window_size, chunking.toc_threshold)
+    chunks = chunker.chunks(docs) if chunker else chunk_documents(docs, chunking.strategy, chunking.chunk_size, chunking.chunk_overlap, chunking.window_size, chunking.toc_threshold)
     out = chunks.withColumn("vector", models.embed_column(embedder, tx.contextual_text(F.col("file_path"), F.col("header"), F.col("text")), isolate=True))
     if sparse is not None:
         found = models.sparse_column(sparse, F.col("text"), "passage")
@@ -38,7 +41,7 @@ def prepare_chunks(files: DataFrame, embedder: models.Embedder, chunking: Chunki
     return out
 
 
-def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking: Chunking = Chunking(), mode: str = "upsert", sparse: models.SparseEmbedder | None = None) -> dict[str, int]:
+def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking: Chunking = Chunking(), mode: str = "upsert", sparse: models.SparseEmbedder | None = None, chunker: models.Chunker | None = None) -> dict[str, int]:
     """Bring the index up to date; returns the counters. `mode` 'replace' deletes a changed file's old chunks first.
 
     What is known of a file comes from the index's manifest; no chunk is read. The files are read once, into a listing in the
@@ -53,7 +56,7 @@ def ingest(files: DataFrame, index: Index, embedder: models.Embedder, chunking:
     fresh = F.coalesce((F.col("sha") == "") | (F.col("_sha") != F.col("sha")), F.lit(True))
     one.select("path", "root", "sha", "content").join(known, "path", "left").select("path", "root", "sha", fresh.alias("fresh"), F.when(fresh, F.col("content")).alias("content")).write.parquet(f"{folder}/listed")
     listed = spark.read.schema("path string, root string, sha string, fresh boolean, content string").parquet(f"{folder}/listed")
-    made = prepare_chunks(listed.where("fresh"), embedder, chunking, sparse)
+    made = prepare_chunks(listed.where("fresh"), embedder, chunking, sparse, chunker)
     made.write.parquet(f"{folder}/made")
     made = spark.read.schema(made.schema).parquet(f"{folder}/made")
     failed = made.where(F.col("vector").isNull()).select(F.col("file_path").alias("path")).distinct()

