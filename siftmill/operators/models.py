@@ -138,6 +138,16 @@ class LengthEmbedder:
         return [[float(len(t))] * self.dimension for t in texts]
 
 
+class CyclicEmbedder:
+    """Vectors that follow from the number of a text's characters alone."""
+
+    def __init__(self, dimension: int = 64):
+        self.dimension = dimension
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t) * (k + 1) * 7919 % 101 - 50) for k in range(self.dimension)] for t in texts]
+
+
 class AlternatingJudge:
     """Likes the first passage of a prompt, the third and so on; fails on batches that have a prompt with the mark."""
 

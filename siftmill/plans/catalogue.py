@@ -16,7 +16,9 @@ from siftmill.functions import vectors as vx
 from siftmill.operators import cells, indexed, markdown, models, postprocess, retrieval
 from siftmill.plans import ingest, service
 from siftmill.sources import files, index
+from siftmill.sources.config import Cache
 from siftmill.sources.scratch import durable, new_folder
+from siftmill.streaming import file_ingest
 
 K, N = 5, 25
 TEXTS = ["the of", "das die", "the of and", "zu ein", "de la", "and to"]
@@ -360,6 +362,70 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn"), F.inline(markdown.section_column(body)))
 
 
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files below a new folder, some of them without text, in folders with odd names or with another extension."""
+    folder = new_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % len(FOLDERS) + 1).cast("int")), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 0, ".txt").when(F.col("doc_id") % 11 == 1, ".MD").otherwise(".md"))
+    files.write_files(docs.select(name.alias("path"), F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).alias("content")), folder)
+    return folder
+
+
+FOLDERS = ["", "a b/", "c++ (1)/x/", "drafts/deep/", "drafts2/", "x/skip/", "x/.hidden/"]
+
+
+def markdown_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as the lister finds them, and their contents as the fetcher gives them, by relative and by absolute path."""
+    folder = written_tree(spark, sf_dir)
+    listed = durable(files.list_markdown(spark, [folder, "", folder], ["drafts/**", "*/skip/"]))
+    wanted = listed.select(F.when(F.crc32("path") % 2 == 0, F.col("absolute")).otherwise(F.col("path")).alias("path"), "root", F.col("path").alias("file_path"), "sha")
+    return files.fetch_files(listed, wanted).select("file_path", "sha", F.sha2("content", 256).alias("content_sha"))
+
+
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after a file stream has filled an index."""
+    folder = written_tree(spark, sf_dir)
+    made = index.Index(spark, new_folder(spark))
+    run = file_ingest.stream_files(spark, folder, made, models.LengthEmbedder(), new_folder(spark), ignore=["drafts/**", "*/skip/"])
+    run.awaitTermination()
+    return made.file_shas()
+
+
+def converted_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second conversion of a folder: of files that were not converted before, or that the converter fails on."""
+    folder = new_folder(spark)
+    pages = table(spark, sf_dir, "pages")
+    files.write_files(pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 3, ".txt").otherwise(".pdf")).alias("path"), F.col("url").alias("content")), folder)
+
+    def convert(data: bytes) -> str:
+        if data.endswith(b"7"):
+            raise ValueError("no page")
+        return f"# {data.decode()}"
+
+    never = spark.createDataFrame([], "stem string, modified timestamp")
+    first = durable(files.convert_pdfs(spark, folder, never, convert))
+    done = first.where(F.regexp_extract("stem", "[0-9]+", 0).cast("long") % 3 != 0)
+    return files.convert_pdfs(spark, folder, done.select("stem", "modified"), convert).select("stem", "markdown")
+
+
+def service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound requests through the service: three times the rows are retrieved, reranked together and cut."""
+    run = service.SearchService(corpus(spark, sf_dir), models.CyclicEmbedder(), reranker=models.RelativeReranker())
+    return run.search(compound_queries(spark), K).withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+def cached_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a service over no chunks finds in the cache that a service over all chunks has filled, as JSON fields."""
+    cache = index.Index(spark, new_folder(spark), postprocess.RESULT_CACHE, by="id", key="id", optional="")
+    at = lambda hour: F.to_timestamp(F.lit(f"2024-01-01 0{hour}:00:00"))
+    full, asked = service.SearchService(corpus(spark, sf_dir), models.CyclicEmbedder()), compound_queries(spark)
+    full.cached_search(asked, cache, k=K, now=at(1)).count()
+    none = service.SearchService(corpus(spark, sf_dir).limit(0), models.CyclicEmbedder())
+    said = service.to_json(none.cached_search(asked, cache, Cache(threshold=0.999, ttl_seconds=7200), K, now=at(2)))
+    rows = said.select("query_id", F.posexplode(F.from_json("json", "array<struct<file_path:string,header:string,line_start:int,score:double,text:string>>")).alias("p", "r"))
+    return rows.select("query_id", (F.col("p") + 1).alias("rank"), "r.file_path", "r.header", "r.line_start", F.round("r.score", 6).alias("score"), "r.text")
+
+
 # ---------------------------------------------------------------- the same from an index
 
 
@@ -464,7 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         markdown_sections, rag_prompt, hybrid_rrf_sparse, search_results, hyde_prompts, filter_by_replies, cache_entries, valid_requests,
         embed_isolated, filter_prompts, model_filter, rag_answer, index_keyword_search, index_hybrid_client, index_hybrid_server, index_manifest,
         index_ingest, adaptive_hyde_failing, rejected_requests, rerank_groups, dense_topk_cells, cell_recall,
-        result_defaults,
+        result_defaults, markdown_listing, streamed_index, converted_pdfs, service_search, cached_service,
     )
 }
 
@@ -642,10 +708,27 @@ ORACLE_SQL: dict[str, str] = {
     "adaptive_hyde_failing": f"with {_CORPUS}, {_Q}, {_HYDE}, en as (select * from corpus where header = 'en'), {_hybrid('q', 'en', 'p_')}, {_hybrid('hq', p='h_')}, again as (select query_id from p_hits where rank = 1 and query_id % 2 = 0) select query_id, chunk_id, score, rank from p_hits where query_id not in (select query_id from again) union all select query_id, chunk_id, score, rank from h_hits where query_id in (select query_id from again)",
     "rejected_requests": "select conv_id, turn, case when turn % 4 - 1 > 0 then turn % 4 - 1 else 5 end::int as top_k, case when ((conv_id + turn) % 3 = 0 or text = '') and turn % 2 <> 1 then 'a request needs a query or a keyword' end as error from conversations",
 }
+_TREE = f"""with t as (select doc_id, folder || doc_id || ext as path, folder, ext, sha256(body) as sha, body from (
+    select doc_id, [{', '.join(map(_text, FOLDERS))}][doc_id % {len(FOLDERS)} + 1] as folder, case doc_id % 11 when 0 then '.txt' when 1 then '.MD' else '.md' end as ext, case when doc_id % 13 = 0 then '' else text end as body from documents))"""
 ORACLE_SQL |= {
     "rerank_groups": f"with {_CORPUS}, {_Q}, {_hybrid(k=10)}, o as (select query_id, chunk_id, length(text) / sum(length(text)) over (partition by query_id) as score from hits join corpus using (chunk_id)) select query_id, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o) where rank <= 4",
     "dense_topk_cells": f"with {_CORPUS}, v as (select vec_id as query_id, embedding as vector from embeddings where vec_id % 100 = 0), held as (select * from corpus where file_path <> 'notes/3.md'), {_dense('d', 'v', 'held', n=10)} select query_id, chunk_id, score, rank from d",
     "result_defaults": f"with {_CORPUS}, {_Q}, {_hybrid()} select query_id, rank, file_path, case when doc_id % 2 = 1 then header else '' end as header, case when doc_id % 3 <> 0 then line_start else 0 end as line_start, round(score::float::double, 6) as score, case when doc_id % 5 <> 0 then text else '' end as text from hits join corpus using (chunk_id)",
+    "markdown_listing": f"{_TREE} select path as file_path, sha, sha as content_sha from t where ext <> '.txt' and not starts_with(path, 'drafts/') and not starts_with(path, 'x/skip/')",
+    "streamed_index": f"{_TREE} select path as file_path, sha as source_sha from t where ext = '.md' and body <> '' and not starts_with(path, 'drafts/') and not starts_with(path, 'x/skip/') and not starts_with(path, 'x/.hidden/') or ext = '.MD' and body <> '' and folder not in ('drafts/deep/', 'x/skip/', 'x/.hidden/')",
+    "converted_pdfs": "select 'p' || page_id as stem, case when ends_with(url, '7') then null else '# ' || url end as markdown from pages where page_id % 4 <> 3 and page_id % 3 = 0",
+    "service_search": f"""with {_CORPUS}, {_FRAGMENTED}, {_hybrid('vq', k=15)},
+  h as (select split_part(query_id, ':', 1)::bigint as query_id, split_part(query_id, ':', 2)::bigint as frag_no, chunk_id, score from hits),
+  o as (select query_id, chunk_id, score, row_number() over (partition by query_id, file_path, line_start order by score desc, frag_no, chunk_id) as r from h join corpus using (chunk_id)),
+  few as (select query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o where r = 1) where rank <= 15),
+  s as (select query_id, chunk_id, length(text) / sum(length(text)) over (partition by query_id) as score from few join corpus using (chunk_id)),
+  z as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s)
+  select query_id, rank, file_path, header, line_start, round(score::float::double, 6) as score, text from z join corpus using (chunk_id) where rank <= {K}""",
+    "cached_service": f"""with {_CORPUS}, {_FRAGMENTED}, {_hybrid('vq')},
+  h as (select split_part(query_id, ':', 1)::bigint as query_id, split_part(query_id, ':', 2)::bigint as frag_no, chunk_id, score from hits),
+  o as (select query_id, chunk_id, score, row_number() over (partition by query_id, file_path, line_start order by score desc, frag_no, chunk_id) as r from h join corpus using (chunk_id)),
+  z as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from o where r = 1)
+  select query_id, rank, file_path, header, line_start, round(score::float::double, 6) as score, text from z join corpus using (chunk_id) where rank <= {K}""",
     "cell_recall": "select count(*) as queries, true as reached from embeddings where vec_id % 100 = 0",
 }
 _SERVER = ORACLE_SQL["hybrid_rrf_server"]

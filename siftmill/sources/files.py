@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -105,6 +106,22 @@ class Tree:
             entries = sorted((i.base_name, i.type == fs.FileType.Directory) for i in self.fs.get_file_info(fs.FileSelector(f"{self.base}/{rel}".rstrip("/"))))
         return [head + n for n, d in entries if d], [head + n for n, d in entries if not d]
 
+    def write(self, rel: str, data: bytes) -> None:
+        if ".." in rel.split("/") or rel.startswith("/"):
+            raise ValueError(f"{rel} is not below the root")
+        folder, name = os.path.split(f"{self.root if self.local else self.base}/{rel}")
+        mine = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        if self.local:
+            os.makedirs(folder, exist_ok=True)
+            with open(mine, "wb") as f:
+                f.write(data)
+            os.replace(mine, f"{folder}/{name}")
+        else:
+            self.fs.create_dir(folder, recursive=True)
+            with self.fs.open_output_stream(mine) as f:
+                f.write(data)
+            self.fs.move(mine, f"{folder}/{name}")
+
     def read(self, rel: str) -> bytes:
         if self.local:
             with open(os.path.join(self.root, rel), "rb") as f:
@@ -113,6 +130,23 @@ class Tree:
             return f.read()
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes rows (path, content) as files below `root`, each from the task that has it; their number.
+
+    A file appears under its name when it is whole, so that a task that is run again changes nothing. A path that leaves the
+    root is an error.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Tree(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                tree.write(path, bytes(content))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(each, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 LISTED = "path string, root string, absolute string, sha string, content string"
 
 
