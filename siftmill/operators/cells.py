@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -127,6 +128,28 @@ class VectorCells:
         return ranked(reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema), n)
 
 
+    def tune(self, queries: DataFrame, n: int, target: float = 0.95, most: int = 1000) -> int:
+        """The fewest cells with which the mean recall of the n best over some queries reaches the target.
+
+        At most `most` queries are asked, those with the smallest hashes of their ids; their exact hits, n each, tell how far down each
+        query's order of cells they lie. How many cells it takes is a property of the vectors: without clusters, most of them.
+        """
+        centroids, _ = self.centroids()
+        asked = queries.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("query_id")).limit(most)
+        hits = self.topk(asked, n)
+        rows = self.spark.read.schema(STORED).parquet(f"{self.path}/rows") if len(centroids) else self.spark.createDataFrame([], STORED)
+        placed = rows.select("chunk_id", "cell").join(F.broadcast(hits.select("query_id", "chunk_id")), "chunk_id").select("query_id", "cell")  # most * n rows
+        found = placed.join(F.broadcast(asked.select("query_id", F.col("vector").cast("array<double>").alias("vector"))), "query_id").toPandas()
+        if not len(found):
+            return len(centroids)
+        order = np.argsort(-(np.array(found["vector"].tolist()) @ centroids.T), axis=1, kind="stable")
+        depth = pd.Series((order == found["cell"].to_numpy()[:, None]).argmax(axis=1) + 1).groupby(found["query_id"].to_numpy())
+        for probe in range(1, len(centroids) + 1):
+            if depth.apply(lambda d, p=probe: (d <= p).mean()).mean() >= target:
+                return probe
+        return len(centroids)
+
+
 def build_for(index: Index, path: str, cells: int, sample_rows: int = SAMPLE_ROWS, view: View | None = None) -> VectorCells:
     """Cells of the live vectors of an index."""
     view = view or index.view()

@@ -40,6 +40,8 @@ def test_all_cells_are_exact_and_a_few_find_most(spark, vectors, asked, tmp_path
     for probe in (1, 3):
         found[probe] = cells.recall(held.topk(asked, 7, probe, digits=6, told=told), exact).agg(F.avg("recall")).first()[0]
     assert found[3] >= 0.9 and found[1] <= found[3] and told["cells"] == 12
+    probe = held.tune(vectors.where("chunk_id < 'c0300'").select(F.crc32("chunk_id").alias("query_id"), "vector"), 7, 0.9)
+    assert 1 <= probe < 12 and cells.recall(held.topk(asked, 7, probe), exact).agg(F.avg("recall")).first()[0] >= 0.85
     one = held.topk(asked.where("query_id = 0"), 7, 1, told=told)
     assert told["read"] == 1 and one.count() == 7
     assert all("cell=" in f for f in one.inputFiles())
