@@ -377,7 +377,10 @@ class Index:
 
         Readers of earlier views and changes under way need their data: the age has to exceed how long they last.
         """
-        kept = {p.split("/")[0] for _, e in self.view().versions for p in e["parts"].values()}
+        view = self.view()
+        kept = {p.split("/")[0] for _, e in view.versions for p in e["parts"].values()}
+        if view.versions:
+            self.log.forget(view.versions[0][0], older_than_seconds)
         path = self.log._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         old = [s for s in self.log._fs.listStatus(path) if s.getPath().getName() not in kept and s.getModificationTime() / 1000 <= time.time() - older_than_seconds] if self.log._fs.exists(path) else []
         for s in old:

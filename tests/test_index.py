@@ -169,7 +169,9 @@ def test_versions_compaction_vacuum_and_old_views(spark, tmp_path):
     assert {r["text"] for r in index.read(old).where("chunk_id = 'a'").collect()} == {"t1"}
     assert index.vacuum(3600) == 0
     index.compact()
+    last = index.view().last
     assert len(index.view().versions) == 1 and index.vacuum(-3600) > 0 and len(texts_of(index)) == 6
+    assert index.view().last == last and len(list((tmp_path / "i" / "log").glob("*.json"))) == 1
     assert index.change(spark.createDataFrame([], ROWS)) is None and index.delete_files(spark.createDataFrame([("none",)], "file_path string")) is None
     assert index.change(spark.createDataFrame([row("x", None, "t")], ROWS), spark.createDataFrame([("f",)], "file_path string")) is not None
     assert texts_of(index) == {"x": "t"} | {f"b{k}": "x" for k in range(5)}
