@@ -15,14 +15,37 @@ from siftmill.llm.kernels import IS_WORD, LOWER, chunks, mix64, text_column, wor
 
 #: Symbols of the longest context (7 at most: a gram is a 64-bit number); nats by which a context's statistics must diverge
 #: from its parent's. The tree has every context that passes: the nats grow with its count, so the tree grows with the input.
-DEPTH, DIVERGENCE = 6, 15.0
+DEPTH, DIVERGENCE = 6, 3.0
 #: Contexts of up to so many symbols go to every executor; longer ones stay in buckets by the hash of their latest TOP + 1.
 TOP = 2
 #: Weight of the parent's distribution in a context's, and of each symbol in the root's.
-BACKOFF, FLOOR = 4.0, 0.1
+BACKOFF, FLOOR = 16.0, 0.1
 SPACE, END = 0x20, 0x0A
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
-SEGMENT = 192
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries, sorted, and the place of each entry among them; faster than np.unique, as the sort need not be stable."""
+    order = np.argsort(x)
+    ordered = x[order]
+    first = np.ones(len(x), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, each by its bytes in turn: numbers that share their upper bytes then compress well."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpack(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, n * sum(sizes), asbytes=True), np.uint8)
+    ends = np.cumsum(sizes) * n
+    return [np.ascontiguousarray(raw[e - z * n : e].reshape(z, n).T).view(k).reshape(n) for e, z, k in zip(ends.tolist(), sizes, kinds, strict=True)]
 
 
 def symbols(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,39 +124,6 @@ def count_grams(docs: DataFrame, depth: int, in_training: Callable[[object], boo
     return docs.mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, depth: int = DEPTH, min_share: float = 0.0, divergence: float = DIVERGENCE, most: int | None = None) -> np.ndarray:
-    """Rows (length, context, symbol, n) of the contexts of the tree; with `most`, the least share doubles until no more are left.
-
-    For trees that one process holds; `score_documents` does not collect its tree.
-
-    A context stays if it has the least share and its next symbols diverge from those of its parent (the context
-    without its earliest symbol): sum of n(x) * log(p(x) / p_parent(x)) over the symbols at least `divergence`.
-    """
-    counts = durable(counts)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    symbol = F.col("gram").bitwiseAND(F.lit(255))
-    tested, above = None, None
-    for d in range(depth + 1):
-        context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-        level = counts.groupBy(context.alias("c"), symbol.alias("s")).agg(F.sum("n").alias("n"))
-        sums = level.groupBy("c").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, min_share * total))
-        level = durable(level.join(sums, "c").select(F.lit(d).alias("d"), "c", "s", "n", "m", (F.col("n") / F.col("m")).alias("p")))
-        if d:
-            up = above.select(F.col("c").alias("_c"), F.col("s").alias("_s"), F.col("p").alias("q"))
-            paired = level.join(up, (F.col("c").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)) == F.col("_c")) & (F.col("s") == F.col("_s")))
-            gain = paired.groupBy("c").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain")).where(F.col("gain") >= divergence)
-            kept = level.join(gain, "c", "left_semi")
-        else:
-            kept = level
-        tested, above = kept if tested is None else tested.unionByName(kept), level
-    tested = durable(tested)
-    share = min_share
-    while most is not None and tested.where(F.col("m") >= share * total).select("d", "c").distinct().count() > most:
-        share *= 2
-    found = tested.where((F.col("d") == 0) | (F.col("m") >= share * total)).select("d", "c", "s", "n").toArrow()
-    return np.stack([found.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
-
-
 class Level:
     """The contexts of one length, from training counts of grams: those retained give their distributions.
 
@@ -181,91 +171,6 @@ def levels(grams: np.ndarray, n: np.ndarray, lengths: range, above: Level | None
     return out
 
 
-class Tree:
-    """The suffix tree as an automaton: a state for each context, and for what is needed to reach it.
-
-    The states are closed under dropping the earliest symbol and under dropping the latest one, so that the state after
-    a symbol is the longest suffix that is a state. States that the divergence tests did not retain take the
-    distribution of their longest retained suffix.
-    """
-
-    def __init__(self, rows: np.ndarray, depth: int = DEPTH):
-        rows = np.asarray(rows, np.int64).reshape(-1, 4)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        self.depth = depth
-        inside = {(c >> 8 * k) & 255 for d, c in np.unique(rows[:, :2], axis=0).tolist() for k in range(d)}
-        seen = sorted({*rows[:, 2].tolist(), SPACE, END} | inside - {0xFF})
-        # Class 0 stands for one of the bytes that training never saw, the last class for what is outside the text.
-        self.classes = np.zeros(256, np.int32)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.unseen = 256 - len(seen)
-        self.width = len(seen) + 2
-        self.pad = self.width - 1
-        self.classes[0xFF] = self.pad
-        first = np.flatnonzero(np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])) if len(rows) else np.zeros(0, np.int64)
-        own = {tuple(rows[a, :2].tolist()): (a, b) for a, b in zip(first.tolist(), [*first.tolist(), len(rows)][1:], strict=True)}
-        states, todo = set(), [*own, (0, 0)]
-        while todo:
-            d, c = todo.pop()
-            if (d, c) not in states:
-                states.add((d, c))
-                if d:
-                    todo += [(d - 1, c & ((1 << 8 * (d - 1)) - 1)), (d - 1, c >> 8)]
-        order = sorted(states)
-        number = {x: k for k, x in enumerate(order)}
-        self.next = np.zeros((len(order), self.width), np.int32)
-        p = np.zeros((len(order), self.width), np.float32)
-        levels = [[x for x in order if x[0] == d] for d in range(depth + 2)]
-        for d, level in enumerate(levels[:-1]):
-            for x in level:
-                k, (a, b) = number[x], own.get(x, (0, 0))
-                sign, n = self.classes[rows[a:b, 2]], rows[a:b, 3]
-                if d:
-                    up = number[d - 1, x[1] & ((1 << 8 * (d - 1)) - 1)]
-                    self.next[k], p[k] = self.next[up], p[up]
-                    if b > a:
-                        p[k] *= BACKOFF / (n.sum() + BACKOFF)
-                        p[k, sign] += n / (n.sum() + BACKOFF)
-                else:
-                    p[k] = FLOOR / (n.sum() + 256 * FLOOR)
-                    p[k, sign] += n / (n.sum() + 256 * FLOOR)
-                    p[k, self.pad] = 0
-            for _, c in levels[d + 1]:
-                self.next[number[d, c >> 8], self.classes[c & 255]] = number[d + 1, c]
-        # Before a document stand 0xFF: its first state is the longest context of them.
-        self.start = max(number.get((d, (1 << 8 * d) - 1), 0) for d in range(depth + 1))
-        with np.errstate(divide="ignore"):
-            self.logp = np.log10(p)
-        self.logp[:, self.pad] = 0.0
-        self.next[:, self.pad] = self.start
-
-    def scores(self, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of each document, by pieces of SEGMENT symbols that advance together.
-
-        The symbols of DEPTH places before a piece, or the document's start, lead to its first state.
-        """
-        size = np.diff(begin)
-        pieces = -(-size // SEGMENT)
-        owner = np.repeat(np.arange(len(size)), pieces)
-        local = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
-        place = begin[owner] + local
-        count = np.minimum(SEGMENT, size[owner] - local)
-        coded = self.classes[text]
-        state = np.full(len(owner), self.start, np.int64)
-        total = np.zeros(len(owner))
-        step, logp = self.next.reshape(-1), self.logp.reshape(-1)
-        for t in range(-self.depth, SEGMENT):
-            inside = (local + t >= 0) & (t < count)
-            if t >= 0 and not inside.any():
-                break
-            sign = np.where(inside, coded[np.minimum(np.maximum(place + t, 0), len(coded) - 1)], self.pad)
-            at = state * self.width + sign
-            if t >= 0:
-                total += logp[at]
-            state = step[at].astype(np.int64)
-        return np.bincount(owner, total, minlength=len(size))
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 MESSAGE = "block long, bucket long, data binary, n long, v long"
@@ -283,7 +188,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     over the tokens. score is the tree's log10 probability of the words, spelled in UTF-8 with a space after each, and
     the end. Null and empty texts consist of the end. Repeated rows count repeatedly; an empty table gives no rows.
 
-    Word counts are exchanged between blocks of documents and buckets of words: a block sends each distinct word once
+    Blocks are dealt by key and text, so that null and repeated keys are spread over them. Word counts are exchanged between
+    blocks of documents and buckets of words: a block sends each distinct word once
     with its training count and gets back the total. Likewise each distinct gram (a symbol with the DEPTH before it): its
     bucket has all grams whose contexts end alike, adds up their counts, tests the contexts and answers with the symbol's
     probability. Contexts of up to TOP symbols alone, whose number the alphabet bounds, go through the driver.
@@ -291,7 +197,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     blocks, buckets = max(1, total // block_bytes), max(1, total // bucket_bytes)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("block"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).alias("block"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     by_block = rows.groupBy("block")
 
     def words_of(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -305,11 +211,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, hi, words, first in words_of(table):
             learn = np.repeat(train[lo:hi], np.diff(first))
-            found, back = np.unique(words, return_inverse=True)
+            found, back = numbered(words)
             keys.append(found)
             counts.append(np.bincount(back, learn, minlength=len(found)).astype(np.int64))
         key, count = np.concatenate(keys), np.concatenate(counts)
-        key, back = np.unique(key, return_inverse=True)
+        key, back = numbered(key)
         count = np.bincount(back, count, minlength=len(key)).astype(np.int64)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -326,7 +232,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     def add(table: pa.Table) -> pa.Table:
         names, blobs = table.column("block").to_pylist(), table.column("data").to_pylist()
         parts = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs]
-        key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        key, back = numbered(np.concatenate([p[0] for p in parts]))
         sums = np.bincount(back, np.concatenate([p[1] for p in parts]).astype(np.int64), minlength=len(key)).astype(np.int64)
         bucket = table.column("bucket")[0].as_py()
         out = [(n, bucket, x.tobytes(), 0, 0) for n, x in zip(names, np.split(sums[back], np.cumsum([p.shape[1] for p in parts])[:-1]), strict=True)]
@@ -361,26 +267,26 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
             out, less = np.unique(all_grams[np.repeat(~train[lo:hi], np.diff(begin))], return_counts=True)
             n[np.searchsorted(own, out)] -= less
             found.append((own, n))
-        own, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        own, back = numbered(np.concatenate([x[0] for x in found]))
         n = np.bincount(back, np.concatenate([x[1] for x in found]), minlength=len(own)).astype(np.int32)
         order, at = dealt(own)
         own, n = own[order], n[order]
         name = table.column("block")[0].as_py()
         # Differences of sorted numbers are small, and shuffles compress them.
-        return message([(name, buckets + b, np.diff(own[x:y], prepend=np.uint64(0)).tobytes() + n[x:y].tobytes(), y - x, 0) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
+        return message([(name, buckets + b, pack(np.diff(own[x:y], prepend=np.uint64(0)), n[x:y]), y - x, 0) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
 
     def answer(table: pa.Table) -> pa.Table:
         names, blobs, sizes = (table.column(c).to_pylist() for c in ("block", "data", "n"))
-        parts = [np.cumsum(np.frombuffer(b, np.uint64, k)) for b, k in zip(blobs, sizes, strict=True)]
-        own, back = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.frombuffer(b, np.int32, k, 8 * k) for b, k in zip(blobs, sizes, strict=True)]), minlength=len(own)).astype(np.int64)
+        parts = [unpack(b, k, np.uint64, np.int32) for b, k in zip(blobs, sizes, strict=True)]
+        own, back = numbered(np.concatenate([np.cumsum(x) for x, _ in parts]))
+        n = np.bincount(back, np.concatenate([x for _, x in parts]), minlength=len(own)).astype(np.int64)
         seen = n > 0
         p = np.zeros(len(own))
         for level in [*top.value, *levels(own[seen], n[seen], range(TOP + 1, DEPTH + 1), top.value[TOP])]:
             p = level.refine(p, own)
         worth = np.log10(p).astype(np.float32)
         bucket = table.column("bucket")[0].as_py()
-        return message([(name, bucket, worth[x].tobytes(), 0, 0) for name, x in zip(names, np.split(back, np.cumsum(sizes)[:-1]), strict=True)])
+        return message([(name, bucket, pack(worth[x]), 0, 0) for name, x in zip(names, np.split(back, np.cumsum(sizes)[:-1]), strict=True)])
 
     told = by_block.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -407,12 +313,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
         found = []
         for lo, hi, part, starts in chunks(data, offsets):
             spelled, begin = symbols(part, starts)
-            own, back = np.unique(grams(spelled, begin, DEPTH), return_inverse=True)
+            own, back = numbered(grams(spelled, begin, DEPTH))
             found.append((lo, hi, own, back.astype(np.int32), np.diff(begin)))
-        own = np.unique(np.concatenate([x[2] for x in found]))
+        own = numbered(np.concatenate([x[2] for x in found]))[0]
         order, at = dealt(own)
         log_p = np.empty(len(own))
-        log_p[order] = np.concatenate([np.frombuffer(got[buckets + b], np.float32) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
+        log_p[order] = np.concatenate([unpack(got[buckets + b], y - x, np.float32)[0] for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x])
         for lo, hi, part, back, size in found:
             tree_score[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), size), log_p[np.searchsorted(own, part)][back], minlength=hi - lo)
         ids = left.column("doc_id").to_pylist()

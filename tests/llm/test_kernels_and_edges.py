@@ -367,14 +367,22 @@ def test_symbols_and_tree_are_a_distribution(texts):
         assert bytes(text[begin[k] : begin[k + 1]]) == "".join(w + " " for w in words(t)).encode() + b"\n"
     keys, n = np.unique(lm.grams(text, begin, 3), return_counts=True)
     rows = tree_rows(keys, n, 3, 3.0)
-    tree = lm.Tree(rows, 3)
-    p = 10.0 ** tree.logp.astype(float)
-    sums = p[:, 1 : tree.pad].sum(axis=1) + p[:, 0] * tree.unseen
-    assert np.allclose(sums, 1, atol=1e-4)
+    found = lm.levels(keys, n, range(4), divergence=3.0)
+
+    def p_of(these):
+        p = np.zeros(len(these))
+        for level in found:
+            p = level.refine(p, these)
+        return p
+
+    contexts = np.unique(keys >> np.uint64(8))[::50]
+    every = (contexts[:, None] << np.uint64(8)) | np.arange(256, dtype=np.uint64)[None, :]
+    assert np.allclose(p_of(every.reshape(-1)).reshape(len(contexts), 256).sum(axis=1), 1, atol=1e-6)
     table = defaultdict(dict)
     for d, c, s, m in rows:
         table[d, c][s] = m
-    got = tree.scores(text, begin)
+    logs = np.log10(p_of(lm.grams(text, begin, 3)))
+    got = [logs[begin[k] : begin[k + 1]].sum() for k in range(len(texts))]
     assert np.allclose(got, [brute_tree(table, bytes(text[begin[k] : begin[k + 1]]), 3) for k in range(len(texts))], rtol=1e-4)
 
 
@@ -435,9 +443,8 @@ def test_lm_tree_rows_follow_the_definition(spark, texts):
     keys, n = np.unique(lm.grams(text, begin, 3), return_counts=True)
     counted = lm.count_grams(spark.createDataFrame([(i, bytearray((t or "").encode())) for i, t in enumerate(texts)], "doc_id long, text binary"), 3, lambda x: True)
     assert {r["gram"]: r["n"] for r in counted.collect()} == dict(zip(keys.tolist(), n.tolist(), strict=True))
-    assert sorted(map(tuple, lm.retained(counted, 3, 0.0, 3.0).tolist())) == sorted(tree_rows(keys, n, 3, 3.0))
-    few = lm.retained(counted, 3, 0.0005, 3.0, most=20)
-    assert 1 < len({(d, c) for d, c, _, _ in few.tolist()}) <= 20
+    kept = {(d, c) for d, level in enumerate(lm.levels(keys, n, range(4), divergence=3.0)) for c in level.context[level.kept].tolist()}
+    assert kept == {(d, c) for d, c, _, _ in tree_rows(keys, n, 3, 3.0)}
 
 
 def test_common(spark):

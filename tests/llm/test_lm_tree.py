@@ -35,3 +35,12 @@ def test_lm_tree_grows_with_the_input():
         keys, counts = np.unique(np.repeat(contexts, 40), return_counts=True)
         sizes.append(sum(int(x.kept.sum()) for x in lm.levels(keys, counts, range(4))[1:]))
     assert sizes[1] > 3 * sizes[0]
+
+
+def test_null_and_repeated_keys_are_spread_over_blocks(spark):
+    many = [f"word{k} of text {k % 7}" for k in range(60)]
+    ids = [None] * 30 + [5] * 30
+    got = lm.score_documents(frame(spark, many, ids=ids), block_bytes=100, bucket_bytes=400).collect()
+    whole = lm.score_documents(frame(spark, many, ids=ids)).collect()
+    close = lambda rows: sorted((r["doc_id"] is None, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in rows)
+    assert close(got) == close(whole) and len(got) == 60
