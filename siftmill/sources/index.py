@@ -208,14 +208,24 @@ class Index:
         """file_path, source_sha (of the last chunk by id), first_sha (of the first), n (chunks that the last version put in).
 
         It equals what a scan of the live rows finds and reads no row: a later version's chunk of the same id replaces the
-        earlier one, and a deleted file's earlier versions are out.
+        earlier one, and a deleted file's earlier versions are out. Files that left no chunk (`empty` of a change) follow,
+        with their hash and n = 0, until they get chunks or are deleted.
         """
-        view = view or self.view()
+        held = self._entries(view or self.view()).groupBy("file_path")
+        # An entry without chunks has null ids and comes behind those with chunks.
+        return held.agg(F.max_by("last_sha", F.struct("last_id", "_v")).alias("source_sha"), F.min_by("first_sha", F.struct(F.col("first_id").isNull(), "first_id", -F.col("_v"))).alias("first_sha"), F.max_by("n", "_v").alias("n"))
+
+    def _entries(self, view: View) -> DataFrame:
+        """The manifest entries of all versions, without those of files that were deleted later."""
         entries = self._part(view, "files", {"file_path": "string", "first_id": "string", "first_sha": "string", "last_id": "string", "last_sha": "string", "n": "bigint"})
         if named := sum(e["gone"] for _, e in view.versions):
             gone = self._part(view, "gone", {"file_path": "string"}).groupBy("file_path").agg(F.max("_v").alias("_gone"))
-            entries = entries.join(_sized(gone, named), "file_path", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone")))
-        return entries.groupBy("file_path").agg(F.max_by("last_sha", F.struct("last_id", "_v")).alias("source_sha"), F.min_by("first_sha", F.struct("first_id", -F.col("_v"))).alias("first_sha"), F.max_by("n", "_v").alias("n"))
+            entries = entries.join(_sized(gone, named), "file_path", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone"))).drop("_gone")
+        return entries
+
+    def _empty_files(self, view: View) -> DataFrame:
+        """file_path, source_sha of the files that have no chunk."""
+        return self._entries(view).groupBy("file_path").agg(F.max("last_id").alias("_last"), F.max_by("last_sha", "_v").alias("source_sha")).where(F.col("_last").isNull()).drop("_last")
 
     def file_shas(self, view: View | None = None) -> DataFrame:
         """file_path, source_sha of every file with a path, from the manifest."""
@@ -288,9 +298,11 @@ class Index:
 
     # ------------------------------------------------------------ writing
 
-    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None, key: str | None = None, expected: int | None = None) -> int | None:
+    def change(self, new: DataFrame | None = None, gone: DataFrame | None = None, key: str | None = None, expected: int | None = None, empty: DataFrame | None = None) -> int | None:
         """Take out the rows whose `by` is in `gone`, then put in those of `new`, in place of rows with the same key.
 
+        `empty` (file_path, source_sha) are files that leave no chunk: the manifest knows them by their hash.
+
         Returns the number of the version, or None if there was nothing to do. With `expected`, the number of the last
         version that the caller has seen, a change that comes after another one raises Conflict.
         """
@@ -301,6 +313,8 @@ class Index:
         if new is not None:
             columns = self.schema | {c: t for c, t in self.optional.items() if c in new.columns}
             parts = self._write_rows(one_per_id(new, self.key, [F.col(self.key)]).select(*(F.col(c).cast(t) for c, t in columns.items())), columns, folder)
+        if empty is not None:
+            parts |= self._write_empty(empty, parts, folder)
         n_gone = self._save(gone.select(F.col(self.by).cast("string")).distinct(), f"{folder}/gone") if gone is not None else 0
         if n_gone:
             parts["gone"] = f"{folder}/gone"
@@ -309,7 +323,7 @@ class Index:
             if expected is not None and view.last != expected:
                 raise Conflict(f"version {view.last} came after {expected}")
             n_keys = self._write_keys(view, parts, columns, n_gone, f"{folder}/keys-{attempt}")
-            if not n_keys and "rows" not in parts:
+            if not n_keys and not {"rows", "files"} & parts.keys() and not (n_gone and self._names_empty(view, parts["gone"])):
                 return None
             entry = {"base": view.last < 0, "parts": parts | {"keys": f"{folder}/keys-{attempt}"}, "columns": columns or dict(self.schema), "keys": n_keys, "gone": n_gone}
             if self.log.add(view.last + 1, entry):
@@ -345,6 +359,21 @@ class Index:
             derive("blocks", sparse_blocks(rows).repartitionByRange("i", F.col("most").desc()).sortWithinPartitions("i", F.col("most").desc()))
         return parts
 
+    def _write_empty(self, empty: DataFrame, parts: dict[str, str], folder: str) -> dict[str, str]:
+        """The manifest part, with the entries of files without chunks; none if there are none."""
+        files = f"{folder}/files"
+        none = F.lit(None).cast("string")
+        entries = empty.select(F.col("file_path").cast("string"), none.alias("first_id"), F.col("source_sha").alias("first_sha"), none.alias("last_id"), F.col("source_sha").alias("last_sha"), F.lit(0).cast("bigint").alias("n"))
+        entries.write.mode("append").parquet(f"{self.path}/data/{files}")
+        if "files" in parts or not self.spark.read.schema("n bigint").parquet(f"{self.path}/data/{files}").isEmpty():
+            return {"files": files}
+        return {}
+
+    def _names_empty(self, view: View, at: str) -> bool:
+        """Whether a deletion names a file without chunks."""
+        gone = self.spark.read.schema(f"`{self.by}` string").parquet(f"{self.path}/data/{at}")
+        return self.has_files and self.by == "file_path" and not self._empty_files(view).join(gone, "file_path", "left_semi").isEmpty()
+
     def _write_keys(self, view: View, parts: dict[str, str], columns: dict[str, str], n_gone: int, at: str) -> int:
         """The keys that a change names: those that it puts in and those of the live rows that it takes out."""
         kind = (self.schema | columns)[self.key]
@@ -369,7 +398,10 @@ class Index:
         if not view.versions:
             return True
         columns = self._columns(view)
-        parts = self._write_rows(self.read(view), columns, uuid.uuid4().hex)
+        folder = uuid.uuid4().hex
+        parts = self._write_rows(self.read(view), columns, folder)
+        if self.has_files:
+            parts |= self._write_empty(self._empty_files(view), parts, folder)
         return self.log.add(view.last + 1, {"base": True, "parts": parts, "columns": columns, "keys": 0, "gone": 0})
 
     def vacuum(self, older_than_seconds: float = 7 * 86400) -> int:
