@@ -137,8 +137,8 @@ def hybrid_search(index: Index, queries: DataFrame, k: int, where: Column | None
     """Dense hits and keyword hits, k * prefetch of each, collapsed by section and fused."""
     view = view or index.view()
     n = k * prefetch
-    dense = retrieval.dense_topk(index.read(view), queries, n, where, digits)
-    lexical = lexical_leg(index, queries, n, where, scorer, view)
+    dense = durable(retrieval.dense_topk(index.read(view), queries, n, where, digits))
+    lexical = durable(lexical_leg(index, queries, n, where, scorer, view))
     sections = index.payload(view)
     return retrieval.fuse(retrieval.collapse(dense, sections, "rank", collapse_rank), retrieval.collapse(lexical, sections, "place", collapse_rank), k)
 

@@ -119,7 +119,7 @@ class SearchService:
         if self.reranker or self.settings.chunk_filter:
             window = F.col("window_text") if "window_text" in self.chunks.columns else F.lit("")
             text = self.chunks.select("chunk_id", tx.display_text(window, F.col("text")).alias("text"))
-            wide = hits.select("query_id", "chunk_id", "score", "rank").join(text, "chunk_id").join(retrieval.small(queries.select("query_id", "query")), "query_id")
+            wide = text.join(retrieval.small(hits.select("query_id", "chunk_id", "score", "rank")), "chunk_id").join(retrieval.small(queries.select("query_id", "query")), "query_id")
             if self.reranker:
                 wide = postprocess.rerank(models.rerank_groups(wide.drop("score"), self.reranker), k, F.col("score"))
             if self.settings.chunk_filter:

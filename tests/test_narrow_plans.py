@@ -6,6 +6,7 @@ from hashlib import md5
 
 from pyspark.sql import functions as F
 
+from siftmill.operators import retrieval
 from siftmill.plans import catalogue
 
 
@@ -27,3 +28,15 @@ def test_plans_without_vectors_do_not_join_them(spark):
     chunks = catalogue.corpus(spark, "/root/testdata/sf0.001")
     assert not re.search("Exchange|Join", physical(chunks.select("chunk_id", "text").where(F.length("text") > 0)))
     assert chunks.count() == chunks.where("vector is null").count() + chunks.where("vector is not null").count()
+
+
+def test_hits_go_to_the_texts(spark):
+    chunks = catalogue.corpus(spark, "/root/testdata/sf0.001")
+    hits = chunks.select("chunk_id").limit(3).select(F.lit(0).alias("query_id"), "chunk_id", F.lit(1).alias("rank"), F.lit(0.5).alias("score"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (retrieval.results(hits, chunks), retrieval.collapse(hits, chunks, "rank")):
+            assert "BroadcastHashJoin" in physical(made) and "SortMergeJoin" not in physical(made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
