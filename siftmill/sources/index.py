@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,6 +28,8 @@ SMALL_ROWS = 100_000
 MOST_DELTAS = 16
 #: Chunks in a range of the sparse postings, a power of two: what a block may hold of a term.
 RANGE_BITS = 7
+#: Bytes that the dictionary of a column of postings may have.
+DICTIONARY_BYTES = 8 << 20
 
 
 def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -51,6 +57,12 @@ def one_per_id(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def unique_by(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, or one row of each key (which is of equal keys does not matter) if a count finds equal ones. Rows with distinct keys are not moved."""
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return rows if repeated.isEmpty() else one_per_id(rows, key, [F.col(key)])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", order: list | None = None) -> DataFrame:
     """`old` with the rows of `new` in place of those with the same key; of equal keys in `new` the first by `order` stays."""
     fresh = one_per_id(new, key, order or [F.col(key)])
@@ -87,16 +99,58 @@ def sparse_blocks(rows: DataFrame) -> DataFrame:
 
     Chunks are put into ranges of 2 ** RANGE_BITS in the order of their largest weight, so that the heavy ones share ranges and the
     largest weights of the other ranges are small: these bound what a range can score. Of a repeated index the last value
-    counts; null arrays have no postings.
+    counts; null arrays have no postings. The chunks' arrays are moved once; a range is turned over where it lies.
     """
-    held = rows.where(F.col("sparse_indices").isNotNull()).select("chunk_id", F.arrays_zip(F.col("sparse_indices").alias("i"), F.col("sparse_values").alias("w")).alias("z"))
-    heavy = held.withColumn("_most", F.coalesce(F.array_max(F.transform("z", lambda p: p["w"])), F.lit(0.0)))
+    held = rows.where(F.col("sparse_indices").isNotNull()).select("chunk_id", F.col("sparse_indices").cast("array<bigint>").alias("i"), F.col("sparse_values").cast("array<double>").alias("w"))
+    heavy = held.withColumn("_most", F.coalesce(F.array_max("w"), F.lit(0.0)))
     ordered = heavy.repartitionByRange(F.col("_most").desc(), "chunk_id").sortWithinPartitions(F.col("_most").desc(), "chunk_id")
-    # The number has the partition in its upper bits, so that no range spans two partitions.
-    ranged = ordered.select("chunk_id", "z", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("range"))
-    postings = ranged.select("chunk_id", "range", F.posexplode("z").alias("at", "p")).groupBy("range", "chunk_id", F.col("p.i").cast("long").alias("i")).agg(F.max_by(F.col("p.w").cast("double"), "at").alias("w"))
-    listed = postings.groupBy("i", "range").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "w"))).alias("l"), F.max("w").alias("most"), F.min("w").alias("least"), F.count("*").alias("n"))
-    return listed.select("i", "range", "most", "least", "n", F.transform("l", lambda p: p["chunk_id"]).alias("ids"), F.transform("l", lambda p: p["w"]).alias("weights"))
+    return ordered.select("chunk_id", "i", "w").mapInArrow(_turned, BLOCKS)
+
+
+BLOCKS = "i bigint, range bigint, most double, least double, n bigint, ids array<string>, weights array<double>"
+
+
+def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a partition's ranges. A range's number has the partition in its upper bits, so that none spans two."""
+    size, number, left = 1 << RANGE_BITS, TaskContext.get().partitionId() << 33 - RANGE_BITS, None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if left is None else pa.concat_tables([left, table])
+        whole = table.num_rows - table.num_rows % size
+        for lo in range(0, whole, size):
+            yield _blocks_of(table.slice(lo, size), number)
+            number += 1
+        left = table.slice(whole)
+    if left is not None and left.num_rows:
+        yield _blocks_of(left, number)
+
+
+def _blocks_of(chunks: pa.Table, number: int) -> pa.RecordBatch:
+    """The blocks of one range of chunks (chunk_id, i, w)."""
+    chunks = chunks.sort_by("chunk_id").combine_chunks()
+    indices, weights = (chunks.column(k).combine_chunks() for k in (1, 2))
+    sizes = pc.list_value_length(indices).fill_null(0).to_numpy(zero_copy_only=False)
+    if np.array_equal(sizes, pc.list_value_length(weights).fill_null(0).to_numpy(zero_copy_only=False)):
+        i, w = (c.flatten() for c in (indices, weights))
+    else:  # of arrays of two lengths what has a partner counts
+        pairs = [list(zip(x or [], y or [])) for x, y in zip(indices.to_pylist(), weights.to_pylist(), strict=True)]
+        sizes = np.array([len(p) for p in pairs])
+        i, w = (pa.array([x[k] for p in pairs for x in p], kind) for k, kind in ((0, pa.int64()), (1, pa.float64())))
+    i, w = i.fill_null(0).to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)  # a null weight is NaN
+    chunk = np.repeat(np.arange(len(sizes)), sizes)
+    good = ~np.isnan(w)
+    i, w, chunk = i[good], w[good], chunk[good]
+    order = np.lexsort((np.arange(len(i)), chunk, i))
+    i, w, chunk = i[order], w[order], chunk[order]
+    last = np.ones(len(i), bool)
+    last[:-1] = (i[1:] != i[:-1]) | (chunk[1:] != chunk[:-1])
+    i, w, chunk = i[last], w[last], chunk[last]
+    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(i)), pa.int32())
+    ids = chunks.column(0).combine_chunks().take(pa.array(chunk)) if len(i) else pa.array([], pa.string())
+    most, least = (np.maximum.reduceat(w, starts), np.minimum.reduceat(w, starts)) if len(i) else (w, w)
+    columns = [pa.array(i[starts]), pa.array(np.full(len(starts), number, np.int64)), pa.array(most), pa.array(least), pa.array(np.diff(np.append(starts, len(i))).astype(np.int64)), pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, pa.array(w))]
+    return pa.RecordBatch.from_arrays(columns, names=["i", "range", "most", "least", "n", "ids", "weights"])
 
 
 @dataclass(frozen=True)
@@ -312,7 +366,7 @@ class Index:
         columns = {}
         if new is not None:
             columns = self.schema | {c: t for c, t in self.optional.items() if c in new.columns}
-            parts = self._write_rows(one_per_id(new, self.key, [F.col(self.key)]).select(*(F.col(c).cast(t) for c, t in columns.items())), columns, folder)
+            parts = self._write_rows(unique_by(new, self.key).select(*(F.col(c).cast(t) for c, t in columns.items())), columns, folder)
         if empty is not None:
             parts |= self._write_empty(empty, parts, folder)
         n_gone = self._save(gone.select(F.col(self.by).cast("string")).distinct(), f"{folder}/gone") if gone is not None else 0
@@ -346,17 +400,19 @@ class Index:
         rows = self.spark.read.schema(", ".join(f"`{c}` {t}" for c, t in columns.items())).parquet(f"{self.path}/data/{folder}/rows")
 
         def derive(part: str, made: DataFrame) -> DataFrame:
-            made.write.parquet(f"{self.path}/data/{folder}/{part}")
+            # Ids come again and again in a file of postings: a large dictionary holds them once.
+            made.write.option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(f"{self.path}/data/{folder}/{part}")
             parts[part] = f"{folder}/{part}"
             return self.spark.read.schema(made.schema).parquet(f"{self.path}/data/{folder}/{part}")
 
         if self.has_files:
             derive("files", file_entries(rows))
+        # Postings are sorted within the files of one task each: a look-up skips all row groups but one or two of each file, and no posting is moved.
         if self.has_text:
-            terms = derive("terms", text_postings(rows).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+            terms = derive("terms", text_postings(rows).sortWithinPartitions("term", "chunk_id"))
             derive("term_counts", terms.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
         if "sparse_indices" in columns:
-            derive("blocks", sparse_blocks(rows).repartitionByRange("i", F.col("most").desc()).sortWithinPartitions("i", F.col("most").desc()))
+            derive("blocks", sparse_blocks(rows).sortWithinPartitions("i", F.col("most").desc()))
         return parts
 
     def _write_empty(self, empty: DataFrame, parts: dict[str, str], folder: str) -> dict[str, str]:
