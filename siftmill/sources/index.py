@@ -30,6 +30,10 @@ MOST_DELTAS = 16
 RANGE_BITS = 7
 #: Bytes that the dictionary of a column of postings may have.
 DICTIONARY_BYTES = 8 << 20
+#: Postings of a sorted run: what a task holds and sorts at once, however large its share is.
+RUN_POSTINGS = 1 << 20
+#: How the parts of an index are compressed.
+CODEC = "zstd"
 
 
 def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -90,8 +94,44 @@ def file_entries(rows: DataFrame) -> DataFrame:
 
 
 def text_postings(rows: DataFrame) -> DataFrame:
-    """term, chunk_id of each distinct word of each chunk."""
-    return rows.select("chunk_id", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term")).select("term", "chunk_id")
+    """term, chunk_id of each distinct word of each chunk, in runs of about RUN_POSTINGS that are sorted by both.
+
+    A task turns over one run at a time: no sort holds or spills the postings of a whole task.
+    """
+    return rows.select("chunk_id", F.array_distinct(tx.word_tokens(F.col("text"))).alias("terms")).mapInArrow(_term_runs, "term string, chunk_id string")
+
+
+def _term_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for piece, size in (p for batch in batches for p in _pieces(batch)):
+        if held and n + size > RUN_POSTINGS:
+            yield _terms_of(pa.Table.from_batches(held))
+            held, n = [], 0
+        held.append(piece)
+        n += size
+    if n:
+        yield _terms_of(pa.Table.from_batches(held))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """The rows of a batch (id, list) in pieces whose lists hold at most RUN_POSTINGS values, unless one list has more; their numbers of values."""
+    sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+    upto, lo = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + RUN_POSTINGS, "right")) - 1)
+        yield batch.slice(lo, hi - lo), int(upto[hi] - upto[lo])
+        lo = hi
+
+
+def _terms_of(chunks: pa.Table) -> pa.RecordBatch:
+    """The postings of some chunks (chunk_id, terms), sorted by word and id."""
+    chunks = chunks.sort_by("chunk_id").combine_chunks()
+    ids, terms = (chunks.column(k).combine_chunks() for k in (0, 1))
+    coded = terms.flatten().dictionary_encode()
+    place = np.empty(len(coded.dictionary), np.int32)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place), dtype=np.int32)
+    order = pa.array(np.argsort(place[coded.indices.to_numpy()], kind="stable"))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(order)), ids.take(pc.list_parent_indices(terms).take(order))], names=["term", "chunk_id"])
 
 
 def sparse_blocks(rows: DataFrame) -> DataFrame:
@@ -99,17 +139,35 @@ def sparse_blocks(rows: DataFrame) -> DataFrame:
 
     Chunks are put into ranges of 2 ** RANGE_BITS in the order of their largest weight, so that the heavy ones share ranges and the
     largest weights of the other ranges are small: these bound what a range can score. Of a repeated index the last value
-    counts; null arrays have no postings. The chunks' arrays are moved once; a range is turned over where it lies.
+    counts; null arrays have no postings. The chunks' arrays are moved once, as they are stored; a range is turned over where it
+    lies. Blocks are sorted by index, the largest weights first, in runs of about RUN_POSTINGS.
     """
-    held = rows.where(F.col("sparse_indices").isNotNull()).select("chunk_id", F.col("sparse_indices").cast("array<bigint>").alias("i"), F.col("sparse_values").cast("array<double>").alias("w"))
-    heavy = held.withColumn("_most", F.coalesce(F.array_max("w"), F.lit(0.0)))
+    held = rows.where(F.col("sparse_indices").isNotNull()).select("chunk_id", "sparse_indices", "sparse_values")
+    heavy = held.withColumn("_most", F.coalesce(F.array_max("sparse_values").cast("double"), F.lit(0.0)))
     ordered = heavy.repartitionByRange(F.col("_most").desc(), "chunk_id").sortWithinPartitions(F.col("_most").desc(), "chunk_id")
-    return ordered.select("chunk_id", "i", "w").mapInArrow(_turned, BLOCKS)
+    return ordered.select("chunk_id", F.col("sparse_indices").cast("array<bigint>").alias("i"), F.col("sparse_values").cast("array<double>").alias("w")).mapInArrow(_block_runs, BLOCKS)
 
 
 BLOCKS = "i bigint, range bigint, most double, least double, n bigint, ids array<string>, weights array<double>"
 
 
+def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for blocks in _turned(batches):
+        size = len(blocks.column(5).values)
+        if held and n + size > RUN_POSTINGS:
+            yield from _sorted_blocks(held)
+            held, n = [], 0
+        held.append(blocks)
+        n += size
+    if held:
+        yield from _sorted_blocks(held)
+
+
+def _sorted_blocks(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(held).combine_chunks().sort_by([("i", "ascending"), ("most", "descending")]).combine_chunks().to_batches()
+
+
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks of a partition's ranges. A range's number has the partition in its upper bits, so that none spans two."""
     size, number, left = 1 << RANGE_BITS, TaskContext.get().partitionId() << 33 - RANGE_BITS, None
@@ -388,31 +446,31 @@ class Index:
 
     def _save(self, rows: DataFrame, at: str) -> int:
         """Writes a part; the number of its rows."""
-        rows.write.parquet(f"{self.path}/data/{at}")
+        rows.write.option("compression", CODEC).parquet(f"{self.path}/data/{at}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{at}").count()
 
     def _write_rows(self, rows: DataFrame, columns: dict[str, str], folder: str) -> dict[str, str]:
         """Rows and what is derived from them; the paths of the parts, none without rows."""
-        # A rebalance, unlike a repartition, lets Spark split the rows of one large file.
-        if not self._save(rows.hint("rebalance", F.col(self.by)).sortWithinPartitions(self.by), f"{folder}/rows"):
+        # Rows stay where they are: an ingest run brings a file's chunks together, and a filter on `by` skips the pages of others in each task's file.
+        if not self._save(rows.sortWithinPartitions(self.by), f"{folder}/rows"):
             return {}
         parts = {"rows": f"{folder}/rows"}
         rows = self.spark.read.schema(", ".join(f"`{c}` {t}" for c, t in columns.items())).parquet(f"{self.path}/data/{folder}/rows")
 
         def derive(part: str, made: DataFrame) -> DataFrame:
             # Ids come again and again in a file of postings: a large dictionary holds them once.
-            made.write.option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(f"{self.path}/data/{folder}/{part}")
+            made.write.option("compression", CODEC).option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(f"{self.path}/data/{folder}/{part}")
             parts[part] = f"{folder}/{part}"
             return self.spark.read.schema(made.schema).parquet(f"{self.path}/data/{folder}/{part}")
 
         if self.has_files:
             derive("files", file_entries(rows))
-        # Postings are sorted within the files of one task each: a look-up skips all row groups but one or two of each file, and no posting is moved.
+        # Postings are sorted in runs within the files of one task each: a look-up skips all pages but one or two of each run, and no posting is moved.
         if self.has_text:
-            terms = derive("terms", text_postings(rows).sortWithinPartitions("term", "chunk_id"))
+            terms = derive("terms", text_postings(rows))
             derive("term_counts", terms.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
         if "sparse_indices" in columns:
-            derive("blocks", sparse_blocks(rows).sortWithinPartitions("i", F.col("most").desc()))
+            derive("blocks", sparse_blocks(rows))
         return parts
 
     def _write_empty(self, empty: DataFrame, parts: dict[str, str], folder: str) -> dict[str, str]:
@@ -420,7 +478,7 @@ class Index:
         files = f"{folder}/files"
         none = F.lit(None).cast("string")
         entries = empty.select(F.col("file_path").cast("string"), none.alias("first_id"), F.col("source_sha").alias("first_sha"), none.alias("last_id"), F.col("source_sha").alias("last_sha"), F.lit(0).cast("bigint").alias("n"))
-        entries.write.mode("append").parquet(f"{self.path}/data/{files}")
+        entries.write.mode("append").option("compression", CODEC).parquet(f"{self.path}/data/{files}")
         if "files" in parts or not self.spark.read.schema("n bigint").parquet(f"{self.path}/data/{files}").isEmpty():
             return {"files": files}
         return {}
