@@ -40,3 +40,14 @@ def test_hits_go_to_the_texts(spark):
             assert "BroadcastHashJoin" in physical(made) and "SortMergeJoin" not in physical(made)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_queries_go_to_the_vectors(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = catalogue.queries_table(spark, "/root/testdata/sf0.001")
+        assert "BroadcastHashJoin" in physical(made) and "Exchange hashpartitioning" not in physical(made)
+        assert [(r["query_id"], r["query"], len(r["vector"])) for r in made.orderBy("query_id").collect()] == [(k, t, 64) for k, t in enumerate(catalogue.TEXTS)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
