@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import stat
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -76,6 +78,34 @@ def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(whole)), F.substring(path, F.lit(len(whole) + 1), F.length(path))).otherwise(path)
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as Spark finds it: the path of a local one, the URI of others."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(re.sub(r"(?<=.)/+$", "", root))
+    fs = folder.getFileSystem(conf)
+    uri = folder.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+
+@dataclass
+class Entry:
+    """A folder or file of a `Tree`: its path from the root, and what the store says of it."""
+
+    path: str
+    folder: bool
+    held: object
+
+    def stat(self) -> tuple[int, int] | None:
+        """Bytes and time of change (ns) of a file; None if it is no file any more."""
+        if hasattr(self.held, "mtime_ns"):
+            return (self.held.size, self.held.mtime_ns or 0) if self.held.is_file else None
+        try:
+            found = self.held.stat()
+        except FileNotFoundError:
+            return None
+        return (found.st_size, found.st_mtime_ns) if stat.S_ISREG(found.st_mode) else None
+
+
 class Tree:
     """The files below a folder: a local or mounted one by its path, others by a URI that pyarrow knows."""
 
@@ -94,17 +124,29 @@ class Tree:
     def absolute(self, rel: str) -> str:
         return f"{self.root.rstrip('/')}/{rel}"
 
-    def children(self, rel: str) -> tuple[list[str], list[str]]:
-        """Folders and files directly in a folder, as paths from the root; links to folders are not followed."""
+    def entries(self, rel: str, links: bool = False) -> Iterator[Entry]:
+        """What lies directly in a folder, one after the other. Links to folders are not followed, or with `links` those that do not lead back above themselves; the others count as files."""
         head = f"{rel}/" if rel else ""
         if self.local:
             with os.scandir(os.path.join(self.root, rel)) as found:
-                entries = sorted((e.name, e.is_dir(follow_symlinks=False)) for e in found)
+                for e in found:
+                    path = head + e.name
+                    yield Entry(path, e.is_dir(follow_symlinks=False) or links and e.is_dir() and not self._leads_back(path), e)
         else:
             from pyarrow import fs
 
-            entries = sorted((i.base_name, i.type == fs.FileType.Directory) for i in self.fs.get_file_info(fs.FileSelector(f"{self.base}/{rel}".rstrip("/"))))
-        return [head + n for n, d in entries if d], [head + n for n, d in entries if not d]
+            for i in self.fs.get_file_info(fs.FileSelector(f"{self.base}/{rel}".rstrip("/"))):
+                yield Entry(head + i.base_name, i.type == fs.FileType.Directory, i)
+
+    def _leads_back(self, rel: str) -> bool:
+        parts = rel.split("/")
+        real = os.path.realpath(os.path.join(self.root, rel))
+        return any(os.path.realpath(os.path.join(self.root, *parts[:k])) == real for k in range(len(parts)))
+
+    def children(self, rel: str) -> tuple[list[str], list[str]]:
+        """Folders and files directly in a folder, as paths from the root; links to folders are not followed."""
+        found = sorted(self.entries(rel), key=lambda e: e.path)
+        return [e.path for e in found if e.folder], [e.path for e in found if not e.folder]
 
     def write(self, rel: str, data: bytes) -> None:
         if ".." in rel.split("/") or rel.startswith("/"):
@@ -190,7 +232,7 @@ class MarkdownReader(DataSourceReader):
         while waiting and len(waiting) + len(opened) < self.folders:
             root, rel = waiting.popleft()
             opened.append(Folder(root, rel, False))
-            waiting.extend((root, d) for d in Tree(root).children(rel)[0] if not self._out(d + "/"))
+            waiting.extend((root, d) for d in sorted(e.path for e in Tree(root).entries(rel) if e.folder) if not self._out(d + "/"))
         return opened + [Folder(root, rel, True) for root, rel in waiting]
 
     def read(self, partition: Folder | None) -> Iterator[tuple]:
@@ -221,6 +263,101 @@ def list_markdown(spark: SparkSession, roots: list[str], ignore: list[str] = (),
     return reader.option("folders", str(folders)).load()
 
 
+
+NAMES = "path string, bytes long, modified long"
+#: Rows of a listing that make a task of their own, and bytes of files.
+READ_FILES, READ_BYTES = 2_000, 32 << 20
+
+
+class MarkdownNames(DataSource):
+    """What Spark's own reader would list of the .md files below a folder, by names alone, for `spark.read.format("markdown_names")`.
+
+    Options: `root`; `folders`, the number of partitions to aim at. Names that begin with . or _ are left out, and files of length
+    0. Neither the driver nor a task holds the names that it finds: the driver opens folders until there are enough of them, and
+    holds these alone.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_names"
+
+    def schema(self) -> str:
+        return NAMES
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return NamesReader(self.options["root"], int(self.options.get("folders", "64")))
+
+
+class NamesReader(DataSourceReader):
+    def __init__(self, root: str, folders: int):
+        self.root, self.folders = root, folders
+
+    def _entries(self, tree: Tree, rel: str) -> Iterator[Entry]:
+        for e in tree.entries(rel, links=True):
+            name = os.path.basename(e.path)
+            if not name.startswith(".") and (not name.startswith("_") or "=" in name or e.folder and name.startswith(("_metadata", "_common_metadata"))):
+                yield e
+
+    def partitions(self) -> list[InputPartition]:
+        tree, waiting = Tree(self.root), deque([""])
+        opened: list[InputPartition] = []
+        while waiting and len(waiting) + len(opened) < self.folders:
+            opened.append(Folder(self.root, waiting.popleft(), False))
+            waiting.extend(e.path for e in self._entries(tree, opened[-1].rel) if e.folder)
+        return opened + [Folder(self.root, rel, True) for rel in waiting]
+
+    def read(self, partition: Folder | None) -> Iterator[tuple]:
+        if partition is None:
+            return
+        tree, waiting = Tree(partition.root), deque([partition.rel])
+        while waiting:
+            for e in self._entries(tree, waiting.popleft()):
+                if e.folder:
+                    if partition.whole:
+                        waiting.append(e.path)
+                elif e.path[-3:].lower() == ".md" and (held := e.stat()) and held[0]:
+                    yield e.path, *held
+
+
+def lists_names(root: str) -> bool:
+    """Whether a folder lies in a store that tasks can list."""
+    try:
+        Tree(root)
+        return True
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
+def list_names(spark: SparkSession, root: str, folders: int = 64) -> DataFrame:
+    """path (relative), bytes, modified (ns) of the .md files below a folder that are neither hidden nor empty; no file is opened."""
+    spark.dataSource.register(MarkdownNames)
+    return spark.read.format("markdown_names").option("root", root).option("folders", str(folders)).load()
+
+
+def read_names(names: DataFrame, root: str) -> DataFrame:
+    """path, sha, content of files below `root` by their names, read in tasks that get about READ_FILES or READ_BYTES. Files that are gone are left out."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, held, size = Tree(root), [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    data = tree.read(path)
+                except FileNotFoundError:
+                    continue
+                held.append((path, hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace")))
+                size += len(data)
+                if size >= READ_BYTES // 8:
+                    yield pd.DataFrame(held, columns=["path", "sha", "content"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", "sha", "content"])
+
+    n, size = names.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, -(-n // READ_FILES), -(-size // READ_BYTES), min(n, names.sparkSession.sparkContext.defaultParallelism))
+    return names.select("path").repartition(tasks).mapInPandas(each, "path string, sha string, content string")
+
+
 def fetch_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Content of the wanted files, from the rows that the listing has read already.
 
